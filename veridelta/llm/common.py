@@ -148,3 +148,15 @@ def drop_table(df: DataFrame) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that df has no column of, whatever its own are called."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        x = f"_{n}"
+        while x.lower() in have:
+            x = f"_{x}"
+        out.append(x)
+    return out
