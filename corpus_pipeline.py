@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veridelta.llm import bpe as _bpe
 from veridelta.llm import exact_dedup as _exact
+from veridelta.llm import language as _language
 from veridelta.llm import mixing as _mixing
 from veridelta.llm.common import documents, table
+from veridelta.llm.queries import VOCABULARY
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out, (language, score, accepted) = _language.identify(docs, _language.train(docs))
+    return out.where(out[accepted]).drop(language, score, accepted)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +27,16 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _mixing.mix(docs)
 
 
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out, (ids, n, exact) = _bpe.encode_column(docs, VOCABULARY)
+    return out.select("doc_id", "lang", "source", out[n].alias("n_tokens"), out[ids].alias("ids"), out[exact].alias("exact"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language_id),
     ("exact dedup", exact_dedup),
     ("mixing sources to target weights", mixing),
+    ("byte-level BPE encoding and decoding", byte_bpe),
 ]
 
 #: Language ID and entropy balancing have no SQL; tests hold the stages against brute force.

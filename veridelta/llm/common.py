@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that one vectorised step takes at a time; it bounds a Python worker's memory.
 STEP_BYTES = 1 << 20
@@ -160,3 +161,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             x = f"_{x}"
         out.append(x)
     return out
+
+
+def with_fields(df: DataFrame, kinds: dict[str, str]) -> StructType:
+    """df's schema and some more columns."""
+    return StructType([*df.schema.fields, *[StructField(n, StructType.fromDDL(f"x {k}")[0].dataType) for n, k in kinds.items()]])

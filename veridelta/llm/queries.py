@@ -6,17 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import binary, bpe, exact_dedup, language, mixing, sharding, toxicity
 from .common import documents
 
 #: Shards that the corpus is cut into.
 SHARDS = 64
+#: Vocabulary file; it has to be at this path on every executor.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.passages(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, (ids, n, exact) = bpe.encode_column(documents(spark, sf_dir).select("doc_id", "text"), VOCABULARY)
+    return out.select("doc_id", out[n].alias("n_tokens"), out[ids].alias("ids"), out[exact].alias("exact"))
+
+
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.write_shards(documents(spark, sf_dir), VOCABULARY)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out, (language_, score, accepted) = language.identify(docs.select("doc_id", "lang", "text"), language.train(docs))
+    return out.select("doc_id", "lang", out[language_].alias("language"), out[score].alias("score"), out[accepted].alias("accepted"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), SHARDS)
 
@@ -26,7 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", out[tokens].alias("tokens"), out[rate].alias("rate"), out[copies].alias("copies"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_exact_dedup, op9_sharding, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_byte_bpe, op5_token_shards, op6_exact_dedup, op7_language_id, op9_sharding, op10_mixing)}
 
 SQL: dict[str, str] = {
     "op6_exact_dedup": """
