@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veridelta.llm import bpe as _bpe
 from veridelta.llm import exact_dedup as _exact
+from veridelta.llm import jaccard as _jaccard
 from veridelta.llm import language as _language
 from veridelta.llm import mixing as _mixing
 from veridelta.llm.common import documents, table
@@ -23,6 +24,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _jaccard.dedup_near(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _mixing.mix(docs)
 
@@ -35,6 +40,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language ID", language_id),
     ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
     ("mixing sources to target weights", mixing),
     ("byte-level BPE encoding and decoding", byte_bpe),
 ]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, bpe, exact_dedup, language, mixing, sharding, toxicity
+from . import binary, bpe, exact_dedup, jaccard, language, mixing, sharding, toxicity
 from .common import documents
 
 #: Shards that the corpus is cut into.
@@ -15,6 +15,10 @@ SHARDS = 64
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.passages(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -48,9 +52,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", out[tokens].alias("tokens"), out[rate].alias("rate"), out[copies].alias("copies"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_byte_bpe, op5_token_shards, op6_exact_dedup, op7_language_id, op9_sharding, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_byte_bpe, op5_token_shards, op6_exact_dedup, op7_language_id, op9_sharding, op10_mixing)}
 
 SQL: dict[str, str] = {
+    "op1_ngram_jaccard": r"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9''\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT doc_id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS g FROM w WHERE len(w) > 0),
+        t AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM g),
+        p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+              FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2)
+        SELECT doc_a, doc_b, c / (na + nb - c) AS jaccard FROM p WHERE c / (na + nb - c) >= 0.5""",
     "op6_exact_dedup": """
         SELECT min(doc_id) AS doc_id, count(*) AS copies,
                list_sort(list(doc_id))[2:] AS removed
