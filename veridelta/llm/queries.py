@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, bpe, exact_dedup, jaccard, language, mixing, sharding, toxicity
+from . import binary, bpe, exact_dedup, jaccard, language, mixing, sharding, suffix, toxicity
 from .common import documents
 
 #: Shards that the corpus is cut into.
@@ -29,6 +29,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", out[n].alias("n_tokens"), out[ids].alias("ids"), out[exact].alias("exact"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(documents(spark, sf_dir))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.write_shards(documents(spark, sf_dir), VOCABULARY)
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", out[tokens].alias("tokens"), out[rate].alias("rate"), out[copies].alias("copies"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_byte_bpe, op5_token_shards, op6_exact_dedup, op7_language_id, op9_sharding, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_byte_bpe, op4_suffix_dedup, op5_token_shards, op6_exact_dedup, op7_language_id, op9_sharding, op10_mixing)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard": r"""
