@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, bpe, exact_dedup, jaccard, language, mixing, sharding, suffix, toxicity
+from . import binary, bpe, exact_dedup, jaccard, language, mixing, neighbours, sharding, suffix, toxicity
 from .common import documents
 
 #: Shards that the corpus is cut into.
@@ -47,6 +47,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", out[language_].alias("language"), out[score].alias("score"), out[accepted].alias("accepted"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), SHARDS)
 
@@ -56,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", out[tokens].alias("tokens"), out[rate].alias("rate"), out[copies].alias("copies"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_byte_bpe, op4_suffix_dedup, op5_token_shards, op6_exact_dedup, op7_language_id, op9_sharding, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_byte_bpe, op4_suffix_dedup, op5_token_shards, op6_exact_dedup, op7_language_id, op8_nearest_neighbours, op9_sharding, op10_mixing)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard": r"""
