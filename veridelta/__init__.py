@@ -1,0 +1 @@
+"""Analytics over uncertain, sourced and time-bound facts, as DataFrame expressions and operators."""
