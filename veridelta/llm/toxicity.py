@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_PER_LABEL) -> Mo
     u = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     bound = F.when(F.col("toxic") == 1, min(1.0, most / counts[1])).otherwise(min(1.0, most / counts[0]))
     chosen = known.where(u < bound).withColumnRenamed("id", "doc_id")
-    rows = docs.select("doc_id", F.lower("text").alias("text")).join(chosen, "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most about twice the sample's bound of ids
     both = rows.mapInArrow(_words, "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # A word that is significant was seen several times; the rest keep a single sum each.
     often = F.col("toxic") + F.col("clean") >= 5
