@@ -166,3 +166,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def with_fields(df: DataFrame, kinds: dict[str, str]) -> StructType:
     """df's schema and some more columns."""
     return StructType([*df.schema.fields, *[StructField(n, StructType.fromDDL(f"x {k}")[0].dataType) for n, k in kinds.items()]])
+
+
+#: Keys of 8 bytes that a join may broadcast.
+BROADCAST_KEYS = 1 << 21
+
+
+def keyed(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A written table of keys, ready to join with texts: broadcast where it has at most so many rows, else both sides are shuffled."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("shuffle_hash")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, gram_hashes, mix, steps, table, text_buffers, word_hashes
+from .common import fresh, gram_hashes, keyed, mix, steps, table, text_buffers, word_hashes
 from .toxicity import WORD
 
 N, THRESHOLD = 3, 0.5
@@ -79,12 +79,12 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["key", "grams"])
 
     rows = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("digest"), F.lower("text").alias("text"))
-    rows = rows.join(wanted.select("digest").distinct().hint("shuffle_hash"), "digest", "left_semi").select("text")
+    rows = rows.join(keyed(table(wanted.select("digest").distinct(), "jaccard-wanted")), "digest", "left_semi").select("text")
     return rows.mapInArrow(run, "key binary, grams binary").dropDuplicates(["key"])
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(g, a, b), a < b: pairs of sets whose sketches can share enough, with the leader of b's group. sets(sid, sketch)."""
+    """(g, b, a): for a set b the lower sets whose sketches can share enough with its own, and the leader of its group. sets(sid, sketch)."""
     tokens = sets.select("sid", F.size("sketch").alias("k"), F.explode("sketch").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     least = F.when(F.col("k") >= 4, F.floor(F.col("k") / 4)).otherwise(1)
@@ -93,10 +93,12 @@ def candidates(sets: DataFrame) -> DataFrame:
     # Tokens that no other set has come first in the order, and need not be joined.
     kept = F.col("k") - least + need - (F.col("k") - F.size("t"))
     prefix = ranked.where(kept > 0).select("sid", need.alias("need"), F.explode(F.slice("t", F.lit(1), kept.cast("int"))).alias("x"))
-    prefix = table(prefix.select("sid", "need", F.col("x.token").alias("token")), "jaccard-prefix")
-    a, b = prefix.toDF("a", "na", "token"), prefix.toDF("b", "nb", "token")
-    pairs = a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("na", "nb")).alias("need"))
-    return pairs.where("shared >= need").select(F.min("a").over(Window.partitionBy("b")).alias("g"), "a", "b")
+    # A set and its need are one number; of a token's list, each set is sent to its later sets at once.
+    lists = prefix.select(F.col("x.token").alias("token"), (F.col("sid") * 2 + F.col("need") - 1).alias("code")).groupBy("token").agg(F.sort_array(F.collect_list("code")).alias("t"))
+    later = lists.where(F.size("t") > 1).select("t", F.posexplode("t").alias("at", "b")).where("at > 0").select("b", F.slice("t", F.lit(1), F.col("at")).alias("lower"))
+    pairs = later.repartition("b").select("b", F.explode("lower").alias("a")).groupBy("b", "a").agg(F.count(F.lit(1)).alias("shared"))
+    enough = pairs.where(F.col("shared") > F.least(F.col("a") % 2, F.col("b") % 2)).groupBy("b").agg(F.sort_array(F.collect_list(F.floor(F.col("a") / 2).cast("long"))).alias("a"))
+    return enough.select(F.element_at("a", 1).alias("g"), F.floor(F.col("b") / 2).cast("long").alias("b"), "a")
 
 
 def overlaps(pairs: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
@@ -144,11 +146,13 @@ def similar_sets(docs: DataFrame, sketched: DataFrame, n: int, threshold: float,
     sets = sketched.groupBy("key").agg(F.min("digest").alias("digest"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = table(sets.select(F.monotonically_increasing_id().alias("sid"), "*"), "jaccard-sets")
     pairs = table(candidates(sets), "jaccard-candidates")
-    blocks = pairs.groupBy("g").agg(F.ceil(F.approx_count_distinct("b") / BLOCK).alias("blocks"))
-    part = lambda c: F.when(F.col("blocks") > 1, F.pmod(F.xxhash64(c), F.col("blocks"))).otherwise(F.lit(0)).cast("int")
-    placed = pairs.join(blocks, "g").select("g", part("a").alias("x"), part("b").alias("y"), "a", "b")
-    sent = placed.select("g", "x", "y", F.explode(F.array("a", "b")).alias("sid")).distinct().toDF("to_g", "to_x", "to_y", "sid")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "key", "digest"), "sid")
+    blocks = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+    placed = pairs.join(blocks, "g").withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    placed = placed.select("g", "x", part("b").alias("y"), "b", F.when(F.col("blocks") == 1, F.col("a")).otherwise(F.filter("a", lambda v: part(v) == F.col("x"))).alias("a")).where(F.size("a") > 0)
+    placed = table(placed.repartition("g", "x", "y"), "jaccard-placed")
+    sent = placed.select("g", "x", "y", F.explode(F.concat("a", F.array("b"))).alias("sid")).distinct().toDF("to_g", "to_x", "to_y", "sid")
+    wanted = sent.select("sid").distinct().join(sets.select("sid", "key", "digest"), "sid")
     grams = table(whole_sets(docs, wanted, n).join(wanted.select("sid", "key"), "key").select("sid", "grams"), "jaccard-grams")
     cells = sent.join(grams, "sid")
 
@@ -158,7 +162,9 @@ def similar_sets(docs: DataFrame, sketched: DataFrame, n: int, threshold: float,
         blobs = right["grams"].to_pylist()
         sets_ = [np.frombuffer(blobs[i], np.uint64) for i in order]
         sid = sid[order]
-        p = np.stack([np.searchsorted(sid, left[c].to_numpy()) for c in ("a", "b")], 1) if len(left) else np.zeros((0, 2), np.int64)
+        lists = left["a"].combine_chunks()
+        many = np.diff(lists.offsets.to_numpy()) if len(left) else np.zeros(0, np.int64)
+        p = np.stack([np.searchsorted(sid, lists.flatten().to_numpy()), np.repeat(np.searchsorted(sid, left["b"].to_numpy()), many)], 1)
         size = np.array([len(x) for x in sets_], np.int64)
         share = threshold / (1 + threshold)
         if len(p):
@@ -228,12 +234,15 @@ def dedup_near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Dat
     sets, found = similar_sets(docs, sketched, n, threshold, True)
     of = components(found.select("a", "b"))
     rows = sketched.select("doc_id", "digest", "key").join(sets.select("sid", "key"), "key").join(of, F.col("sid") == F.col("node"), "left")
-    rows = rows.select("digest", F.coalesce("root", "sid").alias("group"))
-    many = rows.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("group")
-    digest, group, place = fresh(docs, "digest", "group", "place")
-    grouped = table(rows.join(many, "group").groupBy("digest").agg(F.min("group").alias("group")), "jaccard-groups").toDF(digest, group)
+    rows = rows.select("doc_id", "digest", F.coalesce("root", "sid").alias("group"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "digest")).alias("first")
+    groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("c"), best).where("c > 1").select("group", F.col("first.digest").alias("keep"))
+    # By text: all rows of a text go, or one of them stays, or (texts of no group, and the only row of a keeper) nothing happens.
+    texts = table(rows.join(groups, "group").groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("digest") == F.col("keep")).alias("stays")).where("NOT stays OR c > 1"), "jaccard-texts")
+    digest, place = fresh(docs, "digest", "place")
     tagged = docs.withColumn(digest, F.xxhash64("text"))
-    rest = tagged.join(grouped.select(digest), digest, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    first = Window.partitionBy(group).orderBy(F.col("doc_id").asc_nulls_last(), digest)
-    one = tagged.join(grouped, digest).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
-    return rest.unionByName(one.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rest = tagged.join(keyed(texts.select(F.col("digest").alias(digest))), digest, "left_anti").select(*own)
+    first = Window.partitionBy(digest).orderBy(F.col("doc_id").asc_nulls_last())
+    one = tagged.join(keyed(table(texts.where("stays").select(F.col("digest").alias(digest)), "jaccard-keepers")), digest, "left_semi")
+    return rest.unionByName(one.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*own))
