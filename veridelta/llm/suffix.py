@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _powers, mix, steps, table, text_buffers, word_hashes
+from .common import _powers, keyed, mix, steps, table, text_buffers, word_hashes
 
 WORDS, ANCHOR = 50, 32
 #: Words of a shard's string.
@@ -236,7 +236,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     total = sorted_.agg(F.coalesce(F.sum(F.col("starts") + WORDS), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_WORDS))
     want = sorted_.select(F.col("f.digest").alias("digest"), F.struct("h", "seg", F.col("f.first").alias("first"), "starts").alias("x")).groupBy("digest").agg(F.collect_list("x").alias("want"))
-    words = rows.select("digest", "text").join(want.hint("shuffle_hash"), "digest").select("text", "want").mapInArrow(_cut_out, "h long, seg long, words binary")
+    texts = rows.select("digest", "text").join(keyed(table(sorted_.select(F.col("f.digest").alias("digest")).distinct(), "suffix-texts")), "digest", "left_semi")
+    words = texts.join(want.hint("shuffle_hash"), "digest").select("text", "want").mapInArrow(_cut_out, "h long, seg long, words binary")
     cells = words.join(sorted_.select("h", "seg", "c", "f"), ["h", "seg"]).select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "seg", "words", "c", F.col("f.doc_id").alias("doc"), F.col("f.first").alias("first"))
 
     def sort(t: pa.Table) -> pa.Table:
