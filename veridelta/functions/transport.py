@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, StringType
 
 
 def local_name(iri: Column) -> Column:
@@ -113,11 +114,11 @@ def cbor_decode(raw: bytes) -> object:
     return read(0)[0]
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def to_cbor(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else cbor_encode(json.loads(t)))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def from_cbor(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else json.dumps(cbor_decode(b)))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 Metric = Callable[[Column, Column], Column]
 
@@ -101,7 +102,7 @@ def soft_cosine(similarity: list[list[float]]) -> Metric:
     return lambda a, b: form(a, b) / F.sqrt(form(a, a) * form(b, b))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def dtw(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: np.ndarray, y: np.ndarray) -> float:
         row = np.full(len(y) + 1, np.inf)
@@ -118,7 +119,7 @@ def dtw(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def spearman(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: list, y: list) -> float:
         p, q = pd.Series(x).rank().to_numpy(), pd.Series(y).rank().to_numpy()
@@ -127,7 +128,7 @@ def spearman(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def kendall(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: np.ndarray, y: np.ndarray) -> float:
         i, j = np.triu_indices(len(x), 1)
