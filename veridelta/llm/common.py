@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that one vectorised step takes at a time; it bounds a Python worker's memory.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

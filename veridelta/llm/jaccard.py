@@ -28,7 +28,7 @@ from .toxicity import WORD
 N, THRESHOLD = 3, 0.5
 #: Tokens of a sketch, and sets of a block of a large group.
 SKETCH, BLOCK = 24, 1024
-_TILE = 4096
+_TILE = 2048
 
 
 def gram_sets(raw: np.ndarray, off: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -56,7 +56,7 @@ def sketches(docs: DataFrame, n: int = N, size: int = SKETCH) -> DataFrame:
                 at.append(i)
                 keys.append(set_key(g))
                 many.append(len(g))
-                low.append(g[:size].view(np.int64))
+                low.append(g[:size].view(np.int64).copy())  # a view would keep the whole set
             off = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
             flat = np.concatenate(low) if low else np.zeros(0, np.int64)
             where = pa.array(at, pa.int64())
@@ -113,13 +113,14 @@ def overlaps(pairs: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
     code, where = new[code[shared]], where[shared]
     order = np.argsort(code, kind="stable")
     code, where = code[order], where[order]
-    out = np.zeros((len(grams), len(grams)), np.float32)
+    queries, row = np.unique(pairs[:, 1], return_inverse=True)
+    out = np.zeros((len(queries), len(grams)), np.float32)
     for low in range(0, int(code[-1]) + 1 if len(code) else 0, _TILE):
         i, j = np.searchsorted(code, [low, low + _TILE])
         dense = np.zeros((len(grams), _TILE), np.float32)
         dense[where[i:j], code[i:j] - low] = 1
-        out += dense @ dense.T
-    return out[pairs[:, 0], pairs[:, 1]].astype(np.int64)
+        out += dense[queries] @ dense.T
+    return out[row, pairs[:, 0]].astype(np.int64)
 
 
 def spanning(pairs: np.ndarray) -> np.ndarray:
@@ -133,11 +134,12 @@ def spanning(pairs: np.ndarray) -> np.ndarray:
         return x
 
     keep = np.zeros(len(pairs), bool)
-    for k, (x, y) in enumerate(pairs.tolist()):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep[k] = True
+    for low in range(0, len(pairs), 10_000):  # lists of all pairs would be large
+        for k, (x, y) in enumerate(pairs[low : low + 10_000].tolist(), low):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                keep[k] = True
     return keep
 
 

@@ -52,6 +52,13 @@ def presence(b: np.ndarray) -> np.ndarray:
     return c[_marks[c] == n]
 
 
+def forget() -> None:
+    """Frees the tables of all codes, which a worker would keep for its next task of any kind."""
+    global _marks
+    _marks = None
+    _tables.clear()
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """The kernel between two lists of texts, given as present codes."""
     vocabulary = np.unique(np.concatenate(b)) if b else np.zeros(0, np.int64)
@@ -106,7 +113,7 @@ class Model:
         key = hash((len(self.codes), self.codes[:50].tobytes()))
         if key not in _tables:
             _tables.clear()
-            t = np.full(CODES, -1, np.int32)
+            t = np.full(CODES, -1, np.int16 if len(self.codes) < 1 << 15 else np.int32)
             t[self.codes] = np.arange(len(self.codes))
             _tables[key] = t
         table = _tables[key]
@@ -163,6 +170,7 @@ def identify(df: DataFrame, model: Model, min_gain: float = MIN_GAIN) -> tuple[D
                 best, top = np.array(m.languages, object)[s.argmax(1)], s.max(1)
             best[~ok] = None
             good = ok & ((top >= 2 / max(1, len(m.languages)) - 1 + min_gain) | (len(m.languages) == 1))
+            forget()
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:k], pa.array(best, pa.string()), pa.array(top, pa.float64(), mask=~ok | np.isnan(top)), pa.array(good)], [*carried, *names]
             )
