@@ -63,16 +63,17 @@ def test_exact_dedup(spark, docs):
     want = {}
     for r in docs.collect():
         want.setdefault(r.text, []).append(r.doc_id)
-    got = {r.doc_id: (r.copies, r.removed) for r in exact_dedup.copy_groups(docs).collect()}
-    assert got == {min(v): (len(v), sorted(v)[1:]) for v in want.values()}
-    assert {r.doc_id for r in exact_dedup.exact_dedup(docs).collect()} == set(got)
+    got = {(r.doc_id, r.copy_of) for r in exact_dedup.copies(docs).collect()}
+    assert got == {(i, min(v)) for v in want.values() for i in v if i != min(v)} and got
+    assert {r.doc_id for r in exact_dedup.exact_dedup(docs).collect()} == {min(v) for v in want.values()}
 
 
 def test_exact_dedup_edges(odd, none):
     kept = exact_dedup.exact_dedup(odd)
     assert kept.columns == odd.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, None, 2, 4, 5, 7, 8, 9])
-    assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.copy_groups(none).count() == 0
+    assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.copies(none).count() == 0
+    assert Counter(tuple(r) for r in exact_dedup.copies(odd).collect()) == Counter([(3, 2), (6, 5), (7, 7), (None, 7)])
 
 
 # N-gram Jaccard join

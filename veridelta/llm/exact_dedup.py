@@ -144,13 +144,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     return marked.where(F.col(extra[2]) == 1).drop(*extra)
 
 
-def copy_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, copies, removed): each text once by its lowest id, the number of rows that hold it, and the ids that go, in order."""
-    marked, (keeper, copies, place) = mark_copies(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")))
-    alone = marked.where(F.col(copies) == 1).select("doc_id", F.lit(1).cast("long").alias("copies"), F.array().cast("array<long>").alias("removed"))
-    groups = marked.where(F.col(copies) > 1).groupBy(F.xxhash64("text").alias("_h"), "text").agg(
-        F.min("doc_id").alias("doc_id"),
-        F.max(copies).alias("copies"),
-        F.sort_array(F.collect_list(F.when(F.col(place) > 1, F.col("doc_id").cast("long")))).alias("removed"),
-    )
-    return alone.unionByName(groups.select("doc_id", "copies", "removed"))
+def copies(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, copy_of): each row that goes, and the lowest id that holds its text. A repeated row is a copy of its own id."""
+    marked, (keeper, _, place) = mark_copies(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")))
+    return marked.where(F.col(place) > 1).select("doc_id", F.col(keeper).alias("copy_of"))

@@ -21,7 +21,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return toxicity.passages(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.passages(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop("n_words")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.copy_groups(documents(spark, sf_dir))
+    return exact_dedup.copies(documents(spark, sf_dir))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,6 @@ SQL: dict[str, str] = {
               FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2)
         SELECT doc_a, doc_b, c / (na + nb - c) AS jaccard FROM p WHERE c / (na + nb - c) >= 0.5""",
     "op6_exact_dedup": """
-        SELECT min(doc_id) AS doc_id, count(*) AS copies,
-               list_sort(list(doc_id))[2:] AS removed
-        FROM documents WHERE text IS NOT NULL GROUP BY text
-        UNION ALL SELECT doc_id, 1, []::BIGINT[] FROM documents WHERE text IS NULL""",
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS copy_of FROM documents WHERE text IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1""",
 }
