@@ -575,3 +575,46 @@ def confident_facts(t):
     o = t("orders").where(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")).select("o_custkey", conf("o_orderkey").alias("c")).where("c >= 0.5")
     j = o.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(r6(F.avg("c"), "mean_confidence"), F.count(F.lit(1)).alias("facts"))
+
+
+@query("SELECT event_id AS doc, 'k' AS prop, CAST(json_extract(props, '$.k') AS DOUBLE) AS value_num, 'number' AS value_kind FROM events")
+def document_assertions(t):
+    """The JSON of each event as assertions."""
+    from veridelta.sources import documents
+
+    return documents.assertions(t("events"), "props", order="event_id").select(F.col("src_ord").alias("doc"), "prop", "value_num", "value_kind")
+
+
+@query("""WITH x AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0.85 WHEN 'O' THEN 0.5 ELSE 0.1 END AS p, CASE o_orderstatus WHEN 'F' THEN 0.15 WHEN 'O' THEN 0.4 ELSE 0.15 END AS u FROM orders)
+    SELECT o_orderkey AS ord, 'Claim' AS type, round(p * (1 - u), 6) AS b, round((1 - p) * (1 - u), 6) AS d, round(u, 6) AS u FROM x""")
+def clinical_records(t):
+    """Orders as claim records in JSON, read back as opinions."""
+    from veridelta.sources import clinical_records as records
+
+    status = F.when(F.col("o_orderstatus") == "F", "active").when(F.col("o_orderstatus") == "O", "draft").otherwise("cancelled")
+    docs = t("orders").select("o_orderkey", F.to_json(F.struct(F.lit("Claim").alias("resourceType"), F.col("o_orderkey").cast("string").alias("id"), status.alias("status"))).alias("json"))
+    o = F.col("opinion")
+    return records.from_records(docs, "json", "o_orderkey", ["Claim"]).select("ord", "type", *[r6(o[k], k) for k in "bdu"])
+
+
+@query(f"""WITH s AS (SELECT p_partkey, p_partkey % 5 AS s FROM part) SELECT 'attributed' AS what, count(*) AS n FROM s UNION ALL SELECT 'agents', count(DISTINCT s) FROM s UNION ALL SELECT 'entities', count(*) FROM s""")
+def provenance_statements(t):
+    """Provenance of every part's name, counted by kind."""
+    from veridelta.sources import rdf
+
+    none = F.lit(None).cast("string")
+    rows = t("part").select(F.col("p_partkey").cast("string").alias("node_id"), F.lit("name").alias("prop"), F.col("p_name").alias("value"), conf("p_partkey").alias("confidence"), (F.col("p_partkey") % 5).cast("string").alias("source"), none.alias("method"), none.alias("extracted_at"))
+    s = rdf.to_prov(rows)
+    what = F.when(F.col("predicate").endswith("wasAttributedTo"), "attributed").when(F.col("object").endswith("SoftwareAgent"), "agents").when(F.col("object").endswith("#Entity"), "entities")
+    return s.select(what.alias("what")).where("what IS NOT NULL").groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {VERSIONS}, s AS (SELECT node_id, arg_max(value, src_ord) AS value FROM v WHERE f <= TIMESTAMP '1996-06-01' AND (u IS NULL OR u >= TIMESTAMP '1996-06-01') GROUP BY 1)
+    SELECT n_name, count(*) FILTER (value = 'F') AS closed, count(*) AS facts, round((count(*) FILTER (value = 'F')) / (count(*) + 2.0::DOUBLE), 6) AS b, round(2.0::DOUBLE / (count(*) + 2.0::DOUBLE), 6) AS u FROM s JOIN customer ON node_id = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+def evidence_at_time(t):
+    """A time slice, joined and counted as evidence: the retrieval path from graph to opinion."""
+    now = graph.query_at_time(versions(t), F.lit("1996-06-01").cast("timestamp_ntz")).groupBy("node_id").agg(F.max_by("value", "src_ord").alias("value"))
+    rows = now.join(t("customer").select(F.col("c_custkey").alias("node_id"), "c_nationkey"), "node_id").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    g = rows.groupBy("n_name").agg(F.count_if(F.col("value") == "F").alias("closed"), F.count(F.lit(1)).alias("facts"))
+    o = O.from_evidence(F.col("closed"), F.col("facts") - F.col("closed"))
+    return g.select("n_name", "closed", "facts", r6(o["b"], "b"), r6(o["u"], "u"))

@@ -78,3 +78,32 @@ def to_sosa(rows: DataFrame) -> DataFrame:
         (o, RDF_TYPE, F.lit(SOSA + "Observation")), (o, SOSA + "hasFeatureOfInterest", F.col("node_id")), (o, SOSA + "observedProperty", F.col("prop")), (o, SOSA + "hasResult", r), (r, RDF_TYPE, F.lit(SOSA + "Result")), (r, "value", F.col("value")),
         (o, SOSA + "madeBySensor", F.col("source")), (F.col("source"), RDF_TYPE, F.lit(SOSA + "Sensor")), (o, SOSA + "resultTime", F.col("extracted_at")), (o, SOSA + "usedProcedure", F.col("method")),
     ]).distinct()
+
+
+def to_dpv(rows: DataFrame) -> DataFrame:
+    """(subject, predicate, object): a handling of personal data for each protected assertion (those with a category)."""
+    from veridelta.sources.schemas import BASIS_TERMS, CATEGORY_TERMS, DPV
+
+    term = lambda c, terms: F.create_map(*[F.lit(x) for k, v in terms.items() for x in (k, DPV + v)])[F.col(c)]
+    h = F.when(F.col("category").isNotNull(), blank("h", F.col("node_id"), F.col("prop"), F.col("value")))
+    return _statements(rows, [
+        (h, RDF_TYPE, F.lit(DPV + "PersonalDataHandling")), (h, DPV + "hasPersonalData", term("category", CATEGORY_TERMS)), (h, DPV + "hasLegalBasis", term("legal_basis", BASIS_TERMS)), (h, DPV + "hasDataController", F.col("controller")),
+        (h, DPV + "hasDataSubject", F.col("data_subject").cast("string")), (h, DPV + "hasJurisdiction", F.col("jurisdiction")), (h, DPV + "hasStorageCondition", F.col("retention_until").cast("string")),
+    ]).distinct()
+
+
+def from_dpv(statements: DataFrame) -> DataFrame:
+    """(handling, category, legal_basis, controller, data_subject, jurisdiction): the inverse of to_dpv."""
+    from veridelta.sources.schemas import BASIS_TERMS, CATEGORY_TERMS, DPV
+
+    back = lambda c, terms: F.create_map(*[F.lit(x) for k, v in terms.items() for x in (DPV + v, k)])[c]
+    pick = lambda p: F.max(F.when(F.col("predicate") == DPV + p, F.col("object")))
+    return statements.groupBy(F.col("subject").alias("handling")).agg(back(pick("hasPersonalData"), CATEGORY_TERMS).alias("category"), back(pick("hasLegalBasis"), BASIS_TERMS).alias("legal_basis"), pick("hasDataController").alias("controller"), pick("hasDataSubject").alias("data_subject"), pick("hasJurisdiction").alias("jurisdiction"))
+
+
+def from_sosa(statements: DataFrame) -> DataFrame:
+    """(node_id, prop, value, source, extracted_at, method) of observations: the inverse of to_sosa."""
+    pick = lambda p: F.max(F.when(F.col("predicate") == SOSA + p, F.col("object")))
+    o = statements.groupBy("subject").agg(pick("hasFeatureOfInterest").alias("node_id"), pick("observedProperty").alias("prop"), pick("hasResult").alias("r"), pick("madeBySensor").alias("source"), pick("resultTime").alias("extracted_at"), pick("usedProcedure").alias("method")).where("node_id IS NOT NULL")
+    r = statements.where("predicate = 'value'").select(F.col("subject").alias("r"), F.col("object").alias("value"))
+    return o.join(r, "r").select("node_id", "prop", "value", "source", "extracted_at", "method")
