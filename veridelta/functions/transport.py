@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, LongType, StringType
 
 
 def local_name(iri: Column) -> Column:
@@ -122,3 +122,26 @@ def to_cbor(text: pd.Series) -> pd.Series:
 @pandas_udf(StringType())
 def from_cbor(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else json.dumps(cbor_decode(b)))
+
+
+def payload_stats(text: Column) -> Column:
+    """A struct of sizes in bytes: json, cbor, and either compressed."""
+    return F.struct(F.octet_length(text).alias("json"), F.octet_length(to_cbor(text)).alias("cbor"), gzip_size(text.cast("binary")).alias("gzip_json"), gzip_size(to_cbor(text)).alias("gzip_cbor"))
+
+
+@pandas_udf(LongType())
+def gzip_size(raw: pd.Series) -> pd.Series:
+    import gzip
+
+    return raw.map(lambda b: None if b is None else len(gzip.compress(bytes(b), mtime=0)))
+
+
+def mqtt5_properties(compressed: bool, valid_until: Column, now: Column, **user: Column) -> Column:
+    """A struct of content type, payload format, message expiry and user properties."""
+    kind = "application/cbor" if compressed else "application/ld+json"
+    pairs = [x for k, v in user.items() for x in (F.lit(k), v.cast("string"))]
+    return F.struct(F.lit(kind).alias("content_type"), F.lit(0 if compressed else 1).alias("payload_format_indicator"), F.when(valid_until.isNotNull(), expiry_seconds(valid_until, now)).alias("message_expiry_interval"), (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("user_properties"))
+
+
+def integrity_context(url: Column, content: Column, algorithm: str = "sha256") -> Column:
+    return F.struct(url.alias("@id"), integrity(content, algorithm).alias("@integrity"))

@@ -69,3 +69,36 @@ def bundle_fuse(rows: DataFrame, method: str = "cumulative", order: str = "ord")
 
 def consent_meet(*opinions: Column) -> Column:
     return reduce(O.meet, opinions)
+
+
+def decayed(o: Column, recorded: list[Column], at: Column, half_life_days: float = 365.0) -> Column:
+    """The opinion aged by days since the first of the given times that is known; of the future or never recorded it stays."""
+    t = F.coalesce(*[c.cast("timestamp") for c in recorded])
+    days = (F.unix_micros(at.cast("timestamp")) - F.unix_micros(t)) / 86_400_000_000
+    return F.when(days >= 0, O.decay(o, F.greatest(days, F.lit(0.0)), half_life_days)).otherwise(o)
+
+
+def clinical_fuse(df: DataFrame, by: list[str], method: str = "cumulative", order: str = "ord") -> DataFrame:
+    """One opinion for each group from the first opinion of each document (by order); documents without are left out."""
+    first = df.where(F.col("opinion").isNotNull()).groupBy(*by, "doc").agg(F.min_by("opinion", order).alias("opinion"), F.min(order).alias("_o"))
+    return cumulative_fuse(first, by, "opinion", "_o") if method == "cumulative" else averaging_fuse(first, by)
+
+
+def trust_chain(opinions: Column, trusts: Column) -> Column:
+    """opinions[0] discounted by each trust in turn; there has to be one trust less than opinions."""
+    ok = F.when(F.size(trusts) == F.size(opinions) - 1, trusts).otherwise(F.raise_error(F.lit("one trust level is needed between each two of the chain")).cast(f"array<{O.SCHEMA}>"))
+    return F.aggregate(ok, opinions[0].cast(O.SCHEMA), lambda x, t: O.trust_discount(t, x).cast(O.SCHEMA))
+
+
+def consent_opinion(status: Column, denied: Column, verified: Column, unverified: Column) -> Column:
+    """A consent's opinion: denial lowers the probability, each verification lowers the uncertainty to a floor, unverified entries raise it."""
+    codes = {"active": (0.9, 0.15), "draft": (0.5, 0.4), "inactive": (0.3, 0.25), "proposed": (0.5, 0.35), "rejected": (0.05, 0.1), "entered-in-error": (0.5, 0.45)}
+    of = lambda i: F.coalesce(F.create_map(*[F.lit(x) for k, v in codes.items() for x in (k, v[i])])[status], F.lit((0.5, 0.35)[i]))
+    p = of(0) * F.when(denied, 0.7).otherwise(1.0)
+    u = of(1) * F.when(verified > 0, F.greatest(F.lit(0.3), F.pow(F.lit(0.75), verified))).when(unverified > 0, 1.05).otherwise(1.0)
+    return O.from_confidence(p, F.least(F.lit(0.95), u))
+
+
+def consent_status(o: Column) -> Column:
+    """The status that an opinion amounts to."""
+    return F.when(o["u"] >= 0.5, "draft").when(o["d"] > o["b"], "rejected").when(o["b"] > o["d"], "active").otherwise("proposed")

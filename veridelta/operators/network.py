@@ -114,3 +114,73 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level, position): parents before children, ties by name."""
     lv = levels(nodes, edges)
     return lv.withColumn("position", F.row_number().over(Window.orderBy("level", "node")) - 1)
+
+
+def enumerate_parents(parents: DataFrame, table: DataFrame) -> DataFrame:
+    """(target, opinion) by full conditional tables: table(target, config, parent, state, given) has a row for each parent of each configuration; parents(node, opinion).
+
+    A configuration weighs the product of its parents' projected probabilities; a table that lacks configurations, or parents that have no opinion, is an error."""
+    p = parents.select(F.col("node").alias("parent"), O.projected(F.col("opinion")).alias("_p"))
+    rows = table.join(p, "parent", "left")
+    known = F.when(F.col("_p").isNull(), F.raise_error(F.lit("a parent has no opinion")).cast("double")).otherwise(F.col("_p"))
+    w = F.when(F.col("state"), known).otherwise(1 - known)
+    each = rows.groupBy("target", "config").agg(F.product(w).alias("_w"), F.first("given").alias("_g"), F.count(F.lit(1)).alias("_k"))
+    g = F.col("_g")
+    s = each.groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.max("_k").alias("_k"), *[F.sum(F.col("_w") * g[x]).alias(x) for x in "bdu"], F.sum(F.col("_w") * O.projected(g)).alias("a"))
+    full = F.when(F.col("_n") != F.pow(F.lit(2), F.col("_k")), F.raise_error(F.lit("a conditional table is not complete")).cast("double")).otherwise(F.col("b"))
+    return s.select("target", O.opinion(full, F.col("d"), F.col("u"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("a")))).alias("opinion"))
+
+
+def from_probabilities(table: DataFrame, probability: str, samples: str | int = 100) -> DataFrame:
+    """table with given: conditional probabilities as opinions of so many samples (a column or a number)."""
+    n = F.col(samples) if isinstance(samples, str) else F.lit(samples)
+    return table.withColumn("given", O.from_evidence(F.col(probability) * n, (1 - F.col(probability)) * n))
+
+
+def to_probabilities(edges: DataFrame, base_rate: float = 0.5) -> DataFrame:
+    """(source, target, if_true, if_false): conditionals projected; without a counterfactual the base rate stands."""
+    other = F.coalesce(O.projected(F.col("otherwise")), F.lit(base_rate)) if "otherwise" in edges.columns else F.lit(base_rate)
+    return edges.select("source", "target", O.projected(F.col("given")).alias("if_true"), other.alias("if_false"))
+
+
+def unroll(nodes: DataFrame, within: DataFrame, between: DataFrame, slices: int, seconds: float, start: Column) -> tuple[DataFrame, DataFrame]:
+    """A dynamic network over time slices: nodes(node, opinion) and edges within a slice are repeated, edges between go from each slice to the next and hold for that time."""
+    if slices < 2:
+        raise ValueError("a dynamic network needs two slices at least")
+    t = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    name = lambda c, i: F.concat(F.col(c), F.lit("_t"), i.cast("string"))
+    when = lambda i: F.timestamp_micros((F.unix_micros(start.cast("timestamp")) + i * seconds * 1e6).cast("long"))
+    n = nodes.withColumn("_i", t).select(name("node", F.col("_i")).alias("node"), "opinion", when(F.col("_i")).alias("timestamp"))
+    none = F.lit(None).cast("timestamp")
+    a = within.withColumn("_i", t).select(name("source", F.col("_i")).alias("source"), name("target", F.col("_i")).alias("target"), "given", none.alias("valid_from"), none.alias("valid_until"))
+    b = between.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(slices - 2)))).select(name("source", F.col("_i")).alias("source"), name("target", F.col("_i") + 1).alias("target"), "given", when(F.col("_i")).alias("valid_from"), when(F.col("_i") + 1).alias("valid_until"))
+    return n, a.unionByName(b)
+
+
+def decay_edges(edges: DataFrame, at: Column, half_life: float) -> DataFrame:
+    """edges(given[, otherwise], timestamp[, half_life]) aged to an instant; those without a time, or of the future, stay."""
+    age = (F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("timestamp").cast("timestamp"))) / 1e6
+    h = F.coalesce("half_life", F.lit(half_life)) if "half_life" in edges.columns else F.lit(half_life)
+    old = lambda c: F.when(F.col(c).isNotNull() & (age >= 0), O.decay(F.col(c), F.greatest(age, F.lit(0.0)), h)).otherwise(F.col(c))
+    return edges.withColumns({c: old(c) for c in ("given", "otherwise") if c in edges.columns})
+
+
+def infer_at(nodes: DataFrame, edges: DataFrame, at: Column, half_life: float = 86400.0, what: str = "both", **options: str) -> DataFrame:
+    """infer over nodes, edges or both aged to an instant."""
+    n = decay_nodes(nodes, at, half_life) if what in ("both", "nodes") else nodes
+    e = decay_edges(edges, at, half_life) if what in ("both", "edges") else edges
+    return infer(n, e, **options)
+
+
+def infer_difference(nodes: DataFrame, edges: DataFrame, t1: Column, t2: Column, **options: object) -> DataFrame:
+    """(node, delta_belief, delta_disbelief, delta_uncertainty) between two instants."""
+    x = infer_at(nodes, edges, t1, **options).withColumnRenamed("opinion", "_x")
+    y = infer_at(nodes, edges, t2, **options).withColumnRenamed("opinion", "_y")
+    return x.join(y, "node").select("node", *[(F.col("_y")[k] - F.col("_x")[k]).alias(n) for k, n in (("b", "delta_belief"), ("d", "delta_disbelief"), ("u", "delta_uncertainty"))])
+
+
+def from_assertions(rows: DataFrame, edge_props: list[str], uncertainty: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of an assertions table: a node's opinion is of its highest confidence, the values of edge properties name its parents."""
+    nodes = rows.groupBy(F.col("node_id").alias("node")).agg(F.max("confidence").alias("_c"), F.max("as_of").alias("timestamp")).select("node", F.when(F.col("_c").isNotNull(), O.from_confidence(F.col("_c"), uncertainty)).otherwise(O.vacuous()).alias("opinion"), F.col("timestamp").cast("timestamp").alias("timestamp"))
+    edges = rows.where(F.col("prop").isin(*edge_props)).select(F.col("value").alias("source"), F.col("node_id").alias("target"), O.from_confidence(F.coalesce("confidence", F.lit(1.0)), uncertainty).alias("given"))
+    return nodes, edges

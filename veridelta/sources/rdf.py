@@ -107,3 +107,23 @@ def from_sosa(statements: DataFrame) -> DataFrame:
     o = statements.groupBy("subject").agg(pick("hasFeatureOfInterest").alias("node_id"), pick("observedProperty").alias("prop"), pick("hasResult").alias("r"), pick("madeBySensor").alias("source"), pick("resultTime").alias("extracted_at"), pick("usedProcedure").alias("method")).where("node_id IS NOT NULL")
     r = statements.where("predicate = 'value'").select(F.col("subject").alias("r"), F.col("object").alias("value"))
     return o.join(r, "r").select("node_id", "prop", "value", "source", "extracted_at", "method")
+
+
+def to_turtle(rows: DataFrame, ns: str, meta: dict[str, str], prefixes: dict[str, str]) -> DataFrame:
+    """(ord, line): Turtle-star lines, the prefixes first; an IRI under a prefix is shortened where the rest is a plain name."""
+    def short(line: Column) -> Column:
+        for p, base in prefixes.items():
+            line = F.regexp_replace(line, "<" + base.replace(".", r"\.") + "([A-Za-z_][A-Za-z0-9_-]*)>", p + ":$1")
+        return line
+
+    spark = rows.sparkSession
+    head = spark.createDataFrame([(0, f"@prefix {p}: <{b}> .") for p, b in prefixes.items()], "ord int, line string")
+    return head.unionByName(to_ntriples(rows, ns, meta).select(F.lit(1).alias("ord"), short(F.col("line")).alias("line")))
+
+
+def verbosity(rows: DataFrame, statements: DataFrame, text: str = "json") -> DataFrame:
+    """One row: documents' bytes and assertions against statements' bytes and number, and what is saved in percent. rows(json): the documents."""
+    a = rows.agg(F.sum(F.octet_length(text)).alias("document_bytes"), F.count(F.lit(1)).alias("documents"))
+    size = F.octet_length("subject") + F.octet_length("predicate") + F.octet_length("object") + 8
+    b = statements.agg(F.sum(size).alias("statement_bytes"), F.count(F.lit(1)).alias("statements"))
+    return a.crossJoin(b).withColumn("bytes_saved_pct", F.round(100 * (1 - F.col("document_bytes") / F.col("statement_bytes")), 2))
