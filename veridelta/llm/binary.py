@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import mix
+from .common import bound_batches, mix
 
 #: Bytes of text that a shard gets about, and keys of an index bucket.
 SHARD_BYTES, LAMBDA = 8 << 20, 4
@@ -87,6 +87,7 @@ def find(key: int, row: dict) -> list[np.ndarray]:
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(shard, n_docs, n_tokens, dtype, payload, offsets, displacements, fingerprints, entries, counts), a row for each shard."""
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("key"), F.col(text).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, round(total / SHARD_BYTES))

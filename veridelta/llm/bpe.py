@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import fresh, with_fields
+from .common import bound_batches, fresh, with_fields
 
 #: The published pre-tokeniser of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -102,6 +102,7 @@ def codec(path: str) -> Codec:
 
 def encode_column(df: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, list[str]]:
     """df with (ids, n_tokens, exact), and their names. exact: decoding gives the text again."""
+    bound_batches(df.sparkSession)
     names = fresh(df, "ids", "n_tokens", "exact")
     k, carried = df.columns.index(text), list(df.columns)
 

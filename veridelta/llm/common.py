@@ -147,6 +147,17 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+#: Bytes that go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of texts are bounded by bytes, for rows can be of any length, unless the session sets a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).lower().rstrip("b") == str(64 << 20):  # Spark's own default
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, gram_hashes, keyed, mix, steps, table, text_buffers, word_hashes
+from .common import bound_batches, fresh, gram_hashes, keyed, mix, steps, table, text_buffers, word_hashes
 from .toxicity import WORD
 
 N, THRESHOLD = 3, 0.5
@@ -65,6 +65,7 @@ def sketches(docs: DataFrame, n: int = N, size: int = SKETCH) -> DataFrame:
                 ["doc_id", "digest", "key", "n", "sketch"],
             )
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.lower("text").alias("text")).where("text IS NOT NULL")
     return rows.mapInArrow(run, "doc_id long, digest long, key binary, n int, sketch array<long>")
 

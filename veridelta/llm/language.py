@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_buffers, with_fields
+from .common import bound_batches, fresh, text_buffers, with_fields
 
 #: Bound of the labelled sample: so many documents of each language, by lowest hash of the id.
 TRAIN_PER_LANGUAGE = 300
@@ -155,6 +155,7 @@ def identify(df: DataFrame, model: Model, min_gain: float = MIN_GAIN) -> tuple[D
     """df with (language, score, accepted), and the names of these three."""
     names = fresh(df, "language", "score", "accepted")
     low, letters = fresh(df, "low", "letters")
+    bound_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
     carried = list(df.columns)
 

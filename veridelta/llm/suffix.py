@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _powers, keyed, mix, steps, table, text_buffers, word_hashes
+from .common import _powers, bound_batches, keyed, mix, steps, table, text_buffers, word_hashes
 
 WORDS, ANCHOR = 50, 32
 #: Words of a shard's string.
@@ -224,6 +224,7 @@ def _merged(spans: str) -> str:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, repeated, removable): word spans [first, end) of each document that occur more than once, and what of these starts is not the first occurrence."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").where("text IS NOT NULL")
     found = rows.mapInArrow(_occurrences, "h long, seg long, doc_id long, digest long, first int, starts int")
     of = Window.partitionBy("h")

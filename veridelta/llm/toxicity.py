@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, text_buffers, word_hashes
+from .common import bound_batches, steps, text_buffers, word_hashes
 
 #: Bound of the labelled sample, for each label.
 TRAIN_PER_LABEL = 10_000
@@ -110,6 +110,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_PER_LABEL) -> Model:
     """Fits the word weights and their calibration on at most so many documents of each label (lowest hash of the id)."""
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").distinct()
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0)
@@ -142,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_PER_LABEL) -> Mo
 
 def passages(docs: DataFrame, model: Model, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, n_words, p_value, passages of (first word, last + 1, score, p_value)) of the toxic documents."""
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     inner = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())]))
 
