@@ -21,17 +21,18 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): the longest way from a root. A cycle is an error."""
     at = shared_dir(nodes)
     e = edges.select("source", "target").distinct()
-    left = _cut(nodes.select("node").distinct(), at)
-    out, level = None, 0
-    while not left.isEmpty():
-        held = e.join(left.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct()
-        free = _cut(left.join(held, "node", "left_anti").withColumn("level", F.lit(level)), at)
-        if free.isEmpty():
-            raise CycleError("the edges close a cycle")
-        out = free if out is None else out.unionByName(free)
-        left = _cut(left.join(free, "node", "left_anti"), at)
+    front = _cut(nodes.select("node").join(e.select(F.col("target").alias("node")), "node", "left_anti").distinct(), at)
+    out, level, most = front.withColumn("level", F.lit(0)), 0, nodes.select("node").distinct().count()
+    while not front.isEmpty():
         level += 1
-    return out if out is not None else nodes.select("node", F.lit(0).alias("level"))
+        if level > most:
+            raise CycleError("the edges close a cycle")
+        front = _cut(front.join(e, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct(), at)
+        out = out.unionByName(front.withColumn("level", F.lit(level)))
+    got = _cut(out.groupBy("node").agg(F.max("level").alias("level")), at)
+    if not nodes.select("node").join(got, "node", "left_anti").isEmpty():  # what no root leads to lies on a cycle or behind one
+        raise CycleError("the edges close a cycle")
+    return got
 
 
 def is_tree(edges: DataFrame) -> bool:
@@ -43,7 +44,7 @@ def infer(nodes: DataFrame, edges: DataFrame, counterfactual: str = "vacuous", m
     if method == "exact" and not is_tree(edges):
         raise ValueError("exact inference needs nodes of one parent at most")
     at = shared_dir(nodes)
-    order = _cut(levels(nodes, edges), at)
+    order = levels(nodes, edges)
     deepest = order.agg(F.max("level")).first()[0] or 0
     otherwise = F.coalesce("otherwise", O.COUNTERFACTUALS[counterfactual](F.col("given"))) if "otherwise" in edges.columns else O.COUNTERFACTUALS[counterfactual](F.col("given"))
     e = edges.select("source", "target", "given", otherwise.alias("otherwise"))
