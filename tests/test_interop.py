@@ -69,7 +69,8 @@ def test_contexts_and_cards(spark):
     c = schemas.compare_contexts({"a": "1", "b": "2", "@contextVersion": "1"}, {"a": "9", "c": "3", "@contextVersion": "2"})
     assert (c.added, c.removed, c.changed, c.compatible) == (["c"], ["b"], ["a"], False)
     card = schemas.add_distribution(schemas.dataset_card("d", spark.range(1)), "f", "u", "text/csv")
-    assert card["recordSet"][0]["field"][0]["dataType"] == "sc:Integer"
+    (records,) = card["recordSet"]
+    assert [f["dataType"] for f in records["field"]] == ["sc:Integer"]
     assert schemas.from_croissant(schemas.to_croissant(card)) == card
 
 

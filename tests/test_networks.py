@@ -10,13 +10,18 @@ from veridelta.functions import transport as T
 from veridelta.operators import clinical, network
 from veridelta.sources import documents, rdf
 
+def op(b, d):
+    """b, d, what is left, and an even base rate."""
+    return b, d, round(1 - b - d, 6), 0.5
+
+
 NODE = f"node string, opinion {O.SCHEMA}"
 
 
 def test_enumeration(spark):
-    p = spark.createDataFrame([("a", (0.6, 0.2, 0.2, 0.5)), ("b", (0.1, 0.9, 0.0, 0.5))], NODE)
+    p = spark.createDataFrame([("a", op(0.6, 0.2)), ("b", op(0.1, 0.9))], NODE)
     given = {(1, 1): 0.9, (1, 0): 0.6, (0, 1): 0.5, (0, 0): 0.1}
-    rows = [("t", f"{x}{y}", n, bool(s), (g * 0.8, (1 - g) * 0.8, 0.2, 0.5)) for (x, y), g in given.items() for n, s in (("a", x), ("b", y))]
+    rows = [("t", f"{x}{y}", n, bool(s), (g * 0.8, (1 - g) * 0.8, 0.2, 0.5)) for (x, y), g in given.items() for n, s in zip("ab", (x, y))]
     table = spark.createDataFrame(rows, f"target string, config string, parent string, state boolean, given {O.SCHEMA}")
     o = network.enumerate_parents(p, table).first().opinion
     pa, pb = 0.7, 0.1
@@ -33,7 +38,7 @@ def test_probabilities_round_trip(spark):
 
 
 def test_unrolled_network(spark):
-    n = spark.createDataFrame([("x", (0.8, 0.1, 0.1, 0.5))], NODE)
+    n = spark.createDataFrame([("x", op(0.8, 0.1))], NODE)
     e = spark.createDataFrame([("x", "x")], "source string, target string").withColumn("given", O.opinion(0.9, 0.0, 0.1))
     nodes, edges = network.unroll(n, e.where("false"), e, 3, 60, F.lit("2024-01-01"))
     assert {r.node for r in nodes.collect()} == {"x_t0", "x_t1", "x_t2"}
@@ -41,21 +46,21 @@ def test_unrolled_network(spark):
 
 
 def test_inference_ages(spark):
-    n = spark.createDataFrame([("a", (0.8, 0.1, 0.1, 0.5), "2024-01-01"), ("b", None, None)], NODE + ", timestamp string")
+    n = spark.createDataFrame([("a", op(0.8, 0.1), "2024-01-01"), ("b", None, None)], NODE + ", timestamp string")
     e = spark.createDataFrame([("a", "b", "2024-01-01")], "source string, target string, timestamp string").withColumn("given", O.opinion(0.9, 0.0, 0.1))
     d = {r.node: r for r in network.infer_difference(n, e, F.lit("2024-01-01"), F.lit("2024-01-03"), half_life=86400.0).collect()}
     assert d["a"].delta_belief == pytest.approx(0.2 - 0.8) and d["b"].delta_uncertainty > 0
 
 
 def test_network_of_documents(spark):
-    doc = {"@graph": [{"@id": "a", "name": {"@value": "x", "@confidence": 0.9}}, {"@id": "b", "causedBy": {"@value": "a", "@confidence": 0.7}}]}
+    doc = {"@graph": [{p: {"@confidence": c, "@value": v}, "@id": i} for i, p, v, c in (("a", "title", "x", 0.9), ("b", "causedBy", "a", 0.7))]}
     nodes, edges = network.from_assertions(documents.assertions(spark.createDataFrame([(json.dumps(doc),)], "json string")), ["causedBy"], 0.1)
     assert {r.node: round(r.opinion.b, 6) for r in nodes.collect()} == {"a": 0.81, "b": 0.63}
     assert [(r.source, r.target) for r in edges.collect()] == [("a", "b")]
 
 
 def test_clinical_helpers(spark):
-    o, t = (0.8, 0.1, 0.1, 0.5), (0.5, 0.2, 0.3, 0.5)
+    o, t = op(0.8, 0.1), (0.5, 0.2, 0.3, 0.5)
     df = spark.createDataFrame([([o, o, o], [t, t], o, "2023-01-01")], f"os array<{O.SCHEMA}>, ts array<{O.SCHEMA}>, o {O.SCHEMA}, at string")
     r = df.select(
         clinical.trust_chain(F.col("os"), F.col("ts")).alias("chain"), clinical.decayed(F.col("o"), [F.lit(None).cast("string"), F.col("at")], F.lit("2024-01-01")).alias("old"), clinical.decayed(F.col("o"), [F.col("at")], F.lit("2020-01-01")).alias("new"),

@@ -14,8 +14,8 @@ from veridelta.streaming.fusion import windowed_fuse
 
 DOC = {
     "@graph": [
-        {"@id": "n1", "@type": "Person", "name": {"@value": "Ann", "@confidence": 0.9, "@source": "s1", "@method": "ner"}, "age": 41},
-        {"@id": "n2", "@type": ["Person", "Staff"], "name": [{"@value": "Bob", "@confidence": 0.4}, {"@value": "Rob", "@confidence": 0.8}]},
+        {"@id": "n1", "age": 41, "name": {"@method": "ner", "@value": "Ann", "@source": "s1", "@confidence": 0.9}, "@type": "Person"},
+        {"@id": "n2", "@type": ["Person", "Staff"], "name": [{"@confidence": c, "@value": v} for v, c in (("Bob", 0.4), ("Rob", 0.8))]},
     ]
 }
 
@@ -82,7 +82,7 @@ def test_shapes(spark):
 
 
 def test_metrics(spark):
-    df = spark.createDataFrame([([1.0, 0.0, 2.0], [0.0, 0.0, 1.0])], "a array<double>, b array<double>")
+    df = spark.createDataFrame([([1.0, 0.0, 2.0], list(map(float, (0, 0, 1))))], "a array<double>, b array<double>")
     got = similarity.compare_metrics(df, "a", "b").first()
     assert got.euclidean == pytest.approx(2**0.5) and got.jaccard == 0.5 and got.hamming == 2 and got.cosine == pytest.approx(2 / 5**0.5)
     more = df.select(V.dtw("a", "b").alias("dtw"), V.kendall("a", "b").alias("k"), V.wasserstein(F.col("a"), F.col("b")).alias("w"), V.mahalanobis([[1, 0, 0], [0, 1, 0], [0, 0, 1]])(F.col("a"), F.col("b")).alias("m")).first()
@@ -118,7 +118,7 @@ def test_multinomial(spark):
     assert b.b + b.d + b.u == pytest.approx(1)
     same = multinomial.cumulative_fuse(o.unionByName(o), ["g"]).collect()
     assert sum(r.b for r in same) + same[0].u == pytest.approx(1) and same[0].u < rows[0].u
-    assert rows_of(multinomial.promote(spark.createDataFrame([(1, (0.5, 0.3, 0.2, 0.5))], f"g int, opinion {O.SCHEMA}"), ["g"]).select("state", "b")) == [("F", 0.3), ("T", 0.5)]
+    assert rows_of(multinomial.promote(spark.range(1).select(F.lit(1).alias("g"), O.opinion(0.5, 0.3, 0.2).alias("opinion")), ["g"]).select("state", "b")) == [("F", 0.3), ("T", 0.5)]
 
 
 def test_closure_with_a_cycle(spark):

@@ -73,7 +73,8 @@ def test_robust_removes_the_liar(spark):
 
 
 def test_byzantine_strategies(spark):
-    rows = [(1, i, (0.8, 0.1, 0.1, 0.5), 0.9) for i in range(3)] + [(1, 8, (0.1, 0.8, 0.1, 0.5), 0.8), (1, 9, (0.6, 0.3, 0.1, 0.5), 0.1)]
+    o = lambda b: (b, 0.9 - b, 0.1, 0.5)
+    rows = [(1, i, o(0.8), 0.9) for i in range(3)] + [(1, 8, o(0.1), 0.8), (1, 9, o(0.6), 0.1)]
     df = spark.createDataFrame(rows, KIND + ", trust double")
     first = lambda s: fusion.byzantine_fuse(df, ["g"], "i", config=fusion.ByzantineConfig(0.1, 1, s, "trust")).first().removed
     assert first("most_conflicting") == [8] and first("least_trusted") == [9]
@@ -89,7 +90,7 @@ def test_scalar_rules(spark):
     assert tuple(one(spark, O.trust_discount(O.opinion(0.5, 0.2, 0.3), o))) == pytest.approx((0.25, 0.15, 0.6, 0.4))
     assert tuple(one(spark, O.from_evidence(F.lit(8), F.lit(0)))) == pytest.approx((0.8, 0, 0.2, 0.5))
     assert one(spark, O.conflict(O.opinion(0.5, 0.5, 0.0))) == 1
-    assert tuple(one(spark, O.from_jsonld(O.to_jsonld(o)))) == pytest.approx((0.5, 0.3, 0.2, 0.4))
+    assert tuple(one(spark, O.from_document(O.to_document(o)))) == pytest.approx((0.5, 0.3, 0.2, 0.4))
     assert tuple(one(spark, O.decay(o, F.lit(10), 10.0))) == pytest.approx((0.25, 0.15, 0.6, 0.4))
     assert one(spark, O.is_valid(O.opinion(0.5, 0.5, 0.5))) is False
     with pytest.raises(Exception, match="must not be negative"):
@@ -103,7 +104,7 @@ def test_deduction_of_certain_parents(spark):
 
 
 def test_meet_and_contamination(spark):
-    rows = [(1, 0, (0.9, 0.05, 0.05, 0.5)), (1, 1, (0.8, 0.1, 0.1, 0.5))]
+    rows = [(1, k, (b, d, d, 0.5)) for k, (b, d) in enumerate(((0.9, 0.05), (0.8, 0.1)))]
     df = spark.createDataFrame(rows, KIND)
     assert tuple(fusion.meet(df, ["g"]).first().opinion) == pytest.approx((0.72, 0.145, 0.135, 0.25))
     assert tuple(fusion.contamination(df, ["g"]).first().opinion) == pytest.approx((0.72, 0.145, 0.135, 0.5))

@@ -50,11 +50,11 @@ def from_evidence(r: Column, s: Column, weight: float = 2.0, a: Column | float =
     return opinion(r / total, s / total, F.lit(float(weight)) / total, a)
 
 
-def to_jsonld(o: Column) -> Column:
+def to_document(o: Column) -> Column:
     return F.to_json(F.struct(F.lit("Opinion").alias("@type"), o["b"].alias("belief"), o["d"].alias("disbelief"), o["u"].alias("uncertainty"), o["a"].alias("baseRate")))
 
 
-def from_jsonld(text: Column) -> Column:
+def from_document(text: Column) -> Column:
     x = F.from_json(text, "belief double, disbelief double, uncertainty double, baseRate double")
     return F.when(x.isNotNull(), opinion(x["belief"], x["disbelief"], x["uncertainty"], F.coalesce(x["baseRate"], F.lit(0.5))))
 
@@ -205,7 +205,7 @@ def adversarial_counterfactual(c: Column) -> Column:
     return opinion(c["d"], c["b"], c["u"], 1 - c["a"])
 
 
-COUNTERFACTUALS: dict[str, Callable[[Column], Column]] = {"vacuous": vacuous_counterfactual, "adversarial": adversarial_counterfactual, "prior": vacuous_counterfactual}
+COUNTERFACTUALS: dict[str, Callable[[Column], Column]] = dict(adversarial=adversarial_counterfactual, **dict.fromkeys(("vacuous", "prior"), vacuous_counterfactual))
 
 
 def flat(o: Column, digits: int = 6) -> list[Column]:

@@ -48,7 +48,7 @@ def averaging_fuse(df: DataFrame, by: list[str], opinion: str = "opinion") -> Da
     return s.select(*by, fused.alias(opinion))
 
 
-def fuse_scalars(df: DataFrame, by: list[str], score: str, uncertainty: float = 0.0, fusion: str = "cumulative", base_rate: float = 0.5, order: str | None = None) -> DataFrame:
+def fuse_scalars(df: DataFrame, by: list[str], score: str, fusion: str = "cumulative", order: str | None = None, base_rate: float = 0.5, uncertainty: float = 0.0) -> DataFrame:
     """Scores lifted to opinions and fused. Cumulative fusion of certain scores keeps (p, 0, 1 - p), which is noisy-OR."""
     c = F.col(score).cast("double")
     lifted = O.opinion(c, 0.0, 1 - c, base_rate) if fusion == "cumulative" and uncertainty == 0 else O.from_confidence(c, uncertainty, base_rate)
@@ -168,7 +168,7 @@ def byzantine_fuse(df: DataFrame, by: list[str], key: str, opinion: str = "opini
     return got.select(*by, O.opinion(F.col("b"), F.col("d"), F.col("u"), F.col("a")).alias("opinion"), "removed", "discords", "cohesion")
 
 
-def robust_fuse(df: DataFrame, by: list[str], key: str, opinion: str = "opinion", threshold: float = 0.15, max_removals: int | None = None) -> DataFrame:
+def robust_fuse(df: DataFrame, by: list[str], key: str, opinion: str = "opinion", max_removals: int | None = None, threshold: float = 0.15) -> DataFrame:
     return byzantine_fuse(df, by, key, opinion, ByzantineConfig(threshold, max_removals)).select(*by, "opinion", "removed")
 
 

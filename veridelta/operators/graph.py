@@ -60,7 +60,7 @@ def valid_at(start: Column, end: Column, at: Column) -> Column:
 
 
 def add_temporal(value: Column, valid_from: Column | None = None, valid_until: Column | None = None, as_of: Column | None = None) -> Column:
-    if valid_from is None and valid_until is None and as_of is None:
+    if all(x is None for x in (valid_from, valid_until, as_of)):
         raise ValueError("at least one bound is needed")
     none = F.lit(None).cast("timestamp")
     f, u = valid_from if valid_from is not None else none, valid_until if valid_until is not None else none

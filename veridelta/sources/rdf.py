@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-XSD = "http://www.w3.org/2001/XMLSchema#"
-PROV = "http://www.w3.org/ns/prov#"
-SOSA = "http://www.w3.org/ns/sosa/"
-RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+W3 = "http://www.w3.org/"
+RDF_TYPE = W3 + "1999/02/22-rdf-syntax-ns#type"
+SOSA = W3 + "ns/sosa/"
+XSD = W3 + "2001/XMLSchema#"
+PROV = W3 + "ns/prov#"
 
 
 def escaped(text: Column) -> Column:

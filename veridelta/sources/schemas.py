@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-SH, XSD, OWL = "http://www.w3.org/ns/shacl#", "http://www.w3.org/2001/XMLSchema#", "http://www.w3.org/2002/07/owl#"
+W3 = "http://www.w3.org/"
+SH = W3 + "ns/shacl#"
+XSD = W3 + "2001/XMLSchema#"
+OWL = W3 + "2002/07/owl#"
+SUB = W3 + "2000/01/rdf-schema#subClassOf"
 DPV = "https://w3id.org/dpv#"
 #: Constraint of a shape -> SHACL term.
 TERMS = {"minimum": "minInclusive", "maximum": "maxInclusive", "min_length": "minLength", "max_length": "maxLength", "pattern": "pattern", "min_count": "minCount", "max_count": "maxCount", "less_than": "lessThan", "less_than_or_equals": "lessThanOrEquals", "equals": "equals", "disjoint": "disjoint"}
 PATHS = ("less_than", "less_than_or_equals", "equals", "disjoint")
 
 
+def _local(ref: dict) -> str:
+    return ref["@id"].rpartition("#")[2]
+
+
 def _rule_to_shacl(rule: dict) -> dict:
     out: dict = {}
     if rule.get("required"):
@@ -50,7 +58,7 @@ def _rule_from_shacl(s: dict) -> dict:
         elif k in back:
             rule[back[k]] = v["@id"] if isinstance(v, dict) else v
         elif k == SH + "datatype":
-            rule["datatype"] = "xsd:" + v["@id"].rpartition("#")[2]
+            rule["datatype"] = "xsd:" + _local(v)
         elif k == SH + "in":
             rule["in"] = v["@list"]
         elif k == SH + "or" and v.get("conditional"):
@@ -62,7 +70,7 @@ def _rule_from_shacl(s: dict) -> dict:
         elif k == SH + "not":
             rule["not"] = _rule_from_shacl(v)
         elif k == SH + "severity":
-            rule["severity"] = v["@id"].rpartition("#")[2].lower()
+            rule["severity"] = _local(v).lower()
         elif k == SH + "node":
             rule["shape"] = shacl_to_shape(v)[0]
     return rule
@@ -99,13 +107,13 @@ def shape_to_owl(shape: dict) -> dict:
         rest = {k: v for k, v in r.items() if k not in (*facets, "required", "min_count", "max_count", "datatype", "in")}
         if rest:
             notes[name] = rest
-    return {"@id": shape.get("type", "_:class"), "@type": OWL + "Class", "http://www.w3.org/2000/01/rdf-schema#subClassOf": parts} | ({"annotations": notes} if notes else {})
+    return {"@id": shape.get("type", "_:class"), "@type": OWL + "Class", SUB: parts} | ({"annotations": notes} if notes else {})
 
 
 def owl_to_shape(doc: dict) -> dict:
     props: dict = {}
     names = {"minInclusive": "minimum", "maxInclusive": "maximum", "minLength": "min_length", "maxLength": "max_length", "pattern": "pattern"}
-    for r in doc.get("http://www.w3.org/2000/01/rdf-schema#subClassOf", []):
+    for r in doc.get(SUB, []):
         rule = props.setdefault(r[OWL + "onProperty"]["@id"], {})
         if OWL + "minCardinality" in r:
             n = r[OWL + "minCardinality"]
@@ -114,13 +122,14 @@ def owl_to_shape(doc: dict) -> dict:
             rule["max_count"] = r[OWL + "maxCardinality"]
         v = r.get(OWL + "allValuesFrom", {})
         if "@id" in v:
-            rule["datatype"] = "xsd:" + v["@id"].rpartition("#")[2]
+            rule["datatype"] = "xsd:" + _local(v)
         if OWL + "oneOf" in v:
             rule["in"] = v[OWL + "oneOf"]["@list"]
         for f in v.get(OWL + "withRestrictions", {}).get("@list", []):
             for k, x in f.items():
                 rule[names[k.rpartition("#")[2]]] = x
-        base = v.get(OWL + "onDatatype", {}).get("@id", "").rpartition("#")[2]
+        on = v.get(OWL + "onDatatype")
+        base = _local(on) if on else ""
         if base not in ("", "string", "decimal"):
             rule["datatype"] = "xsd:" + base
     for name, rest in doc.get("annotations", {}).items():
@@ -148,12 +157,16 @@ def compare_contexts(old: dict, new: dict) -> Compatibility:
     return out
 
 
+CROISSANT, SCHEMA = "http://mlcommons.org/croissant/", "https://schema.org/"
+CROISSANT_TERMS = {"@vocab": SCHEMA, "sc": SCHEMA, "cr": CROISSANT}
+
+
 def dataset_card(name: str, df: object = None, **meta: object) -> dict:
     """A schema.org dataset; with a DataFrame, its columns become fields of a record set."""
     kinds = {"string": "sc:Text", "bigint": "sc:Integer", "int": "sc:Integer", "double": "sc:Float", "float": "sc:Float", "boolean": "sc:Boolean", "date": "sc:Date", "timestamp": "sc:DateTime", "timestamp_ntz": "sc:DateTime"}
-    card: dict = {"@context": "https://schema.org/", "@type": "Dataset", "name": name} | {k: v for k, v in meta.items() if v is not None}
+    card: dict = {"name": name, "@type": "Dataset", "@context": SCHEMA} | {k: v for k, v in meta.items() if v is not None}
     if df is not None:
-        card["recordSet"] = [{"@type": "cr:RecordSet", "name": name, "field": [{"@type": "cr:Field", "name": f.name, "dataType": kinds.get(f.dataType.simpleString(), "sc:Text")} for f in df.schema]}]
+        card["recordSet"] = [{"@type": "cr:RecordSet", "name": name, "field": [{"dataType": kinds.get(f.dataType.simpleString(), "sc:Text"), "name": f.name, "@type": "cr:Field"} for f in df.schema]}]
     return card
 
 
@@ -166,11 +179,11 @@ def add_file_set(card: dict, name: str, contained_in: str, encoding: str, includ
 
 
 def to_croissant(card: dict) -> dict:
-    return card | {"@context": {"@vocab": "https://schema.org/", "cr": "http://mlcommons.org/croissant/", "sc": "https://schema.org/"}, "conformsTo": "http://mlcommons.org/croissant/1.0"}
+    return card | {"@context": CROISSANT_TERMS, "conformsTo": CROISSANT + "1.0"}
 
 
 def from_croissant(card: dict) -> dict:
-    return {k: v for k, v in card.items() if k != "conformsTo"} | {"@context": "https://schema.org/"}
+    return {k: v for k, v in card.items() if k != "conformsTo"} | {"@context": SCHEMA}
 
 
 #: Term of an assertion's protection -> privacy vocabulary.
