@@ -138,11 +138,11 @@ def test_rights(spark):
 
 
 def test_network(spark):
-    n = spark.createDataFrame([("a", (0.8, 0.1, 0.1, 0.5)), ("b", None), ("c", None), ("d", None)], f"node string, opinion {O.SCHEMA}")
+    n = spark.createDataFrame([(x,) for x in "abcd"], "node string").withColumn("opinion", F.when(F.col("node") == "a", O.opinion(0.8, 0.1, 0.1)))
     e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")], "source string, target string").withColumn("given", O.opinion(0.9, 0.0, 0.1))
     got = {r.node: r.opinion for r in network.infer(n, e).collect()}
     assert set(got) == set("abcd") and got["d"].u < got["b"].u
-    assert [r.node for r in network.topological_order(n, e).orderBy("position").collect()] == ["a", "b", "c", "d"]
+    assert [r.node for r in network.topological_order(n, e).orderBy("position").collect()] == list("abcd")
     with pytest.raises(ValueError, match="one parent"):
         network.infer(n, e, method="exact")
     with pytest.raises(network.CycleError):

@@ -175,7 +175,7 @@ def add_distribution(card: dict, name: str, url: str, encoding: str, **more: obj
 
 
 def add_file_set(card: dict, name: str, contained_in: str, encoding: str, includes: str) -> dict:
-    return card | {"distribution": [*card.get("distribution", []), {"@type": "cr:FileSet", "name": name, "containedIn": {"@id": contained_in}, "encodingFormat": encoding, "includes": includes}]}
+    return card | {"distribution": [*card.get("distribution", []), {"includes": includes, "encodingFormat": encoding, "containedIn": {"@id": contained_in}, "@type": "cr:FileSet", "name": name}]}
 
 
 def to_croissant(card: dict) -> dict:
