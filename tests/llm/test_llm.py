@@ -476,6 +476,12 @@ def test_mixing_meets_its_constraints(docs):
     assert np.abs(x @ np.linalg.lstsq(x, y, rcond=None)[0] - y).max() < 1e-6
 
 
+def test_too_many_constraints(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_CONSTRAINTS", 3)
+    with pytest.raises(ValueError, match="group them"):
+        mixing.rates(docs)
+
+
 def test_mixing_edges(odd, none):
     out, names, got = mixing.rates(odd)
     assert out.count() == odd.count() and out.columns[: len(odd.columns)] == odd.columns

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_RE, fresh, table
 
 NONE = "\x00none"
+#: Sources and languages that the driver's system may have; more have to be grouped first.
+MOST_CONSTRAINTS = 4096
 
 
 def token_count(text: Column) -> Column:
@@ -56,6 +58,8 @@ def balance(stats: DataFrame, source_target: dict[str, float] | None, lang_targe
     targets = shares(by[0], source_target, power), shares(by[1], lang_target, power)
     names = [(k, n) for k in (0, 1) for n in sorted(targets[k]) if targets[k][n] > 0]
     at = {x: i for i, x in enumerate(names)}
+    if len(names) > MOST_CONSTRAINTS:
+        raise ValueError(f"{len(names)} sources and languages: group them into {MOST_CONSTRAINTS} at most")
     goal = np.array([targets[k][n] for k, n in names] + [0.0])
     dead = {(k, n) for k in (0, 1) for n in by[k] if targets[k].get(n, 0) <= 0}
     z = (z0 - F.lit(mean)) / F.lit(sd)
