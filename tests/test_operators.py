@@ -151,7 +151,7 @@ def test_network(spark):
 
 
 def test_trust(spark):
-    t = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "a")], "source string, target string").withColumn("opinion", O.opinion(0.5, 0.0, 0.5))
+    t = spark.createDataFrame([tuple(x) for x in ("ab", "bc", "ac", "ca")], "source string, target string").withColumn("opinion", O.opinion(0.5, 0.0, 0.5))
     got = {r.target: r for r in network.propagate_trust(t, spark.createDataFrame([("a",)], "node string")).collect()}
     assert set(got) == {"b", "c"} and got["c"].paths == 2 and got["b"].opinion.b == 0.5
     with pytest.raises(ValueError, match="more than"):
