@@ -139,14 +139,6 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Deletes what table() wrote, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 #: Bytes that go to a Python worker at a time.
 BATCH_BYTES = 4 << 20
 

@@ -72,7 +72,7 @@ def balance(stats: DataFrame, source_target: dict[str, float] | None, lang_targe
             "source string, lang string, level double",
         )
         m = w * F.exp(F.least(F.col("level") + F.lit(float(x[-1])) * z, F.lit(60.0)))
-        rows = stats.join(F.broadcast(cells), ["source", "lang"]).groupBy("source", "lang").agg(F.sum(m).alias("m"), F.sum(m * z).alias("z"), F.sum(m * z * z).alias("zz")).collect()
+        rows = stats.join(cells, ["source", "lang"]).groupBy("source", "lang").agg(F.sum(m).alias("m"), F.sum(m * z).alias("z"), F.sum(m * z * z).alias("zz")).collect()
         g, h = np.zeros(len(x)), np.zeros((len(x), len(x)))
         for r in rows:
             i, j, k = at[0, r.source], at[1, r.lang], len(x) - 1
