@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy; and the edge cases that their docstrings state."""
 
+import base64
 import heapq
 import random
 import re
@@ -380,6 +381,34 @@ def test_language_edges(spark, docs, odd, none):
     assert not any(r[ok] for r in out.collect())
 
 
+def test_foreign_and_junk_texts_are_rejected(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    r = random.Random(0)
+    bad = [
+        "La mattina seguente il sindaco della città ha aperto le porte del museo e molti visitatori sono entrati per vedere le opere",
+        "Następnego dnia rano burmistrz miasta otworzył drzwi muzeum i wielu zwiedzających weszło, aby zobaczyć dzieła sztuki",
+        "Seuraavana aamuna kaupungin pormestari avasi museon ovet ja monet vierailijat tulivat katsomaan taideteoksia",
+        "Ertesi sabah belediye başkanı müzenin kapılarını açtı ve birçok ziyaretçi eserleri görmek için içeri girdi",
+        "На следующее утро мэр города открыл двери музея и многие посетители вошли чтобы увидеть произведения искусства",
+        "第二天早上市长打开了博物馆的大门许多游客进来参观艺术作品",
+        "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=300)),
+        base64.b64encode(r.randbytes(300)).decode(),
+        " ".join(f"x{r.randrange(10**9)}" for _ in range(40)),
+    ]
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    model = language.train(d.where(half))
+    out, (_, _, ok) = language.identify(table(spark, [(i, t, None, "a") for i, t in enumerate(bad)]), model)
+    assert not [bad[r.doc_id] for r in out.collect() if r[ok]]
+    out, (lang, _, ok) = language.identify(d.where(~half), model)
+    share = out.groupBy("lang").agg(F.avg(F.col(ok).cast("int")).alias("kept")).collect()
+    assert len(share) == 4 and all(r.kept > 0.99 for r in share)
+
+
+def test_few_documents_set_no_limits():
+    m = language.limits(["the cat and the dog", "der Hund und die Katze"] * 3, ["en", "de"] * 3)
+    assert np.isinf(m).all() and np.isinf(language.limits([], [])).all()
+
+
 # Nearest neighbours
 
 

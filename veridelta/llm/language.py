@@ -6,8 +6,12 @@ give the Nystroem features K(x, landmarks) K(landmarks, landmarks)^-1/2, on whic
 classifier against the rest for each language. Presence of n-grams times landmarks' n-grams times weights
 is one matrix product per batch. Every text is read whole.
 
-Edge cases: a null or empty text, or one without a letter, has no language and is rejected; a text whose best
-score is under min_score is rejected; ties go to the language that comes first by name; repeated rows score alike;
+A text is accepted by its best score, its lead over the second and the share of its n-grams that landmarks hold. The limits of
+the three are low quantiles of what labelled documents, and their beginnings, reach under a model fitted without them, by
+number of n-grams, and looser for a language whose own documents reach less.
+
+Edge cases: a null or empty text, or one without a letter, has no language and is rejected; where too few labelled
+documents are at hand to set limits, a text is rejected if its best score is not min_gain above that of a text that tells nothing; ties go to the language that comes first by name; repeated rows score alike;
 rows without a language label are not trained on; without any labelled row every document is rejected; an
 empty table gives an empty result.
 """
@@ -29,6 +33,10 @@ LANDMARKS_PER_LANGUAGE = 40
 RIDGE = 1e-2
 #: A one-versus-rest decision is learnt as +1 or -1, so a text that tells nothing scores 2 / languages - 1; the best language has to be above that by this much.
 MIN_GAIN = 0.1
+#: The quantile of held-out documents that is a limit, how far the limit lies under it (in distances from the median), and how many documents set one.
+LOW, SLACK, LEAST_HELD = 0.002, 0.25, 40
+#: Characters of the beginnings that stand for short texts, and the classes of texts by the logarithm of their number of n-grams.
+BEGINNINGS, CLASSES = (8, 16, 32, 64, 128, 256), 9
 CODES = (1 << 24) + (1 << 16) + (1 << 8)
 _marks: np.ndarray | None = None
 _tables: dict[int, np.ndarray] = {}
@@ -74,10 +82,11 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 class Model:
-    """languages; the codes that count; for each code its weight for each language; what is added."""
+    """languages; the codes that count; for each code its weight for each language; what is added; least score, lead and share for each language and class of length."""
 
     def __init__(self, texts: list[str], langs: list[str]) -> None:
         self.languages = sorted(set(langs))
+        self.limits = np.full((len(self.languages), CLASSES, 3), -np.inf)
         if not texts:
             self.codes, self.weights, self.shift = np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0)
             return
@@ -110,6 +119,10 @@ class Model:
 
     def scores(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """One row of scores for each text, whose lower-cased bytes are raw[off[i]:off[i + 1]]."""
+        return self.measures(raw, off)[0]
+
+    def measures(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, class by number of n-grams, (best score, lead, share of n-grams that landmarks hold)), a row for each text."""
         key = hash((len(self.codes), self.codes[:50].tobytes()))
         if key not in _tables:
             _tables.clear()
@@ -118,6 +131,7 @@ class Model:
             _tables[key] = t
         table = _tables[key]
         out = np.empty((len(off) - 1, len(self.languages)))
+        size, known = np.zeros(len(out)), np.zeros(len(out))
         for a in range(0, len(out), 128):
             n = min(128, len(out) - a)
             flags = np.zeros((n, len(self.codes)), np.float32)
@@ -126,9 +140,19 @@ class Model:
                 c = presence(raw[off[a + i] : off[a + i + 1]])
                 norm[i] = max(1, len(c))
                 j = table[c]
-                flags[i, j[j >= 0]] = 1
+                j = j[j >= 0]
+                flags[i, j] = 1
+                size[a + i], known[a + i] = len(c), len(j)
             out[a : a + n] = (flags @ self.weights) / np.sqrt(norm)[:, None] + self.shift
-        return out
+        two = np.sort(np.column_stack([np.full((len(out), 2), -np.inf), out]), 1)[:, -2:]
+        lead = np.subtract(two[:, 1], two[:, 0], where=len(self.languages) > 1, out=np.zeros(len(out)))
+        size = np.maximum(1, size)
+        return out, np.minimum(CLASSES - 1, np.log2(size).astype(int)), np.column_stack([two[:, 1], lead, known / size])
+
+    def accepts(self, s: np.ndarray, kind: np.ndarray, got: np.ndarray, min_gain: float) -> np.ndarray:
+        """Which of the texts with these measures are accepted."""
+        chance = (s.max(1) >= 2 / len(self.languages) - 1 + min_gain) | (len(self.languages) == 1)
+        return chance & (got >= self.limits[s.argmax(1), kind]).all(1)
 
 
 def sample(df: DataFrame, label: Column, most: int, id_col: str = "doc_id", text: str = "text") -> list[tuple[str, str]]:
@@ -146,9 +170,47 @@ def sample(df: DataFrame, label: Column, most: int, id_col: str = "doc_id", text
     return [(k, t) for k in sorted(got) for t in got[k]]
 
 
+def limits(texts: list[str], langs: list[str]) -> np.ndarray:
+    """Limits of a model of these texts: each half is measured by a model of the other, whole and by its beginnings; of those that find their label, the low quantile less some slack."""
+    languages = sorted(set(langs))
+    turn: dict[str, int] = {}
+    half = np.zeros(len(langs), int)
+    for i, x in enumerate(langs):
+        turn[x] = turn.get(x, -1) + 1
+        half[i] = turn[x] % 2
+    held: dict[tuple[int, int], list[np.ndarray]] = {}
+    for side in (0, 1):
+        near = np.flatnonzero(half != side)
+        m = Model([texts[i] for i in near], [langs[i] for i in near])
+        parts = [] if m.languages != languages else [(langs[i], x) for i in np.flatnonzero(half == side) for x in (texts[i], *(texts[i][:n].rpartition(" ")[0] for n in BEGINNINGS if n < len(texts[i]))) if any(map(str.isalpha, x))]
+        if not parts:
+            continue
+        raw = [x.lower().encode() for _, x in parts]
+        s, kind, got = m.measures(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(int))
+        for (label, _), top, k, row in zip(parts, s.argmax(1).tolist(), kind.tolist(), got):
+            if languages[top] == label:
+                held.setdefault((top, k), []).append(row)
+    out = np.full((len(languages), CLASSES, 3), -np.inf)
+    for k in range(CLASSES):
+        own = [held.get((x, k), []) for x in range(len(languages))]
+        for x, rows in enumerate(own):
+            if len(rows) >= LEAST_HELD:
+                out[x, k] = np.minimum(lower(rows), lower([r for y in own for r in y]))
+    return out
+
+
+def lower(rows: list[np.ndarray]) -> np.ndarray:
+    low, middle = np.quantile(rows, [LOW, 0.5], axis=0)
+    return low - SLACK * (middle - low)
+
+
 def train(df: DataFrame, lang: str = "lang") -> Model:
     rows = sample(df, F.col(lang).cast("string"), TRAIN_PER_LANGUAGE)
-    return Model([t for _, t in rows], [k for k, _ in rows])
+    texts, langs = [t for _, t in rows], [k for k, _ in rows]
+    model = Model(texts, langs)
+    model.limits = limits(texts, langs)
+    forget()
+    return model
 
 
 def identify(df: DataFrame, model: Model, min_gain: float = MIN_GAIN) -> tuple[DataFrame, list[str]]:
@@ -164,13 +226,13 @@ def identify(df: DataFrame, model: Model, min_gain: float = MIN_GAIN) -> tuple[D
         for batch in batches:
             n, k = batch.num_rows, len(carried)
             ok = batch.column(k + 1).to_numpy(zero_copy_only=False).astype(bool)
-            best, top = np.full(n, None, object), np.full(n, np.nan)
+            best, top, good = np.full(n, None, object), np.full(n, np.nan), np.zeros(n, bool)
             if m.languages and n:
                 raw, off = text_buffers(batch.column(k))
-                s = m.scores(raw, off)
+                s, kind, got = m.measures(raw, off)
                 best, top = np.array(m.languages, object)[s.argmax(1)], s.max(1)
+                good = ok & m.accepts(s, kind, got, min_gain)
             best[~ok] = None
-            good = ok & ((top >= 2 / max(1, len(m.languages)) - 1 + min_gain) | (len(m.languages) == 1))
             forget()
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:k], pa.array(best, pa.string()), pa.array(top, pa.float64(), mask=~ok | np.isnan(top)), pa.array(good)], [*carried, *names]
