@@ -202,6 +202,24 @@ def test_toxicity_held_out(spark):
     assert sum(i in found for i in toxic) / len(toxic) > 0.85 and sum(i in found for i in clean) / len(clean) < 0.005
 
 
+def test_toxicity_held_out_in_each_language(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    found = {r.doc_id for r in toxicity.passages(docs, toxicity.train(docs, labels.where(half))).collect()}
+    hits = defaultdict(list)
+    for r in labels.where(~half).join(docs.select("doc_id", "lang"), "doc_id").collect():
+        hits[r.lang, r.toxic].append(r.doc_id in found)
+    share = {k: sum(v) / len(v) for k, v in hits.items()}
+    assert share["en", 1] > 0.9 and share["de", 1] > 0.7 and share["fr", 1] > 0.7 and share["es", 1] > 0.1  # 11 toxic documents of es to learn from
+    assert all(share[x, 0] < 0.01 for x in ("en", "de", "fr", "es"))
+
+
+def test_small_languages_have_equal_shares():
+    assert toxicity.shares({"a": 10, "b": 1000, "c": 500}, 210) == {"a": 1.0, "b": 0.1, "c": 0.2}
+    assert toxicity.shares({"a": 3, "b": 5}, 100) == {"a": 1.0, "b": 1.0}
+
+
 def test_toxicity_edges(spark, odd, none):
     labels = spark.createDataFrame([(7, 1), (8, 0), (None, 1), (5, None), (99, 1)], "doc_id long, toxic int")
     assert toxicity.passages(odd, toxicity.train(odd, labels)).count() == 0

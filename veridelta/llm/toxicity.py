@@ -1,8 +1,9 @@
 """Toxic passages by maximum-scoring segment search.
 
 Words score by their log-odds between toxic and other labelled documents, in numbers of documents that hold
-them, under an informative Dirichlet prior (the words' frequencies in the sample), as far as these are significant, less a drift that makes the
-expected score of clean text negative. A linear-time scan finds every maximal scoring segment of a text. A segment
+them, under an informative Dirichlet prior (the words' frequencies in the sample), in full where these are significant and shrunken where they are less so,
+less a drift that makes the expected score of clean text negative. Each language has weights of its own, to which the other languages' documents
+add a little. A document is tested by its language's weights and by those of all languages together, and its p-value is twice the lower one. A linear-time scan finds every maximal scoring segment of a text. A segment
 of score S in a text of n words has the extreme-value p-value 1 - exp(-K n e^(-L S)): L is the root of
 sum p_s e^(L s) = 1 under the scores of clean documents, and K is 1, its upper bound. A document's p-value is that of its best segment.
 
@@ -14,19 +15,21 @@ both kinds nothing is toxic; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, steps, text_buffers, word_hashes
+from .common import bound_batches, steps, table, text_buffers, word_hashes
 
-#: Bound of the labelled sample, for each label.
+#: Bound of the labelled sample, for each label; languages have equal shares of it, as far as they have documents.
 TRAIN_PER_LABEL = 10_000
 #: Total of the Dirichlet prior, as a share of the counts; a word's log-odds count from this many standard errors on.
 PRIOR, LEAST_Z = 0.05, 3.5
+#: Under that many, a word of at least such log-odds has part of its weight, down to none at the lower number; and what a document counts in another language.
+SOME_Z, SOME_ODDS, FOREIGN = 1.0, 2.0, 0.1
 #: Each word's cost, and the largest p-value of a toxic document and of the passages that are listed.
 DRIFT, ALPHA = 0.05, 1e-2
 WORD = np.zeros(256, bool)
@@ -39,6 +42,7 @@ class Model:
     weights: np.ndarray
     scale: float
     k: float
+    by: dict[str, Model] = field(default_factory=dict)
 
     def p_value(self, score: np.ndarray, words: np.ndarray) -> np.ndarray:
         return -np.expm1(-self.k * words * np.exp(np.minimum(700, -self.scale * np.asarray(score, float))))
@@ -94,44 +98,43 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, off = text_buffers(batch.column(0))
         label = batch.column(1).to_numpy(zero_copy_only=False)
+        tongue = batch.column(2).to_numpy(zero_copy_only=False)
         for i, j in steps(off):
             h, at = word_hashes(raw[off[i] : off[j]], off[i : j + 1] - off[i], WORD)
-            toxic = np.repeat(label[i:j] == 1, np.diff(at))
             doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
             order = np.lexsort((doc, h))
             first = np.ones(len(h), bool)
             first[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-            h, toxic = h[order][first], toxic[order][first]
-            u, inverse = np.unique(h, return_inverse=True)
-            t = np.bincount(inverse[toxic], minlength=len(u))
-            c = np.bincount(inverse, minlength=len(u)) - t
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(t.astype(np.int64)), pa.array(c.astype(np.int64))], ["h", "toxic", "clean"])
-
-
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_PER_LABEL) -> Model:
-    """Fits the word weights and their calibration on at most so many documents of each label (lowest hash of the id)."""
-    bound_batches(docs.sparkSession)
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").distinct()
-    counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0)
-    if len(counts) < 2:
-        return empty
-    u = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    bound = F.when(F.col("toxic") == 1, min(1.0, most / counts[1])).otherwise(min(1.0, most / counts[0]))
-    chosen = known.where(u < bound).withColumnRenamed("id", "doc_id")
-    rows = docs.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most about twice the sample's bound of ids
-    both = rows.mapInArrow(_words, "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # A word that is significant was seen several times; the rest keep a single sum each.
-    often = F.col("toxic") + F.col("clean") >= 5
-    got = both.where(often).select("h", "toxic", "clean").toArrow()
-    rest = both.where(~often).agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
-    h = got["h"].to_numpy().view(np.uint64)
-    toxic = np.append(got["toxic"].to_numpy(), rest[0]).astype(float)
-    clean = np.append(got["clean"].to_numpy(), rest[1]).astype(float)
+            h, doc = h[order][first], doc[order][first]
+            toxic, g = label[i:j][doc] == 1, tongue[i:j][doc].astype(np.int64)
+            order = np.lexsort((g, h))
+            h, g, toxic = h[order], g[order], toxic[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+            group = np.cumsum(new) - 1
+            t = np.bincount(group[toxic], minlength=int(new.sum()))
+            c = np.bincount(group, minlength=int(new.sum())) - t
+            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(g[new]), pa.array(t.astype(np.int64)), pa.array(c.astype(np.int64))], ["h", "g", "toxic", "clean"])
+
+
+def shares(counts: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each language's documents in a sample of at most so many: equal numbers, and what a small language leaves goes to the others."""
+    out, left = {}, most
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        take = min(float(n), left / (len(counts) - k))
+        out[lang], left = take / n, left - take
+    return out
+
+
+def fit(h: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> Model:
+    """Weights of words; the last counts are of all other words together."""
     if not toxic.sum() or not clean.sum():
-        return empty
-    odds, z = log_odds(toxic, clean)
-    weight = np.where((np.abs(z) >= LEAST_Z) & (odds > 0), odds, 0.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds, z = log_odds(toxic, clean)
+    odds, z = np.nan_to_num(odds, nan=0.0, posinf=0.0, neginf=0.0), np.nan_to_num(z)
+    part = np.where(odds >= SOME_ODDS, np.clip((z - SOME_Z) / (LEAST_Z - SOME_Z), 0, 1), z >= LEAST_Z)
+    weight = np.where(odds > 0, odds * part, 0.0)
     weight[-1] = 0.0
     share = clean + PRIOR * (toxic + clean)
     share /= share.sum()
@@ -141,6 +144,53 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_PER_LABEL) -> Mo
     return Model(h[keep], weight[keep], scale, 1.0)
 
 
+def balanced(toxic: np.ndarray, clean: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of a language with the larger of the two reduced, so that their totals have this ratio and its plain words tell nothing."""
+    t, c = toxic.sum(), clean.sum()
+    return (toxic * min(1.0, ratio * c / t), clean * min(1.0, t / (ratio * c))) if t and c and ratio else (toxic, clean)
+
+
+def tongue(df: DataFrame) -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in df.columns else F.lit("")
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_PER_LABEL) -> Model:
+    """Fits the word weights and their calibration on at most so many documents of each label (lowest hash of the id)."""
+    bound_batches(docs.sparkSession)
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), tongue(docs).alias("lang"), F.lower("text").alias("text"))
+    known = table(known.join(texts.select("id", "lang"), "id").distinct(), "toxic-ids")
+    counts: dict[int, dict[str, int]] = {}
+    for r in known.groupBy("toxic", "lang").count().collect():
+        counts.setdefault(r[0], {})[r[1]] = r[2]
+    if len(counts) < 2:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0)
+    langs = sorted({x for c in counts.values() for x in c})
+    bounds = docs.sparkSession.createDataFrame([(y, x, share, langs.index(x)) for y, c in counts.items() for x, share in shares(c, most).items()], "toxic int, lang string, share double, g int")
+    u = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = known.join(F.broadcast(bounds), ["toxic", "lang"]).where(u < F.col("share")).select("id", "lang", "toxic", "g")
+    rows = texts.join(F.broadcast(chosen), ["id", "lang"]).select("text", "toxic", "g")  # at most about twice the sample's bound of ids
+    both = rows.mapInArrow(_words, "h long, g long, toxic long, clean long").groupBy("h", "g").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    both = table(both, "toxic-words")
+    # A word that has a weight was seen more than once; the rest keep a single sum for each language.
+    often = F.col("toxic") + F.col("clean") >= 2
+    got = both.where(often).select("h", "g", "toxic", "clean").toArrow()
+    rest = np.zeros((2, len(langs)))
+    for r in both.where(~often).groupBy("g").agg(F.sum("toxic"), F.sum("clean")).collect():
+        rest[:, r[0]] = r[1:]
+    h, at = np.unique(got["h"].to_numpy().view(np.uint64), return_inverse=True)
+    g = got["g"].to_numpy()
+    own = [[np.append(np.bincount(at[g == k], got[x].to_numpy()[g == k], len(h)), rest[i, k]) for i, x in enumerate(("toxic", "clean"))] for k in range(len(langs))]
+    ratio = sum(t.sum() for t, _ in own) / max(1.0, sum(c.sum() for _, c in own))
+    model = fit(h, *(sum(x) for x in zip(*(balanced(t, c, ratio) for t, c in own))))
+    for k, lang in enumerate(langs):
+        t, c = own[k]
+        if t.sum() and c.sum():
+            others = [balanced(*x, t.sum() / c.sum()) for y, x in enumerate(own) if y != k]
+            model.by[lang] = fit(h, t + FOREIGN * sum(x for x, _ in others), c + FOREIGN * sum(x for _, x in others))
+    return model
+
+
 def passages(docs: DataFrame, model: Model, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, n_words, p_value, passages of (first word, last + 1, score, p_value)) of the toxic documents."""
     bound_batches(docs.sparkSession)
@@ -148,26 +198,33 @@ def passages(docs: DataFrame, model: Model, alpha: float = ALPHA) -> DataFrame:
     inner = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        every = held.value
         for batch in batches:
             raw, off = text_buffers(batch.column(1))
+            lang = np.array(batch.column(2).to_pylist(), object)
             ids, size, ps, lists = [], [], [], []
             for i, j in steps(off):
                 h, at = word_hashes(raw[off[i] : off[j]], off[i : j + 1] - off[i], WORD)
-                s = m.score(h)
-                hot = np.unique(np.searchsorted(at, np.flatnonzero(s > 0), "right") - 1)
+                whole, own = every.score(h), np.zeros(len(h))
+                for x in set(lang[i:j]) & set(every.by):
+                    mine = np.repeat(lang[i:j] == x, np.diff(at))
+                    own[mine] = every.by[x].score(h[mine])
+                hot = np.unique(np.searchsorted(at, np.flatnonzero((whole > 0) | (own > 0)), "right") - 1)
                 for d in hot:
-                    one = s[at[d] : at[d + 1]] - DRIFT
-                    found = segments(one)
-                    if not found:
-                        continue
-                    p = m.p_value(np.array([x[2] for x in found]), len(one))
-                    if p.min() <= alpha:
+                    tests = [(every, whole), *([(every.by[lang[i + d]], own)] if lang[i + d] in every.by else [])]
+                    results = []
+                    for m, s in tests:
+                        one = s[at[d] : at[d + 1]] - DRIFT
+                        if found := segments(one):
+                            p = np.minimum(1, len(tests) * m.p_value(np.array([x[2] for x in found]), len(one)))
+                            results.append((float(p.min()), found, p))
+                    if results and min(r[0] for r in results) <= alpha:
+                        least, found, p = min(results, key=lambda r: r[0])
                         ids.append(batch.column(0)[i + int(d)].as_py())
-                        size.append(len(one))
-                        ps.append(float(p.min()))
+                        size.append(int(at[d + 1] - at[d]))
+                        ps.append(least)
                         lists.append([{"first": a, "end": b, "score": x, "p_value": float(q)} for (a, b, x), q in zip(found, p) if q <= alpha])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(ps, pa.float64()), pa.array(lists, inner)], ["doc_id", "n_words", "p_value", "passages"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("text IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), tongue(docs).alias("lang")).where("text IS NOT NULL")
     return rows.mapInArrow(run, "doc_id long, n_words long, p_value double, passages array<struct<first:long,end:long,score:double,p_value:double>>")
