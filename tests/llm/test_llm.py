@@ -445,6 +445,20 @@ def test_neighbours_recall(spark):
     assert hit / (10 * len(ids)) >= 0.9
 
 
+def test_lower_ids_of_many_copies_are_nearest():
+    r = np.random.default_rng(0)
+    one = r.normal(size=8).astype(np.float32)
+    v = np.concatenate([np.tile(one, (4000, 1)), one + r.normal(size=(1000, 8)).astype(np.float32) * np.float32(1e-4)])
+    vid = r.permutation(len(v))
+    q = [0, 1, 4000, 4001]
+    d, ids = neighbours.best(v[q], vid[q], v, vid, 10)
+    for j, i in enumerate(q):
+        exact = ((v[i].astype(float) - v) ** 2).sum(1)
+        exact[i] = np.inf
+        want = np.lexsort((vid, exact))[:10]
+        assert ids[j].tolist() == vid[want].tolist() and d[j].tolist() == exact[want].tolist()
+
+
 def test_neighbours_edges(spark):
     v = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, []), (6, [1.0]), (7, [float("nan"), 0.0]), (8, [None, 1.0]), (None, [0.0, 0.0]), (9, [1.0, 0.0])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("row", "v", "leaf", "part")})

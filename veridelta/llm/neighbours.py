@@ -117,7 +117,15 @@ def best(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray, k: int)
     exact = ((q[:, None].astype(float) - v[near]) ** 2).sum(2)
     ids = vid[near]
     exact[ids == qid[:, None]] = np.inf
-    return _first(exact, ids, k)
+    out = _first(exact, ids, k)
+    if len(v) > n:  # rows that float32 can't tell from the k-th are all computed exactly
+        top = np.sqrt((v**2).sum(1).max())
+        error = np.finfo(np.float32).eps * (v.shape[1] + 8) * (top**2 + 2 * top * np.sqrt((q**2).sum(1)))
+        limit = np.sort(np.take_along_axis(d, near, 1), 1)[:, k - 1] + 2 * error
+        for i in np.flatnonzero((d <= limit[:, None]).sum(1) > n):
+            c = np.flatnonzero((d[i] <= limit[i]) & (vid != qid[i]))
+            out[0][i], out[1][i] = (x[0] for x in _first(((q[i].astype(float) - v[c]) ** 2).sum(1)[None], vid[c][None], k))
+    return out
 
 
 def _first(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
