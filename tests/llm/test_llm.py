@@ -105,21 +105,85 @@ def near_rows(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_join(spark, seed):
-    rows = near_rows(seed)
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.jaccard_join(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
-    want = brute_pairs(rows)
-    assert got.keys() <= want.keys() and len(got) >= 0.97 * len(want)
-    assert all(got[k] == pytest.approx(want[k]) for k in got)
+def brute_classes(rows, t=0.5):
+    """{(id, set): (class id, links)} by comparing all with all."""
+    nodes = sorted({(i, frozenset(grams(x))) for i, x in rows if x is not None and grams(x)}, key=lambda v: (v[0] is None, v[0] or 0))
+    links, root = Counter(), list(range(len(nodes)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, (_, x) in enumerate(nodes):
+        for m, (_, y) in enumerate(nodes[:k]):
+            if len(x & y) / len(x | y) >= t:
+                links.update((k, m))
+                p, q = find(k), find(m)
+                root[max(p, q)] = min(p, q)
+    return Counter((i, nodes[find(k)][0], links[k]) for k, (i, _) in enumerate(nodes))
+
+
+def classes(df):
+    return Counter((r.doc_id, r.class_id, r.links) for r in jaccard.jaccard_classes(df).collect())
+
+
+def uneven_rows(seed, n=90):
+    """Sets of unequal size that overlap from below the threshold to equality, with copies, a hot passage, and pairs just at the threshold."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(r.choice((60, 4000)))]
+    hot = [r.choice(words) for _ in range(40)]
+    out = []
+    for i in range(n):
+        kind = r.random()
+        if out and kind < 0.6:
+            w = r.choice(out)[1].split()
+            for _ in range(r.randint(0, 1 + len(w) // 5)):
+                at = r.randrange(len(w)) if w else 0
+                w[at : at + r.choice((0, 1, 1, 30))] = [r.choice(words)]
+        elif kind < 0.7:
+            w = hot + [r.choice(words) for _ in range(r.choice((3, 20, 40, 80)))]
+        elif kind < 0.75:
+            w = [f"at{i // 2}x{k}" for k in range(10)] + [f"half{i}x{k}" for k in range(r.choice((4, 5)))]
+        else:
+            w = [r.choice(words) for _ in range(r.choice((1, 2, 5, 60, 300)))]
+        out.append((r.choice((i, i, i, i // 2, None)), " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_jaccard_classes(spark, seed, monkeypatch):
+    if seed % 2:  # several batches, blocks and tasks
+        monkeypatch.setattr(jaccard, "BATCH", 2000)
+        monkeypatch.setattr(jaccard, "RANGE", 500)
+        monkeypatch.setattr(jaccard, "BLOCK", 3)
+        monkeypatch.setattr(jaccard, "HELD", 20)
+    rows = uneven_rows(seed)
+    assert classes(table(spark, [(i, t, "en", "a") for i, t in rows]).repartition(5)) == brute_classes(rows)
+
+
+def test_jaccard_classes_of_documents(docs):
+    assert classes(docs) == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
 
 
 def test_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     base = [f"v{i}" for i in range(80)]
     rows = [(i, " ".join([*base, f"tail{i}"])) for i in range(25)]
-    got = {(r.doc_a, r.doc_b) for r in jaccard.jaccard_join(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
-    assert got == {(a, b) for b in range(25) for a in range(b)}
+    assert classes(table(spark, [(i, t, "en", "a") for i, t in rows])) == Counter((i, 0, 24) for i in range(25))
+
+
+def test_groups_that_cannot_reach_the_threshold_stay_closed():
+    a, b = [np.arange(10, dtype=np.uint64), np.arange(6, 16, dtype=np.uint64)], [np.arange(4, 14, dtype=np.uint64), np.arange(0, 3, dtype=np.uint64)]
+    n = np.array([10, 10])
+    assert jaccard.opened(a, n, b, n, 0.5).tolist() == [True, True] and jaccard.opened(a[:1], n[:1], b[1:], n[:1], 0.5).tolist() == [False]
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(0)
+    for n, most in ((0, 9), (1, 9), (300, 2**56), (300, 40), (5, 2**63)):
+        x = np.sort(r.integers(0, most, n)).astype(np.uint64)
+        assert jaccard.unpack(jaccard.pack(x)).tolist() == x.tolist()
 
 
 def test_overlaps_agree():
@@ -131,9 +195,8 @@ def test_overlaps_agree():
 
 
 def test_jaccard_edges(spark, odd, none):
-    got = {(r.doc_a, r.doc_b, r.jaccard) for r in jaccard.jaccard_join(odd).collect()}
-    assert got == {(5, 6, 1.0)}
-    assert jaccard.jaccard_join(none).count() == 0 and jaccard.dedup_near(none).count() == 0
+    assert classes(odd) == brute_classes([(r.doc_id, r.text) for r in odd.collect()]) == Counter([(5, 5, 1), (6, 5, 1), (7, 7, 1), (None, 7, 1), (8, 8, 0)])
+    assert classes(none) == Counter() and jaccard.dedup_near(none).count() == 0
     kept = jaccard.dedup_near(odd)
     assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 5, 7, 8, 9, None])
 

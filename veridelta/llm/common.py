@@ -24,6 +24,9 @@ _BYTES = _byte_values()
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SPACE_RE = r"[ \t\n\x0B\f\r]+"
+#: Letters, digits, apostrophes and every byte beyond ASCII.
+WORD = np.zeros(256, bool)
+WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = True
 
 
 def mix(h: np.ndarray) -> np.ndarray:

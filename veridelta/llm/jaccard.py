@@ -1,16 +1,23 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Words are lower-cased runs of letters, digits and apostrophes; a document is the set of its word n-grams. Documents of equal
-sets are one set. Similar sets form groups: each set is led by the first set that it shares tokens with. The matrix from tokens to groups is kept as rows
-of a table, over the sketch of a set, its 24 n-grams of lowest hash. Sketches of two sets of Jaccard 0.5 have about half of their tokens in
-common, so a pair that shares fewer than a quarter is not looked at (1 % of the pairs just at 0.5 are lost so, far fewer above);
-the rarest tokens come first, and by the prefix principle the most frequent ones, in hot passages, never have to
-be joined. A group that is opened has the union of its members' whole n-gram sets; a query whose overlap with the union can't reach the threshold
-is turned away, and the others are compared set by set, exactly.
-
-Edge cases: null texts and texts without words have no n-grams and no partner; a text of fewer than n words has one n-gram of them
-all; repeated rows and rows of one id are never partners of themselves; rows without an id are left out of pairs; equal sets are
-partners with Jaccard 1; an empty table gives an empty result.
+Words are lower-cased runs of letters, digits and apostrophes; a document is the set of its word n-grams, called tokens. Documents
+of equal sets are one set with a count. The steps, all of them exact:
+
+1. Every token is counted over the corpus. Tokens travel as sorted, delta-coded blocks, one for each batch of texts and each range of
+   token hashes; a token that is frequent in a batch travels once, so a token that every document holds is no hot spot. Only tokens of
+   two sets or more come back. A set that has fewer of these than its least overlap (threshold times its size) has no partner and is left out.
+2. The other sets are partitioned into groups of similar ones, by the least hash of their shared tokens; a large group is cut into blocks.
+3. The matrix has a row for each token and group: of each group the union of its members' prefixes, that is, of their rarest tokens, as many as
+   a similar set can't miss all of (the prefix principle, with one order of tokens for all). Two groups are compared only where they share a token there.
+4. A query's overlap with the union of a group's whole sets bounds what it can have in common with any member. The group is opened only
+   to queries whose bound reaches the threshold; in an open group overlaps are counted exactly, by products of token matrices.
+
+Tokens are compared by 56 bits of their hashes. Nothing is capped: a hot passage makes frequent tokens, which come last in every prefix; a
+large group makes more blocks. What grows faster than the input is the number of links themselves, which are counted, not listed.
+
+Edge cases: null texts and texts without words have no tokens and no row; a text of fewer than n words has one n-gram of them all; a very long
+text is a batch of its own; repeated rows (equal id and set) are one row; a null id is an id like any other in counts, and comes last for
+the class id; equal sets are partners with Jaccard 1; a similarity equal to the threshold counts; other columns are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh, gram_hashes, keyed, mix, steps, table, text_buffers, word_hashes
-from .toxicity import WORD
+from .common import WORD, bound_batches, fresh, gram_hashes, keyed, mix, steps, table, text_buffers, word_hashes
 
 N, THRESHOLD = 3, 0.5
-#: Tokens of a sketch, and sets of a block of a large group.
-SKETCH, BLOCK = 24, 1024
+#: Text bytes of a batch, tokens of a range of hashes, sets of a block of a group, and sets that a task compares.
+BATCH, RANGE, BLOCK, HELD = 8 << 20, 1 << 22, 1024, 4096
+#: Bits of a hash that are dropped; documents of a batch at most, and what stands for several of them.
+DROP, MOST_DOCS, SEVERAL = 8, 1 << 15, 0xFFFF
 _TILE = 2048
 
 
@@ -46,66 +55,206 @@ def set_key(g: np.ndarray) -> bytes:
     return np.array([mix(g).sum(), mix(g ^ np.uint64(0x5DEECE66D)).sum()], np.uint64).tobytes()
 
 
-def sketches(docs: DataFrame, n: int = N, size: int = SKETCH) -> DataFrame:
-    """(doc_id, digest, key, n, sketch): the digest is of the text, the key of its n-gram set."""
+def pack(x: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte plane by byte plane (planes of zeros are left out)."""
+    if not len(x):
+        return b""
+    d = np.diff(x.astype(np.uint64), prepend=np.uint64(0))
+    planes = d.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    some = planes.any(1)
+    return bytes([int(np.packbits(some, bitorder="little")[0])]) + planes[some].tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, keys, many, low = [], [], [], []
-            for i, g in gram_sets(*text_buffers(batch.column(2)), n):
-                at.append(i)
-                keys.append(set_key(g))
-                many.append(len(g))
-                low.append(g[:size].view(np.int64).copy())  # a view would keep the whole set
-            off = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
-            flat = np.concatenate(low) if low else np.zeros(0, np.int64)
-            where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(where), batch.column(1).take(where), pa.array(keys, pa.binary()), pa.array(many, pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
-                ["doc_id", "digest", "key", "n", "sketch"],
-            )
 
-    bound_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.lower("text").alias("text")).where("text IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, digest long, key binary, n int, sketch array<long>")
+def unpack(b: bytes) -> np.ndarray:
+    if not b:
+        return np.zeros(0, np.uint64)
+    some = np.unpackbits(np.frombuffer(b[:1], np.uint8), bitorder="little").astype(bool)
+    n = (len(b) - 1) // max(1, int(some.sum()))
+    planes = np.zeros((8, n), np.uint8)
+    planes[some] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().cumsum(dtype=np.uint64)
+
+
+def least_shared(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many tokens a set of n has to share with one partner at least."""
+    return np.ceil(np.asarray(n) * threshold - 1e-9).astype(np.int64)
+
+
+_RAW = "part long, batch long, a binary, b binary, c binary, d binary"
+_BACK = "batch long, a binary, b binary, c binary, d binary"
+_SETS = "rid long, doc_id long, d1 long, d2 long, key binary, n int, grp long, toks binary, prefix binary"
+
+
+def _range_of(token: np.ndarray, ranges: int) -> np.ndarray:
+    return ((token >> np.uint64(24)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
 
+def _send(n: int, ranges: int):
+    """Blocks of tokens for the ranges of hashes, and what a batch keeps for itself."""
+    names, kinds = ["part", "batch", "a", "b", "c", "d"], [pa.int64(), pa.int64(), *[pa.binary()] * 4]
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(key, grams) of the texts whose digest is wanted, each key once."""
+    def close(batch: int, docs: list[tuple], sets: list[np.ndarray]) -> pa.RecordBatch:
+        token = np.concatenate(sets) >> np.uint64(DROP)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets]).astype(np.uint16)
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        lead = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        many = np.diff(np.append(lead, len(token)))
+        one = token[lead]
+        who = np.where(many == 1, owner[lead], np.uint16(SEVERAL)).astype("<u2")
+        multi = many > 1
+        inside = np.repeat(multi, many)
+        info = _rows(["doc_id", "d1", "d2", "key", "n", "set"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()], docs)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, info.schema) as w:
+            w.write_batch(info)
+        rows = [(ranges + batch, batch, pack(one[multi]), owner[inside].astype("<u2").tobytes(), many[multi].astype("<u4").tobytes(), sink.getvalue().to_pybytes())]
+        part = _range_of(one, ranges)
+        for a, b in zip(*_runs(part)):
+            c = many[a:b]
+            rows.append((int(part[a]), batch, pack(one[a:b]), who[a:b].view(np.uint8).reshape(-1, 2).T.tobytes(), c[c > 1].astype("<u4").tobytes(), None))
+        return _rows(names, kinds, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                found = [(set_key(g), g.tobytes()) for _, g in gram_sets(*text_buffers(batch.column(0).slice(at, 1000)), n)]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["key", "grams"])
-
-    rows = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("digest"), F.lower("text").alias("text"))
-    rows = rows.join(keyed(table(wanted.select("digest").distinct(), "jaccard-wanted")), "digest", "left_semi").select("text")
-    return rows.mapInArrow(run, "key binary, grams binary").dropDuplicates(["key"])
-
-
-def candidates(sets: DataFrame) -> DataFrame:
-    """(g, b, a): for a set b the lower sets whose sketches can share enough with its own, and the leader of its group. sets(sid, sketch)."""
-    tokens = sets.select("sid", F.size("sketch").alias("k"), F.explode("sketch").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    least = F.when(F.col("k") >= 4, F.floor(F.col("k") / 4)).otherwise(1)
-    need = F.when(least >= 2, 2).otherwise(1)
-    ranked = tokens.join(often, "token").groupBy("sid", "k").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    # Tokens that no other set has come first in the order, and need not be joined.
-    kept = F.col("k") - least + need - (F.col("k") - F.size("t"))
-    prefix = ranked.where(kept > 0).select("sid", need.alias("need"), F.explode(F.slice("t", F.lit(1), kept.cast("int"))).alias("x"))
-    # A set and its need are one number; of a token's list, each set is sent to its later sets at once.
-    lists = prefix.select(F.col("x.token").alias("token"), (F.col("sid") * 2 + F.col("need") - 1).alias("code")).groupBy("token").agg(F.sort_array(F.collect_list("code")).alias("t"))
-    later = lists.where(F.size("t") > 1).select("t", F.posexplode("t").alias("at", "b")).where("at > 0").select("b", F.slice("t", F.lit(1), F.col("at")).alias("lower"))
-    pairs = later.repartition("b").select("b", F.explode("lower").alias("a")).groupBy("b", "a").agg(F.count(F.lit(1)).alias("shared"))
-    enough = pairs.where(F.col("shared") > F.least(F.col("a") % 2, F.col("b") % 2)).groupBy("b").agg(F.sort_array(F.collect_list(F.floor(F.col("a") / 2).cast("long"))).alias("a"))
-    return enough.select(F.element_at("a", 1).alias("g"), F.floor(F.col("b") / 2).cast("long").alias("b"), "a")
+        task = TaskContext.get()
+        batch = (task.partitionId() if task else 0) << 24
+        docs, sets, known, size = [], [], {}, 0
+        for rb in batches:
+            raw, off = text_buffers(rb.column(3))
+            for i, g in gram_sets(raw, off, n):
+                key = set_key(g)
+                at = known.setdefault(key, len(sets))
+                if at == len(sets):
+                    sets.append(g)
+                docs.append((*[rb.column(c)[i].as_py() for c in range(3)], key, len(g), at))
+                size += int(off[i + 1] - off[i])
+                if size >= BATCH or len(docs) >= MOST_DOCS:
+                    yield close(batch, docs, sets)
+                    batch += 1
+                    docs, sets, known, size = [], [], {}, 0
+        if docs:
+            yield close(batch, docs, sets)
+
+    return run
+
+
+def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
+    cut = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return cut.tolist(), np.append(cut[1:], len(x)).tolist() if len(x) else []
+
+
+def _count(ranges: int):
+    """Of each block the tokens that two sets hold, with a class of their frequency. What a batch keeps passes through."""
+    names, kinds = ["batch", "a", "b", "c", "d"], [pa.int64(), *[pa.binary()] * 4]
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        if key[0].as_py() >= ranges:
+            return t.select(names).cast(pa.schema(list(zip(names, kinds))))
+        batch, a, b, c = (t[x].to_pylist() for x in ("batch", "a", "b", "c"))
+        tokens, who, counts = [], [], []
+        for x, y, z in zip(a, b, c):
+            tokens.append(unpack(x))
+            w = np.ascontiguousarray(np.frombuffer(y, np.uint8).reshape(2, -1).T).view("<u2").ravel()
+            m = np.ones(len(w), np.int64)
+            m[w == SEVERAL] = np.frombuffer(z, "<u4")
+            who.append(w)
+            counts.append(m)
+        cut = np.concatenate([[0], np.cumsum([len(x) for x in tokens])])
+        token, many = np.concatenate(tokens), np.concatenate(counts)
+        order = np.argsort(token, kind="stable")
+        lead = np.append(True, token[order][1:] != token[order][:-1])
+        group = np.cumsum(lead) - 1
+        total = np.bincount(group, weights=many[order])
+        df = np.empty(len(token))
+        df[order] = total[group]
+        level = np.minimum(255, np.log2(df) * 4).astype(np.uint8)
+        rows = []
+        for i in range(len(batch)):
+            mine = slice(cut[i], cut[i + 1])
+            keep = df[mine] >= 2
+            if keep.any():
+                rows.append((batch[i], pack(token[mine][keep]), who[i][keep].tobytes(), level[mine][keep].tobytes(), None))
+        return pa.Table.from_batches([_rows(names, kinds, rows)])
+
+    return run
+
+
+def _gather(threshold: float):
+    """The documents of a batch; with its shared tokens, their prefix and the group, each set that can have a partner."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        info, kept = None, None
+        tokens, who, level = [], [], []
+        for a, b, c, d in zip(*(t[x].to_pylist() for x in "abcd")):
+            if d is not None:
+                info, kept = pa.ipc.open_stream(d).read_all(), (unpack(a), np.frombuffer(b, "<u2"), np.frombuffer(c, "<u4"))
+            else:
+                tokens.append(unpack(a))
+                who.append(np.frombuffer(b, "<u2"))
+                level.append(np.frombuffer(c, np.uint8))
+        tok = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+        own = np.concatenate(who) if who else np.zeros(0, np.uint16)
+        lev = np.concatenate(level) if level else np.zeros(0, np.uint8)
+        several = own == SEVERAL
+        at = np.argsort(tok[several], kind="stable")  # every token that is frequent in the batch came back, so these are kept[0]
+        tok = np.concatenate([tok[~several], np.repeat(kept[0], kept[2])])
+        lev = np.concatenate([lev[~several], np.repeat(lev[several][at], kept[2])])
+        own = np.concatenate([own[~several], kept[1]]).astype(np.int64)
+        n = np.zeros(int(info["set"].to_numpy().max()) + 1, np.int64)
+        n[info["set"].to_numpy()] = info["n"].to_numpy()
+        shared = np.bincount(own, minlength=len(n))
+        least = least_shared(n, threshold)
+        open_ = (shared >= least)[own]
+        tok, own, lev = tok[open_], own[open_], lev[open_]
+        order = np.lexsort((tok, lev, own))
+        tok, own = tok[order], own[order]
+        first = np.searchsorted(own, np.arange(len(n) + 1))
+        rest = (n - shared)[own]  # tokens of this set alone come first in its order
+        inside = np.arange(len(own)) - first[own] < (n - least + 1)[own] - rest
+        hashed = mix(tok)
+        groups, toks, prefix = [None] * len(n), [None] * len(n), [None] * len(n)
+        for k in np.flatnonzero(np.diff(first)).tolist():
+            x = slice(first[k], first[k + 1])
+            o = np.argsort(tok[x])
+            groups[k] = int(hashed[x].min().view(np.int64))
+            toks[k], prefix[k] = pack(tok[x][o]), np.packbits(inside[x][o]).tobytes()
+        lead = set()
+        pick = []
+        for s in info["set"].to_pylist():
+            pick.append(-1 if s in lead else s)
+            lead.add(s)
+        rid = (key[0].as_py() << 16) + np.arange(len(info))
+        at = lambda v, kind: pa.array([None if s < 0 else v[s] for s in pick], kind)
+        return pa.table({"rid": pa.array(rid, pa.int64()), **{c: info[c] for c in ("doc_id", "d1", "d2", "key", "n")}, "grp": at(groups, pa.int64()), "toks": at(toks, pa.binary()), "prefix": at(prefix, pa.binary())})
+
+    return run
+
+
+def token_sets(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(rid, doc_id, d1, d2, key, n, grp, toks, prefix), a written table: every document that has words, d1 and d2 the hashes of its text, key
+    that of its set. The last three are there for sets that can have a partner, on one row of each batch: group, shared tokens, and which of these are its prefix."""
+    bound_batches(docs.sparkSession)
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *text_digest("text"), F.lower("text").alias("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = max(1, -(-size // (6 * RANGE)))
+    sent = rows.mapInArrow(_send(n, ranges), _RAW)
+    back = sent.groupBy("part").applyInArrow(_count(ranges), _BACK)
+    return table(back.groupBy("batch").applyInArrow(_gather(threshold), _SETS), "jaccard-sets")
+
+
+def text_digest(text: str) -> tuple:
+    """128 bits of hash of a text."""
+    return F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(0x5851F42D), text).alias("d2")
 
 
 def overlaps(pairs: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
     """The exact overlap of each pair of positions."""
     total = sum(map(len, grams))
-    if len(pairs) * 25e-6 < 1e-3 + total * 2e-7 + len(grams) ** 2 * total / max(1, len(grams)) * 2e-10:
+    if len(pairs) * 25e-6 < 1e-3 + total * 2e-7 + len(grams) * total * 2e-10:
         return np.array([len(np.intersect1d(grams[i], grams[j], True)) for i, j in pairs], np.int64)
     _, code, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     where = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -144,72 +293,97 @@ def spanning(pairs: np.ndarray) -> np.ndarray:
     return keep
 
 
-def similar_sets(docs: DataFrame, sketched: DataFrame, n: int, threshold: float, forest: bool) -> tuple[DataFrame, DataFrame]:
-    """((sid, key, digest, n), (a, b, jaccard)): the different sets, and their similar pairs. forest: only as many pairs of each opened block as connect what is similar in it."""
-    sets = sketched.groupBy("key").agg(F.min("digest").alias("digest"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
-    sets = table(sets.select(F.monotonically_increasing_id().alias("sid"), "*"), "jaccard-sets")
-    pairs = table(candidates(sets), "jaccard-candidates")
-    blocks = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    part = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
-    placed = pairs.join(blocks, "g").withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    placed = placed.select("g", "x", part("b").alias("y"), "b", F.when(F.col("blocks") == 1, F.col("a")).otherwise(F.filter("a", lambda v: part(v) == F.col("x"))).alias("a")).where(F.size("a") > 0)
-    placed = table(placed.repartition("g", "x", "y"), "jaccard-placed")
-    sent = placed.select("g", "x", "y", F.explode(F.concat("a", F.array("b"))).alias("sid")).distinct().toDF("to_g", "to_x", "to_y", "sid")
-    wanted = sent.select("sid").distinct().join(sets.select("sid", "key", "digest"), "sid")
-    grams = table(whole_sets(docs, wanted, n).join(wanted.select("sid", "key"), "key").select("sid", "grams"), "jaccard-grams")
-    cells = sent.join(grams, "sid")
-
-    def verify(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        sid = right["sid"].to_numpy()
-        order = np.argsort(sid)
-        blobs = right["grams"].to_pylist()
-        sets_ = [np.frombuffer(blobs[i], np.uint64) for i in order]
-        sid = sid[order]
-        lists = left["a"].combine_chunks()
-        many = np.diff(lists.offsets.to_numpy()) if len(left) else np.zeros(0, np.int64)
-        p = np.stack([np.searchsorted(sid, lists.flatten().to_numpy()), np.repeat(np.searchsorted(sid, left["b"].to_numpy()), many)], 1)
-        size = np.array([len(x) for x in sets_], np.int64)
-        share = threshold / (1 + threshold)
-        if len(p):
-            # The group: the first sides of its pairs; their union bounds what a query can have in common with any of them.
-            members = np.unique(p[:, 0])
-            union = np.unique(np.concatenate([sets_[i] for i in members]))
-            queries = np.unique(p[:, 1])
-            open_ = np.zeros(len(sets_), bool)
-            for q in queries:
-                at = np.minimum(np.searchsorted(union, sets_[q]), len(union) - 1)
-                open_[q] = (union[at] == sets_[q]).sum() >= share * (size[q] + size[members].min()) - 1e-9
-            p = p[open_[p[:, 1]]]
-        if len(p):
-            both = overlaps(p, sets_)
-            j = both / (size[p[:, 0]] + size[p[:, 1]] - both)
-            good = j >= threshold - 1e-12
-            p, j = p[good], j[good]
-            if forest and len(p):
-                tree = spanning(p)
-                p, j = p[tree], j[tree]
-        else:
-            p, j = np.zeros((0, 2), np.int64), np.zeros(0)
-        return pa.table({"a": pa.array(sid[p[:, 0]], pa.int64()), "b": pa.array(sid[p[:, 1]], pa.int64()), "jaccard": pa.array(j, pa.float64())})
-
-    found = placed.groupBy("g", "x", "y").cogroup(cells.groupBy("to_g", "to_x", "to_y")).applyInArrow(verify, "a long, b long, jaccard double")
-    return sets.select("sid", "key", "digest", "n"), found
-
-
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard): all pairs of different ids, the lower first, whose n-gram sets have at least this Jaccard similarity."""
-    sketched = table(sketches(docs, n), "jaccard-sketches")
-    sets, found = similar_sets(docs, sketched, n, threshold, False)
-    members = table(sketched.where("doc_id IS NOT NULL").select("doc_id", "key").distinct().join(sets.select("sid", "key"), "key").select("sid", "doc_id"), "jaccard-members")
-    a, b = members.toDF("a", "x"), members.toDF("b", "y")
-    pair = F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")
-    across = found.join(a, "a").join(b, "b").where("x <> y").select(*pair, "jaccard")
-    same = members.toDF("sid", "x").join(members.toDF("sid", "y"), "sid").where("x < y").select(*pair, F.lit(1.0).alias("jaccard"))
-    return across.unionByName(same)
+def opened(query: list[np.ndarray], n_query: np.ndarray, group: list[np.ndarray], n_group: np.ndarray, threshold: float) -> np.ndarray:
+    """Which queries a group is opened to: those whose overlap with the union of its sets can reach the threshold with a member of any size."""
+    union = np.unique(np.concatenate(group))
+    flat = np.concatenate(query)
+    at = np.minimum(np.searchsorted(union, flat), len(union) - 1)
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in query])])
+    hits = np.concatenate([[0], np.cumsum(union[at] == flat)])
+    least = np.maximum(n_group.min(), least_shared(n_query, threshold))  # a partner is not smaller than this
+    return hits[cut[1:]] - hits[cut[:-1]] >= threshold / (1 + threshold) * (n_query + least) - 1e-9
+
+
+def compare(a: np.ndarray, b: np.ndarray | None, sets: list[np.ndarray], n: np.ndarray, threshold: float) -> np.ndarray:
+    """The similar pairs of positions between groups a and b, or within a."""
+    if b is None:
+        i, j = np.triu_indices(len(a), 1)
+        p = np.stack([a[i], a[j]], 1)
+    else:
+        a = a[opened([sets[i] for i in a], n[a], [sets[i] for i in b], n[b], threshold)]
+        p = np.stack([np.repeat(a, len(b)), np.tile(b, len(a))], 1)
+    low, high = np.minimum(n[p[:, 0]], n[p[:, 1]]), np.maximum(n[p[:, 0]], n[p[:, 1]])
+    p = p[low >= threshold * high - 1e-9]
+    if not len(p):
+        return p
+    used, q = np.unique(p, return_inverse=True)
+    both = overlaps(q.reshape(p.shape), [sets[i] for i in used])
+    return p[both / (n[p[:, 0]] + n[p[:, 1]] - both) >= threshold - 1e-12]
+
+
+def similar_sets(every: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((key, sid, docs, first), (a, b, links)): every different set, with the number of its documents (different ids) and the lowest id;
+    and of the sets that have partners the number of documents on the other side, in parts, and (links null) pairs that connect what is similar."""
+    spark = every.sparkSession
+    keys = every.groupBy("key", "doc_id").agg(F.min(F.when(F.col("toks").isNotNull(), F.col("rid"))).alias("sid"))
+    keys = table(keys.groupBy("key").agg(F.min("sid").alias("sid"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")), "jaccard-keys")
+    heads = every.where("toks IS NOT NULL").select(F.col("rid").alias("sid"), "grp", "n").join(keyed(table(keys.where("sid IS NOT NULL").select("sid", "docs"), "jaccard-heads")), "sid")
+    blocks = heads.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1")
+    block = F.when(F.col("blocks").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("sid"), F.col("blocks"))))
+    heads = table(heads.join(blocks, "grp", "left").select("sid", "docs", block.alias("gid")), "jaccard-groups")
+    sets = every.where("toks IS NOT NULL").select(F.col("rid").alias("sid"), "n", "toks", "prefix").join(keyed(heads), "sid")
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tok, gid = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for t, m, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                x = unpack(t)
+                x = x[np.unpackbits(np.frombuffer(m, np.uint8))[: len(x)].astype(bool)]
+                tok.append(x)
+                gid.append(np.full(len(x), g))
+            tok, gid = np.concatenate(tok), np.concatenate(gid)
+            order = np.lexsort((gid, tok))
+            tok, gid = tok[order], gid[order]
+            new = np.append(True, (tok[1:] != tok[:-1]) | (gid[1:] != gid[:-1])) if len(tok) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(tok[new].view(np.int64)), pa.array(gid[new])], ["token", "gid"])
+
+    matrix = sets.select("toks", "prefix", "gid").mapInArrow(union, "token long, gid long").repartition("token").distinct()
+    across = matrix.toDF("token", "g").join(matrix.toDF("token", "h"), "token").where("g < h").select("g", "h").distinct()
+    sizes = heads.groupBy("gid").agg(F.count(F.lit(1)).alias("c"))
+    pairs = table(across.unionByName(sizes.where("c > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))), "jaccard-pairs")
+    sent = pairs.select("g", "h", F.explode(F.array_distinct(F.array("g", "h"))).alias("gid"))
+    held = sent.join(sizes, "gid").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    parts = max(1, -(-held // HELD))
+    cells = sets.select("sid", "n", "docs", "toks", "gid").join(keyed(table(sent, "jaccard-sent")), "gid")
+    cells = cells.select(F.pmod(F.xxhash64("g", "h"), F.lit(parts)).alias("part"), "g", "h", F.col("gid") == F.col("g"), "sid", "n", "docs", "toks").toDF("part", "g", "h", "left", "sid", "n", "docs", "toks")
+
+    def verify(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("g", "ascending"), ("h", "ascending")])
+        g, h, left, sid = t["g"].to_numpy(), t["h"].to_numpy(), t["left"].to_numpy(), t["sid"].to_numpy()
+        n, docs = t["n"].to_numpy().astype(np.int64), t["docs"].to_numpy()
+        out: list[tuple[np.ndarray, ...]] = []
+        links: dict[int, int] = {}
+        for i, j in zip(*_runs(np.stack([g, h], 1).view("i8,i8").ravel())):
+            sets_ = [unpack(x) for x in t["toks"].slice(i, j - i).to_pylist()]
+            side = left[i:j]
+            p = compare(np.flatnonzero(side), None if g[i] == h[i] else np.flatnonzero(~side), sets_, n[i:j], threshold) + i
+            total = np.bincount(np.concatenate([p[:, 0], p[:, 1]]) - i, np.concatenate([docs[p[:, 1]], docs[p[:, 0]]]), j - i).astype(np.int64)
+            for k in np.flatnonzero(total).tolist():
+                links[int(sid[i + k])] = links.get(int(sid[i + k]), 0) + int(total[k])
+            tree = p[spanning(p)]
+            out.append((sid[tree[:, 0]], sid[tree[:, 1]]))
+        a = np.concatenate([np.array(list(links), np.int64), *[x for x, _ in out]])
+        b = np.concatenate([np.zeros(0, np.int64), *[y for _, y in out]])
+        m = len(links)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([None] * m + b.tolist(), pa.int64()), "links": pa.array(list(links.values()) + [None] * len(b), pa.int64())})
+
+    found = table(cells.groupBy("part").applyInArrow(verify, "a long, b long, links long"), "jaccard-found")
+    return keys, found
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b), by large and small stars; the root is the lowest node of its component."""
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -231,21 +405,36 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links), a row for each document that has words (for an id and set, if rows repeat): the lowest id of all documents that similar pairs
+    connect it to, and to how many other documents it is similar itself, that is, their n-gram sets have at least this Jaccard similarity."""
+    every = token_sets(docs, n, threshold)
+    keys, found = similar_sets(every, threshold)
+    of = table(components(found.where("b IS NOT NULL").select("a", "b")), "jaccard-components")
+    some = keys.where("sid IS NOT NULL").select("sid", "first")
+    low = of.join(some, F.col("node") == F.col("sid")).groupBy("root").agg(F.min("first").alias("class_id"))
+    links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    classes = of.join(low, "root").join(links, "node", "left").select(F.col("node").alias("sid"), "class_id", "links")
+    by_key = keys.join(classes, "sid", "left").select("key", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("links"))
+    return every.select("doc_id", "key").distinct().join(by_key, "key").select("doc_id", "class_id", "links")
+
+
 def dedup_near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each group of near duplicates: of rows connected by similar pairs, the one of lowest doc_id (null last)."""
-    sketched = table(sketches(docs, n), "jaccard-sketches")
-    sets, found = similar_sets(docs, sketched, n, threshold, True)
-    of = components(found.select("a", "b"))
-    rows = sketched.select("doc_id", "digest", "key").join(sets.select("sid", "key"), "key").join(of, F.col("sid") == F.col("node"), "left")
-    rows = rows.select("doc_id", "digest", F.coalesce("root", "sid").alias("group"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "digest")).alias("first")
-    groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("c"), best).where("c > 1").select("group", F.col("first.digest").alias("keep"))
+    """docs with one row of each group of near duplicates: of rows connected by similar pairs, the one of lowest doc_id (null last). Null texts and texts without words stay, each of their rows."""
+    every = token_sets(docs, n, threshold)
+    keys, found = similar_sets(every, threshold)
+    of = components(found.where("b IS NOT NULL").select("a", "b"))
+    group = table(keys.join(of, F.col("sid") == F.col("node"), "left").select("key", F.coalesce(F.col("root").cast("string"), F.hex("key")).alias("group")), "jaccard-classes")
+    rows = every.select("doc_id", "d1", "d2", "key").join(group, "key")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "d1", "d2")).alias("first")
+    groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("c"), best).where("c > 1").select("group", F.struct("first.d1", "first.d2").alias("keep"))
     # By text: all rows of a text go, or one of them stays, or (texts of no group, and the only row of a keeper) nothing happens.
-    texts = table(rows.join(groups, "group").groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("digest") == F.col("keep")).alias("stays")).where("NOT stays OR c > 1"), "jaccard-texts")
-    digest, place = fresh(docs, "digest", "place")
-    tagged = docs.withColumn(digest, F.xxhash64("text"))
+    texts = rows.join(groups, "group").groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("d1", "d2") == F.col("keep")).alias("stays")).where("NOT stays OR c > 1")
+    texts = table(texts, "jaccard-texts")
+    d1, d2, place = fresh(docs, "d1", "d2", "place")
+    tagged = docs.withColumns(dict(zip((d1, d2), text_digest("text"))))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    rest = tagged.join(keyed(texts.select(F.col("digest").alias(digest))), digest, "left_anti").select(*own)
-    first = Window.partitionBy(digest).orderBy(F.col("doc_id").asc_nulls_last())
-    one = tagged.join(keyed(table(texts.where("stays").select(F.col("digest").alias(digest)), "jaccard-keepers")), digest, "left_semi")
+    rest = tagged.join(keyed(texts.select(F.col("d1").alias(d1), F.col("d2").alias(d2))), [d1, d2], "left_anti").select(*own)
+    first = Window.partitionBy(d1, d2).orderBy(F.col("doc_id").asc_nulls_last())
+    one = tagged.join(keyed(table(texts.where("stays").select(F.col("d1").alias(d1), F.col("d2").alias(d2)), "jaccard-keepers")), [d1, d2], "left_semi")
     return rest.unionByName(one.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*own))

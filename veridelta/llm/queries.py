@@ -16,7 +16,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(documents(spark, sf_dir))
+    return jaccard.jaccard_classes(documents(spark, sf_dir))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,13 +64,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard": r"""
-        WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9''\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM documents),
-        g AS (SELECT doc_id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS g FROM w WHERE len(w) > 0),
-        t AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM g),
-        p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
-              FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2)
-        SELECT doc_a, doc_b, c / (na + nb - c) AS jaccard FROM p WHERE c / (na + nb - c) >= 0.5""",
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9''\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, list_sort(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END) AS g FROM w WHERE len(w) > 0),
+        d AS MATERIALIZED (SELECT doc_id, g, row_number() OVER () AS rid FROM s),
+        t AS (SELECT rid, len(g) AS n, unnest(g) AS t FROM d),
+        p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.t = b.t AND a.rid <> b.rid GROUP BY 1, 2),
+        e AS MATERIALIZED (SELECT a, b FROM p WHERE c / (na + nb - c) >= 0.5),
+        r(rid, o) AS (SELECT rid, rid FROM d UNION SELECT e.b, r.o FROM r JOIN e ON r.rid = e.a),
+        l AS (SELECT r.rid, min(d.doc_id) AS class_id FROM r JOIN d ON d.rid = r.o GROUP BY 1)
+        SELECT d.doc_id, l.class_id, coalesce(k.n, 0) AS links FROM d JOIN l USING (rid) LEFT JOIN (SELECT a AS rid, count(*) AS n FROM e GROUP BY 1) k USING (rid)""",
     "op6_exact_dedup": """
         SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS copy_of FROM documents WHERE text IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1""",

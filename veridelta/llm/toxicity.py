@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, steps, table, text_buffers, word_hashes
+from .common import WORD, bound_batches, steps, table, text_buffers, word_hashes
 
 #: Bound of the labelled sample, for each label; languages have equal shares of it, as far as they have documents.
 TRAIN_PER_LABEL = 10_000
@@ -32,8 +32,6 @@ PRIOR, LEAST_Z = 0.05, 3.5
 SOME_Z, SOME_ODDS, FOREIGN = 1.0, 2.0, 0.1
 #: Each word's cost, and the largest p-value of a toxic document and of the passages that are listed.
 DRIFT, ALPHA = 0.05, 1e-2
-WORD = np.zeros(256, bool)
-WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = True
 
 
 @dataclass
