@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -508,6 +509,32 @@ def test_neighbours_recall(spark):
     assert hit / (10 * len(ids)) >= 0.9
 
 
+def test_deep_tree_and_query_set(spark, monkeypatch):
+    """50,000 vectors make two levels; a third of them are copies of one, searched in chunks, and queries go in blocks."""
+    monkeypatch.setattr(neighbours, "HELD", 4000)
+    monkeypatch.setattr(neighbours, "BLOCK", 300)
+    r = np.random.default_rng(3)
+    centre = r.normal(size=(300, 12))
+    x = (centre[r.integers(0, 300, 50_000)] + 0.3 * r.normal(size=(50_000, 12))).astype(np.float32)
+    x[r.permutation(50_000)[:17_000]] = x[0]
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 12).cast(pa.list_(pa.float32()))}))
+    built = []
+    old = neighbours._level
+    monkeypatch.setattr(neighbours, "_level", lambda *a: built.append(1) or old(*a))
+    got = {q.vec_id: q for q in neighbours.nearest(df, queries=F.col("vec_id") % 50 == 0).collect()}
+    assert len(built) == 2 and set(got) == set(range(0, 50_000, 50))
+    hit = 0
+    for i, q in got.items():
+        d = ((x.astype(float) - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        near = np.argpartition(d, 40)[:40]
+        near = np.flatnonzero(d <= d[near].max())
+        want = near[np.lexsort((near, d[near]))][:10]
+        hit += len(set(want.tolist()) & set(q.neighbours))
+        assert q.distances == sorted(q.distances)
+    assert hit / (10 * len(got)) >= neighbours.RECALL
+
+
 def test_lower_ids_of_many_copies_are_nearest():
     r = np.random.default_rng(0)
     one = r.normal(size=8).astype(np.float32)

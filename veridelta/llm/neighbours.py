@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
 Each level of the tree is fitted by Lloyd iterations over all vectors: executors sum the vectors of every child, the
-driver holds only centroids, of which there are at most about MAX_LEAVES. A search walks the tree best bin first, with a
+driver holds only centroids, of which there are as many as TREE_BYTES hold at most (65,536 of 64 dimensions). A search walks the tree best bin first, with a
 priority queue of nodes by distance to their centroid. How many leaves it visits is widened until calibration queries, whose true
-neighbours a full scan finds, reach the wanted recall. All queries are then sent to the subtrees that hold leaves they
-visit, each subtree once, and their best of every subtree are merged.
+neighbours a full scan finds, reach the wanted recall by two standard errors. Queries are sent to the subtrees that hold leaves they
+visit, each subtree once, and their best of every subtree are merged. Every row is in the index; a subtree of many vectors (a large table, or many copies of one vector) is
+searched in chunks, and many queries in blocks, so no task holds more than a chunk and a block.
 
 Distance is Euclidean, ties go to the lower id. Edge cases: a row without an id is left out; a null, empty, not finite or
 odd-sized vector (its size is not the most frequent one) is no neighbour and finds none; rows of one id are queries each and never neighbours of that id, and repeated rows count once as
-neighbours; fewer than k others give fewer neighbours; an empty table gives an empty result.
+neighbours; fewer than k others give fewer neighbours; very long vectors make a smaller tree; columns other than these two are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
 K, RECALL = 10, 0.96
-BRANCH, LEAF, MAX_LEAVES, ROUNDS = 16, 256, 4096, 3
-#: Vectors that start the Lloyd iterations, queries that calibrate the search, and vectors of a subtree that a task holds.
-SEEDS, CALIBRATION, HELD = 8192, 256, 1 << 15
+BRANCH, LEAF, ROUNDS = 16, 256, 3
+#: Bytes of the leaves' centroids, which are broadcast; beyond them leaves grow.
+TREE_BYTES = 16 << 20
+#: Vectors that start the Lloyd iterations (for each leaf, and at least), queries that calibrate the search, vectors of a chunk of a subtree, and queries of a block.
+SEEDS, LEAST_SEEDS, CALIBRATION, HELD, BLOCK = 2, 8192, 256, 1 << 15, 1 << 15
 
 
 class Tree:
@@ -49,14 +52,18 @@ class Tree:
             node = new
         return node
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves of one query's best-bin-first walk."""
+    def visits(self, q: np.ndarray, most: int, until: set[int] | None = None) -> list[int]:
+        """The first leaves of one query's best-bin-first walk, or as many as there are until all of some leaves were visited."""
         out: list[int] = []
         queue: list[tuple[float, int, int]] = [(0.0, 0, 0)]
         while queue and len(out) < most:
             _, depth, node = heapq.heappop(queue)
             if depth == len(self.levels):
                 out.append(node)
+                if until is not None:
+                    until.discard(node)
+                    if not until:
+                        break
                 continue
             c = self.levels[depth][node]
             for i, d in enumerate(((c - q) ** 2).sum(1).tolist()):
@@ -75,11 +82,12 @@ def _level(rows: DataFrame, tree: Tree, seeds: np.ndarray, dim: int, branch: int
     nodes = tree.levels[-1].shape[0] * tree.levels[-1].shape[1] if depth else 1
     at = tree.descend(seeds)
     c = np.full((nodes, branch, dim), np.inf, np.float32)
-    for p in range(nodes):
-        mine = seeds[at == p]
-        c[p, : min(branch, len(mine))] = mine[:branch]
-        if not len(mine):
-            c[p, 0] = tree.levels[-1][p // tree.levels[-1].shape[1], p % tree.levels[-1].shape[1]] if depth else 0
+    order = np.argsort(at, kind="stable")
+    place = np.arange(len(order)) - np.searchsorted(at[order], at[order])
+    some = place < branch
+    c[at[order[some]], place[some]] = seeds[order[some]]
+    bare = np.flatnonzero(np.isinf(c[:, 0, 0]))
+    c[bare, 0] = tree.levels[-1].reshape(nodes, dim)[bare] if depth else 0
     spark = rows.sparkSession
     for _ in range(ROUNDS):
         held = spark.sparkContext.broadcast(Tree([*tree.levels, np.where(np.isinf(c), np.float32(1e15), c)]))
@@ -101,10 +109,10 @@ def _level(rows: DataFrame, tree: Tree, seeds: np.ndarray, dim: int, branch: int
         held.unpersist()
         for r in got:
             c[r.node // branch, r.node % branch] = np.array(r.s) / r.n
-        seen = {r.node for r in got}
-        for n in range(nodes * branch):  # a child without vectors is no child
-            if n not in seen and not (n % branch == 0 and not any(n + i in seen for i in range(branch))):
-                c[n // branch, n % branch] = np.inf
+        seen = np.zeros((nodes, branch), bool)
+        seen.ravel()[[r.node for r in got]] = True
+        seen[~seen.any(1), 0] = True
+        c[~seen] = np.inf  # a child without vectors is no child
     return c
 
 
@@ -165,17 +173,17 @@ def _truth(rows: DataFrame, q: np.ndarray, qid: np.ndarray, k: int, dim: int) ->
     return out
 
 
-def nearest(df: DataFrame, k: int = K, recall: float = RECALL, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, neighbours, distances): for each row the ids of its k nearest others, nearest first, and how far they are."""
+def nearest(df: DataFrame, k: int = K, recall: float = RECALL, id_col: str = "vec_id", vector: str = "embedding", queries: Column | None = None) -> DataFrame:
+    """(vec_id, neighbours, distances): for each row that is a query, by a condition on (vec_id) (by default all), the ids of its k nearest others among all rows, nearest first, and how far they are."""
+    asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     spark = df.sparkSession
     vec = F.col(vector).cast("array<float>")
     clean = F.col("x").isNotNull() & ~F.exists("x", lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")))
     raw = df.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("x")).where("vec_id IS NOT NULL")
     raw = table(raw.select(F.monotonically_increasing_id().alias("row"), "vec_id", "x", (F.coalesce(clean, F.lit(False)) & (F.size("x") > 0)).alias("ok")), "ann-rows")
     sizes = raw.where("ok").groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    empty = raw.select("vec_id", F.array().cast("array<long>").alias("neighbours"), F.array().cast("array<double>").alias("distances"))
     if sizes is None:
-        return empty
+        return empty_rows(raw.where(asks), F.lit(False))
     dim, n = sizes[0], sizes[1]
     good = F.col("ok") & (F.size("x") == dim)
 
@@ -187,12 +195,12 @@ def nearest(df: DataFrame, k: int = K, recall: float = RECALL, id_col: str = "ve
 
     rows = table(raw.where(good).select("row", "vec_id", "x").mapInArrow(pack, "row long, vec_id long, v binary"), "ann-vectors")
     few = lambda most, seed: rows.where(F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(1 << 30)) < int(min(1.0, 1.2 * most / n) * (1 << 30))).select("vec_id", "v").orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(most).toArrow()
-    seeds = _matrix(few(SEEDS, 1)["v"].combine_chunks(), dim)
+    leaves = -(-n // LEAF)
+    seeds = _matrix(few(max(LEAST_SEEDS, SEEDS * min(leaves, TREE_BYTES // (4 * dim))), 1)["v"].combine_chunks(), dim)
     if not len(seeds):
         seeds = _matrix(rows.limit(1).toArrow()["v"].combine_chunks(), dim)
-    leaves = min(MAX_LEAVES, max(1, n // LEAF))
     tree = Tree([])
-    while BRANCH ** len(tree.levels) < leaves:
+    while BRANCH ** len(tree.levels) < leaves and 4 * dim * BRANCH ** (len(tree.levels) + 1) <= max(TREE_BYTES, 4 * dim * BRANCH):
         tree = Tree([*tree.levels, _level(rows, tree, seeds, dim, BRANCH)])
     tree = Tree([np.where(np.isinf(c), np.float32(1e15), c) for c in tree.levels])
     depth = next((i for i in range(len(tree.levels) + 1) if n / BRANCH**i <= HELD), len(tree.levels))
@@ -205,11 +213,12 @@ def nearest(df: DataFrame, k: int = K, recall: float = RECALL, id_col: str = "ve
         total = BRANCH ** len(tree.levels)
         ranks = []
         for i in range(len(q)):
-            order = {leaf: r for r, leaf in enumerate(tree.visits(q[i], total))}
-            there = truth[i][~np.isnan(truth[i, :, 0])]
-            ranks += [order[int(x)] for x in tree.descend(there)]
+            there = tree.descend(truth[i][~np.isnan(truth[i, :, 0])]).tolist()
+            order = {leaf: r for r, leaf in enumerate(tree.visits(q[i], total, set(there)))} if there else {}
+            ranks += [order[x] for x in there]
         ranks.sort()
-        visits = ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))] + 1 if ranks else 1
+        sure = min(1.0, recall + 2 * (recall * (1 - recall) / len(q)) ** 0.5)
+        visits = ranks[min(len(ranks) - 1, int(np.ceil(sure * len(ranks))))] + 1 if ranks else 1
     else:
         visits = BRANCH ** len(tree.levels)
     held = spark.sparkContext.broadcast(tree)
@@ -258,11 +267,18 @@ def nearest(df: DataFrame, k: int = K, recall: float = RECALL, id_col: str = "ve
         return pa.table([pa.array(row), pa.array(qid), pa.ListArray.from_arrays(off, pa.array(ids.ravel()[have])), pa.ListArray.from_arrays(off, pa.array(np.sqrt(d.ravel()[have])))], schema=kind)
 
     placed = rows.mapInArrow(place, "part long, leaf long, vec_id long, v binary")
-    routed = rows.mapInArrow(route, "part long, row long, vec_id long, v binary, leaves array<long>")
-    found = placed.groupBy("part").cogroup(routed.groupBy("part")).applyInArrow(search, "row long, vec_id long, ids array<long>, d array<double>")
+    chunks = table(placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / HELD).alias("chunks")), "ann-parts")
+    asked = rows.where(asks)
+    blocks = max(1, -(-asked.count() // BLOCK))
+    routed = asked.mapInArrow(route, "part long, row long, vec_id long, v binary, leaves array<long>")
+    routed = routed.join(chunks, "part").select("*", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), F.pmod(F.xxhash64("row"), F.lit(blocks).cast("long")).alias("block")).drop("chunks")
+    chunk = F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int").alias("chunk")  # repeated rows are in one chunk
+    placed = placed.join(chunks, "part").select("part", "leaf", "vec_id", "v", chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    at = ("part", "chunk", "block")
+    found = placed.groupBy(*at).cogroup(routed.groupBy(*at)).applyInArrow(search, "row long, vec_id long, ids array<long>, d array<double>")
     each = F.flatten(F.collect_list(F.arrays_zip("d", "ids"))).alias("all")
     merged = found.groupBy("row", "vec_id").agg(each).select("vec_id", F.slice(F.array_sort(F.array_distinct("all")), 1, k).alias("x"))
-    return merged.select("vec_id", F.col("x.ids").alias("neighbours"), F.col("x.d").alias("distances")).unionByName(empty_rows(raw, good))
+    return merged.select("vec_id", F.col("x.ids").alias("neighbours"), F.col("x.d").alias("distances")).unionByName(empty_rows(raw.where(asks), good))
 
 
 def empty_rows(raw: DataFrame, good: object) -> DataFrame:
