@@ -627,10 +627,41 @@ def test_mixing_meets_its_constraints(docs):
     assert np.abs(x @ np.linalg.lstsq(x, y, rcond=None)[0] - y).max() < 1e-6
 
 
-def test_too_many_constraints(docs, monkeypatch):
-    monkeypatch.setattr(mixing, "MOST_CONSTRAINTS", 3)
-    with pytest.raises(ValueError, match="group them"):
-        mixing.rates(docs)
+def test_mixing_against_a_solver_of_its_own(docs, spark):
+    """Iterative proportional fitting of shares, and bisection for the mean of z, find the same rates."""
+    p = docs.toPandas()
+    n = p.text.map(lambda t: len(re.findall(r"[^ \t\n\x0b\f\r]+", t))).to_numpy(float)
+    z = np.log1p(n)
+    z = (z - (n * z).sum() / n.sum()) / np.sqrt((n * z * z).sum() / n.sum() - ((n * z).sum() / n.sum()) ** 2)
+    kinds = [np.unique(p[c], return_inverse=True)[1] for c in ("source", "lang")]
+    want = []
+    for k in kinds:
+        share = np.bincount(k, n) ** 0.7
+        want.append(share / share.sum())
+
+    def fit(c):
+        r = np.exp(c * z)
+        for _ in range(400):
+            for k, w in zip(kinds, want):
+                r *= (w / (np.bincount(k, n * r) / n.sum()))[k]
+        return r
+
+    low, high = -3.0, 3.0
+    for _ in range(50):
+        c = (low + high) / 2
+        low, high = (c, high) if (n * fit(c) * z).sum() < 0 else (low, c)
+    out, (tokens, rate, copies), got = mixing.rates(docs)
+    got = {r.doc_id: (r[tokens], r[rate]) for r in out.collect()}
+    for i, t, r in zip(p.doc_id, n, fit(c)):
+        assert got[i][0] == t and got[i][1] == pytest.approx(r, rel=1e-5)
+
+
+def test_mixing_with_many_sources(spark):
+    df = table(spark, [(i, "a " * (1 + i % 7), "en" if i % 3 else "fr", f"s{i % 5000}") for i in range(25_000)])
+    out, (tokens, rate, _), got = mixing.rates(df)
+    mass = out.groupBy("lang").agg(F.sum(F.col(tokens) * F.col(rate)).alias("m"), F.sum(tokens).alias("n")).collect()
+    share = {r.lang: r.n**0.7 for r in mass}
+    assert got["error"] < 1e-6 and all(r.m / sum(x.m for x in mass) == pytest.approx(share[r.lang] / sum(share.values()), abs=1e-5) for r in mass)
 
 
 def test_mixing_edges(odd, none):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -122,31 +123,50 @@ def steps(off: np.ndarray, most: int = STEP_BYTES):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of this process where that is unset (tests, local mode)."""
+    """The folder that all executors share: spark.checkpoint.dir. Without it there is an error, as executors could not read what others wrote."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cut-"))
-            have = spark.sparkContext._jsc.sc().getCheckpointDir()
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = have.get()
     return at.rstrip("/")
 
 
+_written: "weakref.WeakKeyDictionary[SparkSession, list[str]]" = weakref.WeakKeyDictionary()
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder, and read from there: its lineage ends, and lost executors cost nothing."""
+    """df written once as Parquet in the shared folder, and read from there: its lineage ends, and lost executors cost nothing. The files go when the
+    session's process ends, or by remove_tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession) -> None:
+    """Deletes the tables that were written so far; results that were not yet stored can't be read afterwards."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written.pop(spark, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark in list(_written):
+        if spark.sparkContext._jsc is not None:
+            remove_tables(spark)
+
+
 #: Bytes that go to a Python worker at a time.
 BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Batches of texts are bounded by bytes, for rows can be of any length, unless the session sets a bound of its own."""
+    """Batches of texts are bounded by bytes, for rows can be of any length, unless the session sets a bound of its own. As plans run later, the setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key).lower().rstrip("b") == str(64 << 20):  # Spark's own default
         spark.conf.set(key, str(BATCH_BYTES))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, fresh, text_buffers, with_fields
@@ -123,7 +123,7 @@ class Model:
 
     def measures(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(scores, class by number of n-grams, (best score, lead, share of n-grams that landmarks hold)), a row for each text."""
-        key = hash((len(self.codes), self.codes[:50].tobytes()))
+        key = hash(self.codes.tobytes())
         if key not in _tables:
             _tables.clear()
             t = np.full(CODES, -1, np.int16 if len(self.codes) < 1 << 15 else np.int32)
@@ -156,18 +156,12 @@ class Model:
 
 
 def sample(df: DataFrame, label: Column, most: int, id_col: str = "doc_id", text: str = "text") -> list[tuple[str, str]]:
-    """At most so many (label, text) of each label: those of the lowest hash of the id. Labels alone are counted first, then texts are read only of the rows under a threshold."""
-    rows = df.select(label.alias("label"), F.xxhash64(F.lit(5), F.col(id_col)).alias("h"), F.col(text).alias("text")).where("label IS NOT NULL AND text IS NOT NULL")
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * most + 100) / n))])[F.col("label")]
-    near = rows.where((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share) | (share >= 1.0)).orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text")
-    got: dict[str, list[str]] = {k: [] for k in counts}
-    for r in near.collect():
-        if len(got[r.label]) < most:
-            got[r.label].append(r.text)
-    return [(k, t) for k in sorted(got) for t in got[k]]
+    """At most so many (label, text) of each label: those of the lowest hash of the id and the text. Hashes alone are ranked, then only the chosen texts are read."""
+    rows = df.select(label.alias("label"), F.xxhash64(F.lit(5), F.col(id_col)).alias("h"), F.xxhash64(F.lit(7), F.col(text)).alias("d"), F.col(text).alias("text")).where("label IS NOT NULL AND text IS NOT NULL")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "d"))  # Spark cuts each input partition to so many before the shuffle
+    chosen = rows.select("label", "h", "d", rank.alias("rank")).where(F.col("rank") <= most).groupBy("label", "h", "d").agg(F.count(F.lit(1)).alias("times"))
+    got = [(r.label, r.h, r.d, r.text, r.times) for r in rows.join(chosen, ["label", "h", "d"]).groupBy("label", "h", "d", "times").agg(F.min("text").alias("text")).collect()]
+    return [(label, t) for label, _, _, t, times in sorted(got) for _ in range(times)]
 
 
 def limits(texts: list[str], langs: list[str]) -> np.ndarray:

@@ -4,12 +4,13 @@ Document rates r_i = exp(a[source] + b[language] + c z_i), z the standardised lo
 the token-weighted relative entropy to the corpus under token constraints: each source and each language
 has its target share of the tokens, and the token-weighted mean of z stays as it is. Newton iterations
 on the convex dual need a sum per (source, language) cell each, taken by the executors over the written table
-of counts; the driver only solves a system of as many unknowns as there are sources and languages. Rates are
+of counts. The driver holds one number for each source, language and cell; as the sources' block of the system is diagonal, it is eliminated, and what is solved
+has as many unknowns as there are languages (or sources, if these are fewer). Rates are
 rounded into copies by a hash of the id, so that their expectation is the rate.
 
 Edge cases: null source or language is a value of its own; null and empty texts have no tokens and weigh nothing,
 their rate is that of their cell; repeated rows get equal copies; a target for a source that is absent is dropped and
-the others are scaled; an empty table gives an empty result.
+the others are scaled; very long texts are documents like any other; ties do not arise; columns of other names, whatever they are, are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,14 +22,11 @@ from pyspark.sql import functions as F
 from .common import SPACE_RE, fresh, table
 
 NONE = "\x00none"
-#: Sources and languages that the driver's system may have; more have to be grouped first.
-MOST_CONSTRAINTS = 4096
 
 
 def token_count(text: Column) -> Column:
-    """Runs of other than white space."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE_RE}|{SPACE_RE}$", "")
-    return F.when(F.length(t) == 0, 0).otherwise(F.size(F.split(t, SPACE_RE)))
+    """Runs of other than white space: each becomes one letter, and the white space goes."""
+    return F.coalesce(F.length(F.translate(F.regexp_replace(text, r"[^ \t\n\x0B\f\r]++", "x"), " \t\n\x0b\f\r", "")), F.lit(0))
 
 
 def shares(tokens: dict[str, float], target: dict[str, float] | None, power: float) -> dict[str, float]:
@@ -58,36 +56,62 @@ def balance(stats: DataFrame, source_target: dict[str, float] | None, lang_targe
     targets = shares(by[0], source_target, power), shares(by[1], lang_target, power)
     names = [(k, n) for k in (0, 1) for n in sorted(targets[k]) if targets[k][n] > 0]
     at = {x: i for i, x in enumerate(names)}
-    if len(names) > MOST_CONSTRAINTS:
-        raise ValueError(f"{len(names)} sources and languages: group them into {MOST_CONSTRAINTS} at most")
+    wide = int(sum(k == 1 for k, _ in names) > sum(k == 0 for k, _ in names))  # the larger family is eliminated
+    far = np.array([k == wide for k, _ in names] + [False])
+    place = np.cumsum(far) - 1, np.cumsum(~far) - 1
     goal = np.array([targets[k][n] for k, n in names] + [0.0])
     dead = {(k, n) for k in (0, 1) for n in by[k] if targets[k].get(n, 0) <= 0}
     z = (z0 - F.lit(mean)) / F.lit(sd)
 
-    def sums(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Dual value, gradient and Hessian at x, in shares of the total."""
+    def sums(x: np.ndarray) -> tuple[float, np.ndarray, list]:
+        """Dual value, gradient and the Hessian's cells (source, language, their second moments) at x, in shares of the total."""
         spark = stats.sparkSession
         cells = spark.createDataFrame(
             [(s, l, float(x[at[0, s]] + x[at[1, l]])) for s, l in {(r.source, r.lang) for r in first} if (0, s) in at and (1, l) in at],
             "source string, lang string, level double",
         )
-        m = w * F.exp(F.least(F.col("level") + F.lit(float(x[-1])) * z, F.lit(60.0)))
+        m = w * F.exp(F.col("level") + F.lit(float(x[-1])) * z)
         rows = stats.join(cells, ["source", "lang"]).groupBy("source", "lang").agg(F.sum(m).alias("m"), F.sum(m * z).alias("z"), F.sum(m * z * z).alias("zz")).collect()
-        g, h = np.zeros(len(x)), np.zeros((len(x), len(x)))
+        g, h = np.zeros(len(x)), []
         for r in rows:
-            i, j, k = at[0, r.source], at[1, r.lang], len(x) - 1
+            i, j = at[0, r.source], at[1, r.lang]
             p, q, s = r.m / total, r.z / total, r.zz / total
-            g[[i, j, k]] += p, p, q
-            for a, b, v in ((i, i, p), (j, j, p), (i, j, p), (j, i, p), (i, k, q), (k, i, q), (j, k, q), (k, j, q), (k, k, s)):
-                h[a, b] += v
+            g[[i, j, -1]] += p, p, q
+            h.append((i, j, p, q, s))
         return sum(r.m for r in rows) / total - float(goal @ x), g - goal, h
 
+    def newton(g: np.ndarray, h: list) -> np.ndarray:
+        """-H^-1 g: the larger family's block is diagonal, so the rest is solved by its Schur complement."""
+        d, rest = np.zeros(int(far.sum())), np.zeros((int((~far).sum()),) * 2)
+        rows: list[dict[int, float]] = [{} for _ in d]
+        for i, j, p, q, s in h:
+            a, b = (i, j) if wide == 0 else (j, i)
+            a, b, k = int(place[0][a]), int(place[1][b]), len(rest) - 1
+            d[a] += p
+            rows[a][b] = rows[a].get(b, 0.0) + p
+            rows[a][k] = rows[a].get(k, 0.0) + q
+            rest[b, b] += p
+            rest[b, k] += q
+            rest[k, b] += q
+            rest[k, k] += s
+        d = np.maximum(d, 1e-300)
+        gf, gr = g[far], g[~far].copy()
+        for a, row in enumerate(rows):
+            b, v = np.fromiter(row, int), np.fromiter(row.values(), float)
+            rest[np.ix_(b, b)] -= np.outer(v, v) / d[a]
+            gr[b] -= v * gf[a] / d[a]
+        y = np.linalg.lstsq(rest + 1e-14 * np.eye(len(rest)), -gr, rcond=1e-12)[0]
+        step = np.zeros(len(g))
+        step[~far] = y
+        step[far] = [-(gf[a] + sum(v * y[b] for b, v in row.items())) / d[a] for a, row in enumerate(rows)]
+        return step
+
     x = np.zeros(len(goal))
     value, g, h = sums(x)
     done = 0
     while np.abs(g).max() > tol and done < most:
         done += 1
-        step = np.linalg.lstsq(h + 1e-12 * np.eye(len(x)), -g, rcond=1e-10)[0]
+        step = newton(g, h)
         t = min(1.0, 3 / max(1e-9, float(np.abs(step).max())))
         while True:
             new = sums(x + t * step)
@@ -111,15 +135,15 @@ def rates(df: DataFrame, source_target: dict[str, float] | None = None, lang_tar
     src, lng = F.coalesce(F.col("source").cast("string"), F.lit(NONE)), F.coalesce(F.col("lang").cast("string"), F.lit(NONE))
     stats = table(df.select(src.alias("source"), lng.alias("lang"), token_count(F.col("text")).alias("tokens")), "mix-counts")
     got = balance(stats, source_target, lang_target, power)
-    tokens, rate, copies, s, l, a, b = fresh(df, "tokens", "rate", "copies", "source", "lang", "a", "b")
-    kinds = "k string, v double"
-    left = spark.createDataFrame(list(got["source"].items()), kinds).toDF(s, a)
-    right = spark.createDataFrame(list(got["lang"].items()), kinds).toDF(l, b)
+    tokens, rate, copies, s, l, a, b, sk, lk = fresh(df, "tokens", "rate", "copies", "source", "lang", "a", "b", "sk", "lk")
+    kinds = "k string, v double, known boolean"
+    left = spark.createDataFrame([(k, v, True) for k, v in got["source"].items()], kinds).toDF(s, a, sk)
+    right = spark.createDataFrame([(k, v, True) for k, v in got["lang"].items()], kinds).toDF(l, b, lk)
     out = df.withColumns({s: src, l: lng, tokens: token_count(F.col("text"))})
-    out = out.join(F.broadcast(left), s, "left").join(F.broadcast(right), l, "left")
+    out = out.join(left, s, "left").join(right, l, "left")  # Spark broadcasts them while they are small
     z = (F.log1p(F.col(tokens)) - F.lit(got["mean"])) / F.lit(got["sd"])
     known = F.coalesce(F.exp(F.col(a) + F.col(b) + F.lit(got["z"]) * z), F.lit(0.0))
-    weightless = ~F.col(s).isin(*got["source"]) | ~F.col(l).isin(*got["lang"]) if got["source"] else F.lit(True)
+    weightless = F.col(sk).isNull() | F.col(lk).isNull()  # values that have no tokens at all
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = out.withColumn(rate, F.when(weightless, F.lit(1.0)).otherwise(known))
     out = out.withColumn(copies, F.floor(F.col(rate) + u).cast("long"))
