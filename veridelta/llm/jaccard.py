@@ -12,7 +12,7 @@ of equal sets are one set with a count. The steps, all of them exact:
 4. A query's overlap with the union of a group's whole sets bounds what it can have in common with any member. The group is opened only
    to queries whose bound reaches the threshold; in an open group overlaps are counted exactly, by products of token matrices.
 
-Tokens are compared by 56 bits of their hashes. Nothing is capped: a hot passage makes frequent tokens, which come last in every prefix; a
+Tokens are compared by 48 bits of their hashes. Nothing is capped: a hot passage makes frequent tokens, which come last in every prefix; a
 large group makes more blocks. What grows faster than the input is the number of links themselves, which are counted, not listed.
 
 Edge cases: null texts and texts without words have no tokens and no row; a text of fewer than n words has one n-gram of them all; a very long
@@ -36,7 +36,7 @@ N, THRESHOLD = 3, 0.5
 #: Text bytes of a batch, tokens of a range of hashes, sets of a block of a group, and sets that a task compares.
 BATCH, RANGE, BLOCK, HELD = 8 << 20, 1 << 22, 1024, 4096
 #: Bits of a hash that are dropped; documents of a batch at most, and what stands for several of them.
-DROP, MOST_DOCS, SEVERAL = 8, 1 << 15, 0xFFFF
+DROP, MOST_DOCS, SEVERAL = 16, 1 << 15, 0xFFFF
 _TILE = 2048
 
 
@@ -75,6 +75,14 @@ def unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel().cumsum(dtype=np.uint64)
 
 
+def squeeze(b: bytes) -> bytes:
+    return len(b).to_bytes(8, "little") + pa.compress(b, "zstd", asbytes=True)
+
+
+def expand(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
+
+
 def least_shared(n: np.ndarray, threshold: float) -> np.ndarray:
     """How many tokens a set of n has to share with one partner at least."""
     return np.ceil(np.asarray(n) * threshold - 1e-9).astype(np.int64)
@@ -86,7 +94,7 @@ _SETS = "rid long, doc_id long, d1 long, d2 long, key binary, n int, grp long, t
 
 
 def _range_of(token: np.ndarray, ranges: int) -> np.ndarray:
-    return ((token >> np.uint64(24)) * np.uint64(ranges)) >> np.uint64(32)
+    return ((token >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)
 
 
 def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -116,7 +124,7 @@ def _send(n: int, ranges: int):
         part = _range_of(one, ranges)
         for a, b in zip(*_runs(part)):
             c = many[a:b]
-            rows.append((int(part[a]), batch, pack(one[a:b]), who[a:b].view(np.uint8).reshape(-1, 2).T.tobytes(), c[c > 1].astype("<u4").tobytes(), None))
+            rows.append((int(part[a]), batch, squeeze(pack(one[a:b])), squeeze(who[a:b].view(np.uint8).reshape(-1, 2).T.tobytes()), c[c > 1].astype("<u4").tobytes(), None))
         return _rows(names, kinds, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +165,8 @@ def _count(ranges: int):
         batch, a, b, c = (t[x].to_pylist() for x in ("batch", "a", "b", "c"))
         tokens, who, counts = [], [], []
         for x, y, z in zip(a, b, c):
-            tokens.append(unpack(x))
-            w = np.ascontiguousarray(np.frombuffer(y, np.uint8).reshape(2, -1).T).view("<u2").ravel()
+            tokens.append(unpack(expand(x)))
+            w = np.ascontiguousarray(np.frombuffer(expand(y), np.uint8).reshape(2, -1).T).view("<u2").ravel()
             m = np.ones(len(w), np.int64)
             m[w == SEVERAL] = np.frombuffer(z, "<u4")
             who.append(w)
@@ -177,7 +185,7 @@ def _count(ranges: int):
             mine = slice(cut[i], cut[i + 1])
             keep = df[mine] >= 2
             if keep.any():
-                rows.append((batch[i], pack(token[mine][keep]), who[i][keep].tobytes(), level[mine][keep].tobytes(), None))
+                rows.append((batch[i], squeeze(pack(token[mine][keep])), squeeze(who[i][keep].view(np.uint8).reshape(-1, 2).T.tobytes()), squeeze(level[mine][keep].tobytes()), None))
         return pa.Table.from_batches([_rows(names, kinds, rows)])
 
     return run
@@ -193,9 +201,9 @@ def _gather(threshold: float):
             if d is not None:
                 info, kept = pa.ipc.open_stream(d).read_all(), (unpack(a), np.frombuffer(b, "<u2"), np.frombuffer(c, "<u4"))
             else:
-                tokens.append(unpack(a))
-                who.append(np.frombuffer(b, "<u2"))
-                level.append(np.frombuffer(c, np.uint8))
+                tokens.append(unpack(expand(a)))
+                who.append(np.ascontiguousarray(np.frombuffer(expand(b), np.uint8).reshape(2, -1).T).view("<u2").ravel())
+                level.append(np.frombuffer(expand(c), np.uint8))
         tok = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
         own = np.concatenate(who) if who else np.zeros(0, np.uint16)
         lev = np.concatenate(level) if level else np.zeros(0, np.uint8)
@@ -351,34 +359,37 @@ def similar_sets(every: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     across = matrix.toDF("token", "g").join(matrix.toDF("token", "h"), "token").where("g < h").select("g", "h").distinct()
     sizes = heads.groupBy("gid").agg(F.count(F.lit(1)).alias("c"))
     pairs = table(across.unionByName(sizes.where("c > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))), "jaccard-pairs")
-    sent = pairs.select("g", "h", F.explode(F.array_distinct(F.array("g", "h"))).alias("gid"))
-    held = sent.join(sizes, "gid").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    parts = max(1, -(-held // HELD))
+    # A pair is compared where its larger group is, so that a group which many small ones meet is sent once; if they are too many for a task, it is sent again for each slice of them.
+    c, d = sizes.toDF("g", "cg"), sizes.toDF("h", "ch")
+    first = (F.col("cg") > F.col("ch")) | ((F.col("cg") == F.col("ch")) & (F.col("g") <= F.col("h")))
+    pairs = pairs.join(c, "g").join(d, "h").select(F.when(first, F.col("g")).otherwise(F.col("h")).alias("hub"), F.when(first, F.col("h")).otherwise(F.col("g")).alias("other"), F.least("cg", "ch").alias("c"))
+    pairs = table(pairs, "jaccard-hubs")
+    slices = pairs.groupBy("hub").agg(F.ceil(F.sum("c") / HELD).alias("slices"))
+    parts = max(1, -(-pairs.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] // HELD))
+    pairs = pairs.join(slices, "hub").select(F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("other"), F.col("slices"))), F.lit(parts)).alias("part"), "hub", "other")
+    pairs = table(pairs, "jaccard-parts")
+    sent = pairs.select("part", F.explode(F.array("hub", "other")).alias("gid")).distinct()
     cells = sets.select("sid", "n", "docs", "toks", "gid").join(keyed(table(sent, "jaccard-sent")), "gid")
-    cells = cells.select(F.pmod(F.xxhash64("g", "h"), F.lit(parts)).alias("part"), "g", "h", F.col("gid") == F.col("g"), "sid", "n", "docs", "toks").toDF("part", "g", "h", "left", "sid", "n", "docs", "toks")
-
-    def verify(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("g", "ascending"), ("h", "ascending")])
-        g, h, left, sid = t["g"].to_numpy(), t["h"].to_numpy(), t["left"].to_numpy(), t["sid"].to_numpy()
-        n, docs = t["n"].to_numpy().astype(np.int64), t["docs"].to_numpy()
-        out: list[tuple[np.ndarray, ...]] = []
-        links: dict[int, int] = {}
-        for i, j in zip(*_runs(np.stack([g, h], 1).view("i8,i8").ravel())):
-            sets_ = [unpack(x) for x in t["toks"].slice(i, j - i).to_pylist()]
-            side = left[i:j]
-            p = compare(np.flatnonzero(side), None if g[i] == h[i] else np.flatnonzero(~side), sets_, n[i:j], threshold) + i
-            total = np.bincount(np.concatenate([p[:, 0], p[:, 1]]) - i, np.concatenate([docs[p[:, 1]], docs[p[:, 0]]]), j - i).astype(np.int64)
-            for k in np.flatnonzero(total).tolist():
-                links[int(sid[i + k])] = links.get(int(sid[i + k]), 0) + int(total[k])
-            tree = p[spanning(p)]
-            out.append((sid[tree[:, 0]], sid[tree[:, 1]]))
-        a = np.concatenate([np.array(list(links), np.int64), *[x for x, _ in out]])
-        b = np.concatenate([np.zeros(0, np.int64), *[y for _, y in out]])
-        m = len(links)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([None] * m + b.tolist(), pa.int64()), "links": pa.array(list(links.values()) + [None] * len(b), pa.int64())})
-
-    found = table(cells.groupBy("part").applyInArrow(verify, "a long, b long, links long"), "jaccard-found")
-    return keys, found
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("gid")
+        gid, sid, n, docs = (right[x].to_numpy().astype(np.int64) for x in ("gid", "sid", "n", "docs"))
+        sets_ = [unpack(x) for x in right["toks"].to_pylist()]
+        at = {int(gid[i]): np.arange(i, j) for i, j in zip(*_runs(gid))}
+        links, trees = np.zeros(len(sid), np.int64), [np.zeros((0, 2), np.int64)]
+        for g, h in zip(left["hub"].to_pylist(), left["other"].to_pylist()):
+            p = compare(at[h], None if g == h else at[g], sets_, n, threshold)
+            np.add.at(links, p[:, 0], docs[p[:, 1]])
+            np.add.at(links, p[:, 1], docs[p[:, 0]])
+            trees.append(p[spanning(p)])
+        tree, some = np.concatenate(trees), np.flatnonzero(links)
+        tree = tree[spanning(tree)]
+        a = np.concatenate([sid[some], sid[tree[:, 0]]])
+        null = np.arange(len(a))
+        return pa.table({"a": pa.array(a), "b": pa.array(np.concatenate([sid[some], sid[tree[:, 1]]]), mask=null < len(some)), "links": pa.array(np.concatenate([links[some], np.zeros(len(tree), np.int64)]), mask=null >= len(some))})
+
+    found = pairs.groupBy("part").cogroup(cells.groupBy("part")).applyInArrow(verify, "a long, b long, links long")
+    return keys, table(found, "jaccard-found")
 
 
 def components(edges: DataFrame) -> DataFrame:
