@@ -47,18 +47,38 @@ def none(spark):
 # Exact dedup
 
 
-def test_cuckoo_index():
-    r = random.Random(1)
-    index, live = exact_dedup.CuckooIndex(4), set()
-    for _ in range(30_000):
-        x = r.randrange(-(2**63), 2**63) if r.random() < 0.6 or not live else r.choice((next(iter(live)), r.randrange(50)))
-        if r.random() < 0.7:
-            assert index.insert(x) == (x not in live)
-            live.add(x)
+@pytest.mark.parametrize("bits", [1, 8])
+def test_cuckoo_filter(bits):
+    r = np.random.default_rng(1)
+    f, live = exact_dedup.CuckooFilter(bits=bits), set()
+    for step in range(60):
+        d = np.unique(r.integers(0, 2**64 if step % 3 else 3000, r.integers(0, 2000), np.uint64))
+        if live and step % 4 == 3:
+            d = np.unique(np.concatenate([d[:50], r.permutation(np.array(sorted(live), np.uint64))[: r.integers(0, 4000)]]))
+            assert f.delete(d).tolist() == [x in live for x in d.tolist()]
+            live -= set(d.tolist())
         else:
-            assert index.delete(x) == (x in live)
-            live.discard(x)
-    assert len(index) == len(live) and all(x in index for x in live) and 2**40 + 1 not in index
+            assert f.insert(d).tolist() == [x not in live for x in d.tolist()]
+            live |= set(d.tolist())
+        assert len(f) == len(live) == (f.prints > 0).sum()
+        assert f.seems(np.array(sorted(live), np.uint64)).all() and f.contains(d).tolist() == [x in live for x in d.tolist()]
+    assert f.seems(r.integers(0, 2**64, 100_000, np.uint64)).mean() < 1e-3
+
+
+def test_index_of_live_digests(spark, odd, none):
+    kinds = "doc_id long, text string"
+    df = lambda *t: spark.createDataFrame([(i, x) for i, x in enumerate(t)], kinds)
+    index = exact_dedup.build_index(df(*[f"text {i}" for i in range(3000)], None, ""), parts=4)
+    index = exact_dedup.insert(exact_dedup.delete(index, df("text 7", "text 7", "never", None)), df("new", "text 8", LONG))
+    out, known = exact_dedup.contains(index, df("text 7", "text 8", "new", "never", None, "", LONG))
+    assert [r[known] for r in sorted(out.collect())] == [False, True, True, False, False, True, True]
+    out, known = exact_dedup.contains(exact_dedup.build_index(none), odd)
+    assert not any(r[known] for r in out.collect()) and out.columns[:-1] == odd.columns
+
+
+def test_colliding_digests_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "repeated_digests", lambda df, text: df.select(F.xxhash64(text).alias("digest")).distinct())
+    assert {r.doc_id for r in exact_dedup.exact_dedup(spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")).collect()} == {1, 2}
 
 
 def test_exact_dedup(spark, docs):
