@@ -415,16 +415,29 @@ def test_perfect_hash():
         assert sorted(slot.tolist()) == list(range(len(keys)))
 
 
-def test_keyed_access(spark, docs, monkeypatch):
-    monkeypatch.setattr(binary, "SHARD_BYTES", 100_000)
-    shards = binary.write_shards(docs, VOCABULARY).cache()
+def test_keyed_access(spark, docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(binary, "SHARD_BYTES", 20_000)
+    binary.write_shards(docs, VOCABULARY).write.parquet(f"{tmp_path}/shards")
+    shards = spark.read.parquet(f"{tmp_path}/shards")
     rows, c = {r.shard: r.asDict() for r in shards.collect()}, bpe.Codec(VOCABULARY)
-    assert len(rows) > 2
+    assert 2 < len(rows) <= rows[min(rows)]["shards"]
     texts = {r.doc_id: r.text for r in docs.collect()}
-    for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(max(rows) + 1)).alias("s")).collect():
-        got = [binary.find(r.doc_id, x) for x in rows.values()]
-        assert [c.decode(g[0].tolist()) for g in got if g] == [texts[r.doc_id]]
+    for i, t in texts.items():
+        assert [c.decode(g[0].tolist()) for g in (binary.find(i, x) for x in rows.values()) if g] == [t]
     assert not any(binary.find(10**9 + k, x) for k in range(500) for x in rows.values())
+    got = binary.look_up(shards, [*texts, 10**9])
+    assert {i: [c.decode(g.tolist()) for g in v] for i, v in got.items()} == {i: [t] for i, t in texts.items()} | {10**9: []}
+
+
+def test_keyed_access_with_empty_shards_and_hot_keys(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(binary, "SHARD_BYTES", 50)
+    df = table(spark, [(i, f"text number {i} " * 3, "en", "a") for i in range(12)] + [(5, f"hot {k}", "en", "a") for k in range(60)] + [(None, "no key at all", "en", "a")] * 200)
+    binary.write_shards(df, VOCABULARY).write.parquet(f"{tmp_path}/shards")
+    shards, c = spark.read.parquet(f"{tmp_path}/shards"), bpe.Codec(VOCABULARY)
+    got = {i: Counter(c.decode(g.tolist()) for g in v) for i, v in binary.look_up(shards, list(range(13))).items()}
+    assert got == {i: Counter([f"text number {i} " * 3, *([f"hot {k}" for k in range(60)] if i == 5 else [])]) for i in range(12)} | {12: Counter()}
+    docs = {r.shard: r.n_docs for r in shards.select("shard", "n_docs").collect()}
+    assert sum(docs.values()) == 272 and max(docs.values()) < 60  # neither the hot key nor rows without a key fill a shard
 
 
 def test_binary_edges(odd, none):
@@ -620,6 +633,16 @@ def test_sharding(docs):
     assert len(rows) == docs.count() and load == want
 
 
+def test_sharding_of_many_equal_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    df = table(spark, [(i, f"{i:05}", "en", "a") for i in range(300)] + [(i, None, "en", "a") for i in range(300, 320)] + [(None, "x" * 700, "en", "a")])
+    load = Counter()
+    rows = sharding.shard(df, 4).collect()
+    for r in rows:
+        load[r.shard] += r.group_size
+    assert len(rows) == 321 and load == Counter([k for s, k in brute_lpt([5] * 300 + [700], 4) for _ in range(s)])
+
+
 def test_sharding_edges(odd, none):
     rows = sharding.shard(odd, 3).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd.collect())

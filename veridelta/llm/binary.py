@@ -5,9 +5,11 @@ a displacement per bucket of keys, which sends every key to a slot of its own am
 stores the key's fingerprint, where its entries begin, and how many there are; so a look-up is two hashes and one
 comparison whatever the shard holds, and a key that is not there is refused but for one in 2**32.
 
-Edge cases: rows of one key are entries one after another under that key, in the order of their texts; rows without a key are
-stored after the others and no key reaches them; null and empty texts are entries without ids; an empty table
-gives no shard; other columns are ignored.
+A key with more bytes or rows than a shard should have is spread over as many shards as it needs, the one where it belongs and those after it; its slot says how many.
+
+Edge cases: rows of one key are entries one after another under that key, in the order of their ids, shard after shard; rows without a key are
+spread over all shards, stored after the others, and no key reaches them; null and empty texts are entries without ids; a very long text is one entry; an empty table
+gives no shard; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import bound_batches, mix
+from .common import bound_batches, keyed, mix, table
 
-#: Bytes of text that a shard gets about, and keys of an index bucket.
-SHARD_BYTES, LAMBDA = 8 << 20, 4
+#: Bytes of text that a shard gets about, rows of one key that it takes at most about, and keys of an index bucket.
+SHARD_BYTES, KEY_ROWS, LAMBDA = 8 << 20, 1 << 18, 4
 _S1, _S2, _S3 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0)
 
 
@@ -68,29 +70,43 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return shift.astype(np.int32), slot, marks
 
 
-def find(key: int, row: dict) -> list[np.ndarray]:
-    """The ids of each entry of a key in a shard's row; empty where the shard has no such key."""
+def _slot(key: int, row: dict) -> int | None:
+    """The slot of a key in a shard's index, None where its fingerprint is another."""
     shift, marks = np.frombuffer(row["displacements"], np.int32), np.frombuffer(row["fingerprints"], np.uint32)
     if not len(marks):
-        return []
+        return None
     h = mix(np.array([key], np.int64).view(np.uint64) ^ _S1)
     d = int(shift[int((h[0] >> np.uint64(20)) % np.uint64(len(shift)))])
     s = -d - 1 if d < 0 else int(_slots(h, d, len(marks))[0])
-    if marks[s] != np.uint32(mix(h ^ _S3)[0] >> np.uint64(32)):
-        return []
-    first = np.frombuffer(row["entries"], np.int32)[s : s + 1][0]
-    many = np.frombuffer(row["counts"], np.int32)[s]
-    off = np.frombuffer(row["offsets"], np.int64)
-    ids = np.frombuffer(row["payload"], np.dtype(row["dtype"]))
-    return [ids[off[e] : off[e + 1]] for e in range(first, first + many)]
+    return s if marks[s] == np.uint32(mix(h ^ _S3)[0] >> np.uint64(32)) else None
+
+
+def slices(key: int, row: dict) -> tuple[list[tuple[int, int]], int]:
+    """([(first byte, bytes)] of the key's entries in a shard's payload, over how many shards the key is spread); a row without its payload will do."""
+    s = _slot(key, row)
+    if s is None:
+        return [], 1
+    first, many = int(np.frombuffer(row["entries"], np.int32)[s]), int(np.frombuffer(row["counts"], np.int32)[s])
+    off = np.frombuffer(row["offsets"], np.int64) * np.dtype(row["dtype"]).itemsize
+    return [(int(off[e]), int(off[e + 1] - off[e])) for e in range(first, first + many)], int(np.frombuffer(row["spread"], np.int32)[s])
+
+
+def find(key: int, row: dict) -> list[np.ndarray]:
+    """The ids of each entry of a key in a shard's row; empty where the shard has no such key."""
+    return [np.frombuffer(row["payload"][a : a + n], np.dtype(row["dtype"])) for a, n in slices(key, row)[0]]
+
+
+_INDEX = "displacements binary, fingerprints binary, entries binary, counts binary, spread binary"
 
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shard, n_docs, n_tokens, dtype, payload, offsets, displacements, fingerprints, entries, counts), a row for each shard."""
+    """(shard, shards, n_docs, n_tokens, dtype, payload, offsets, displacements, fingerprints, entries, counts, spread), a row for each shard that has documents; shards: how many there are, with empty ones."""
     bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("key"), F.col(text).alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, round(total / SHARD_BYTES))
+    by_key = table(rows.groupBy("key").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("c")), "binary-keys")
+    shards = max(1, round((by_key.agg(F.sum("bytes")).first()[0] or 0) / SHARD_BYTES))
+    spread = F.least(F.lit(shards), F.ceil(F.greatest(F.col("bytes") / SHARD_BYTES, F.col("c") / KEY_ROWS))).cast("int")
+    hot = keyed(table(by_key.where("key IS NOT NULL").select("key", spread.alias("spread")).where("spread > 1"), "binary-hot"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -98,8 +114,8 @@ def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                blobs = [np.array(c.whole(t), kind).tobytes() if t else b"" for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary())], ["shard", "key", "ids"])
+                blobs = [np.array(c.whole(t), kind).tobytes() if t else b"" for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(blobs, pa.binary())], ["shard", "key", "spread", "ids"])
 
     def build(key: tuple, t: pa.Table) -> pa.Table:
         kind = np.uint16 if len(codec(path).bytes_of) <= 1 << 16 else np.uint32
@@ -109,20 +125,46 @@ def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "
         keys = t["key"].drop_null().to_numpy().astype(np.int64)
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         shift, slot, marks = build_index(keys[first])
-        entries, counts = np.zeros(len(first), np.int32), np.zeros(len(first), np.int32)
-        entries[slot], counts[slot] = first, np.diff(np.append(first, len(keys)))
-        one = {"shard": key[0].as_py(), "n_docs": len(blobs), "n_tokens": int(off[-1]), "dtype": np.dtype(kind).name, "payload": b"".join(blobs), "offsets": off.tobytes(), "displacements": shift.tobytes(), "fingerprints": marks.tobytes(), "entries": entries.tobytes(), "counts": counts.tobytes()}
+        entries, counts, wide = (np.zeros(len(first), np.int32) for _ in range(3))
+        entries[slot], counts[slot], wide[slot] = first, np.diff(np.append(first, len(keys))), t["spread"].to_numpy()[first]
+        one = {"shard": key[0].as_py(), "shards": shards, "n_docs": len(blobs), "n_tokens": int(off[-1]), "dtype": np.dtype(kind).name, "payload": b"".join(blobs), "offsets": off.tobytes(), "displacements": shift.tobytes(), "fingerprints": marks.tobytes(), "entries": entries.tobytes(), "counts": counts.tobytes(), "spread": wide.tobytes()}
         return pa.table({k: pa.array([v], pa.int64() if isinstance(v, int) else pa.string() if isinstance(v, str) else pa.binary()) for k, v in one.items()})
 
-    shard = F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(shards)).alias("shard")
-    ids = rows.select(shard, "key", "text").mapInArrow(encode, "shard long, key long, ids binary")
-    out = "shard long, n_docs long, n_tokens long, dtype string, payload binary, offsets binary, displacements binary, fingerprints binary, entries binary, counts binary"
-    return ids.groupBy("shard").applyInArrow(build, out)
+    row = F.monotonically_increasing_id()
+    wide = F.coalesce(F.col("spread"), F.lit(1))
+    home = F.when(F.col("key").isNull(), F.xxhash64(row)).otherwise(F.xxhash64(F.lit(1), "key") + F.when(wide > 1, F.pmod(F.xxhash64(row), wide)).otherwise(0))
+    ids = rows.join(hot, "key", "left").select(_home(home, shards).alias("shard"), "key", wide.alias("spread"), "text").mapInArrow(encode, "shard long, key long, spread int, ids binary")
+    return ids.groupBy("shard").applyInArrow(build, f"shard long, shards long, n_docs long, n_tokens long, dtype string, payload binary, offsets binary, {_INDEX}")
+
+
+def _home(h: Column, shards: int) -> Column:
+    return F.pmod(h, F.lit(shards).cast("long"))
 
 
-def look_up(shards: DataFrame, keys: list[int], n_shards: int) -> dict[int, list[np.ndarray]]:
-    """The entries of some keys; only the shards that can hold them are read. n_shards: the number of shards that were asked for (the largest shard number and one more)."""
+def look_up(shards: DataFrame, keys: list[int]) -> dict[int, list[np.ndarray]]:
+    """The entries of some keys. The indexes of the shards that can hold them come to the driver, then only the slices of payload that these name."""
     spark = shards.sparkSession
-    where = {r.key: r.shard for r in spark.createDataFrame([(k,) for k in keys], "key long").select("key", F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(n_shards)).alias("shard")).collect()}
-    rows = {r.shard: r.asDict() for r in shards.where(F.col("shard").isin(sorted(set(where.values())))).collect()}
-    return {k: find(k, rows[s]) if s in rows else [] for k, s in where.items()}
+    keys = sorted(set(keys))
+    size = shards.select("shards").first()
+    if size is None or not keys:
+        return {k: [] for k in keys}
+    n = size[0]
+    where = {r.key: r.shard for r in spark.createDataFrame([(k,) for k in keys], "key long").select("key", _home(F.xxhash64(F.lit(1), "key"), n).alias("shard")).collect()}
+    light = ["shard", "dtype", "offsets", *[x.split()[0] for x in _INDEX.split(", ")]]
+    indexes: dict[int, dict] = {}
+
+    def fetch(wanted: set[int]) -> None:
+        for r in shards.select(*light).where(F.col("shard").isin(sorted(wanted - set(indexes)))).collect():
+            indexes[r.shard] = r.asDict()
+
+    fetch(set(where.values()))
+    homes = {k: [(s + j) % n for j in range(slices(k, indexes[s])[1] if s in indexes else 1)] for k, s in where.items()}
+    if more := {s for v in homes.values() for s in v} - set(indexes):
+        fetch(more)
+    want = [(s, k, i, j, a, m) for k, v in homes.items() for i, s in enumerate(v) if s in indexes for j, (a, m) in enumerate(slices(k, indexes[s])[0])]
+    out: dict[int, list[np.ndarray]] = {k: [] for k in keys}
+    if want:
+        cut = spark.createDataFrame(want, "shard long, key long, i int, j int, a long, m long").join(shards.select("shard", "dtype", "payload"), "shard")
+        for r in cut.select("key", "i", "j", "dtype", F.expr("substring(payload, cast(a + 1 as int), cast(m as int))").alias("ids")).orderBy("key", "i", "j").collect():
+            out[r.key].append(np.frombuffer(bytes(r.ids), np.dtype(r.dtype)))
+    return out
