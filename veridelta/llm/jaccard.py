@@ -34,7 +34,7 @@ from .common import WORD, bound_batches, fresh, gram_hashes, keyed, mix, steps,
 
 N, THRESHOLD = 3, 0.5
 #: Text bytes of a batch, tokens of a range of hashes, sets of a block of a group, and sets that a task compares.
-BATCH, RANGE, BLOCK, HELD = 8 << 20, 1 << 22, 1024, 4096
+BATCH, RANGE, BLOCK, HELD = 8 << 20, 1 << 20, 1024, 4096
 #: Bits of a hash that are dropped; documents of a batch at most, and what stands for several of them.
 DROP, MOST_DOCS, SEVERAL = 16, 1 << 15, 0xFFFF
 _TILE = 2048

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh, text_buffers, with_fields
+from .common import bound_batches, fresh, keyed, table, text_buffers, with_fields
 
 #: Bound of the labelled sample: so many documents of each language, by lowest hash of the id.
 TRAIN_PER_LANGUAGE = 300
@@ -160,7 +160,7 @@ def sample(df: DataFrame, label: Column, most: int, id_col: str = "doc_id", text
     rows = df.select(label.alias("label"), F.xxhash64(F.lit(5), F.col(id_col)).alias("h"), F.xxhash64(F.lit(7), F.col(text)).alias("d"), F.col(text).alias("text")).where("label IS NOT NULL AND text IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "d"))  # Spark cuts each input partition to so many before the shuffle
     chosen = rows.select("label", "h", "d", rank.alias("rank")).where(F.col("rank") <= most).groupBy("label", "h", "d").agg(F.count(F.lit(1)).alias("times"))
-    got = [(r.label, r.h, r.d, r.text, r.times) for r in rows.join(chosen, ["label", "h", "d"]).groupBy("label", "h", "d", "times").agg(F.min("text").alias("text")).collect()]
+    got = [(r.label, r.h, r.d, r.text, r.times) for r in rows.join(keyed(table(chosen, "language-sample")), ["label", "h", "d"]).groupBy("label", "h", "d", "times").agg(F.min("text").alias("text")).collect()]
     return [(label, t) for label, _, _, t, times in sorted(got) for _ in range(times)]
 
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, fresh, table
+from .common import fresh, keyed, table
 
 NONE = "\x00none"
 
@@ -140,7 +140,7 @@ def rates(df: DataFrame, source_target: dict[str, float] | None = None, lang_tar
     left = spark.createDataFrame([(k, v, True) for k, v in got["source"].items()], kinds).toDF(s, a, sk)
     right = spark.createDataFrame([(k, v, True) for k, v in got["lang"].items()], kinds).toDF(l, b, lk)
     out = df.withColumns({s: src, l: lng, tokens: token_count(F.col("text"))})
-    out = out.join(left, s, "left").join(right, l, "left")  # Spark broadcasts them while they are small
+    out = out.join(keyed(left), s, "left").join(keyed(right), l, "left")
     z = (F.log1p(F.col(tokens)) - F.lit(got["mean"])) / F.lit(got["sd"])
     known = F.coalesce(F.exp(F.col(a) + F.col(b) + F.lit(got["z"]) * z), F.lit(0.0))
     weightless = F.col(sk).isNull() | F.col(lk).isNull()  # values that have no tokens at all
