@@ -17,22 +17,33 @@ def opinions(spark, *resources):
 
 def test_every_type_gives_an_opinion(spark):
     assert len(C.SPEC) == 32
-    made = []
-    for kind, rules in C.SPEC.items():
-        r = {"resourceType": kind, "id": "1"}
-        for rule in rules:
-            at, value = r, rule.codes.split(" ")[0] if rule.codes else 0.7
-            parts = rule.path.split(".") if rule.path else []
-            for k, p in enumerate(parts):
-                name, many = p.split("[")[0], "[" in p
-                leaf = value if k == len(parts) - 1 else {}
-                at.setdefault(name, [leaf] if many else leaf)
-                at = at[name][0] if many else at[name]
-        made.append(r)
-    got = opinions(spark, *made)
-    assert set(got) == {(k, r.field) for k, rules in C.SPEC.items() for r in rules}
-    for o in got.values():
-        assert o.b + o.d + o.u == pytest.approx(1) and 0 < o.u <= 0.95
+    got = {r.type: r for r in C.from_records(spark.createDataFrame([(json.dumps({"resourceType": k, "prediction": [{"probabilityDecimal": 0.4}], "verificationStatus": {"coding": [{"code": "confirmed"}]}}),) for k in C.SPEC], "json string")).collect()}
+    assert set(got) == set(C.SPEC)
+    for r in got.values():
+        o = r.opinion
+        assert o.b + o.d + o.u == pytest.approx(1) and o.b + o.a * o.u == pytest.approx(o.a) and r.source == "reconstructed"
+
+
+def test_documents_and_back(spark):
+    fields = {
+        "AllergyIntolerance": {"clinicalStatus": {"coding": [{"code": "active"}]}, "code": {"text": "x"}, "patient": {"reference": "p/1"}, "note": [{"text": "n"}], "category": ["food"]},
+        "Provenance": {"recorded": "2024-01-01", "target": [{"reference": "a/1"}], "agent": [{"type": {"coding": [{"code": "author"}]}, "who": {"reference": "p/1"}}], "entity": [{"role": "source", "what": {"reference": "d/1"}}], "reason": [{"coding": [{"code": "T"}]}], "activity": {"coding": [{"code": "CREATE"}]}},
+        "Specimen": {"status": "available", "type": {"text": "blood"}, "collection": {"collector": {"reference": "p/1"}, "method": {"text": "m"}}, "processing": [{}, {}], "condition": [{"coding": [{"code": "HEM"}]}]},
+        "DocumentReference": {"status": "current", "relatesTo": [{"code": "replaces", "target": {"reference": "d/1"}}], "context": {"encounter": [{"reference": "e/1"}], "period": {"start": "2024"}}},
+        "RiskAssessment": {"status": "final", "prediction": [{"probabilityDecimal": 0.25}, {"probabilityDecimal": 0.5}]},
+        "Goal": {"lifecycleStatus": "active", "achievementStatus": {"coding": [{"code": "achieved"}]}},
+    }
+    made = [{"resourceType": k, "id": str(i)} | f for i, (k, f) in enumerate(fields.items())] + [{"resourceType": "Basic", "id": "b"}]
+    docs = C.to_documents(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(made)], "i int, json string"), order="i")
+    rows = {r.type: r for r in C.to_records(docs.where("warning IS NULL")).collect()}
+    for kind, want in fields.items():
+        got = json.loads(rows[kind].record)
+        bare = {k: [{a: b for a, b in p.items() if a[0] != "_"} for p in v] if k == "prediction" else v for k, v in got.items() if k[0] != "_"}
+        assert bare == {"resourceType": kind, "id": got["id"]} | want and rows[kind].nodes_converted == len(json.loads(rows[kind].document)["opinions"])
+    odd = docs.where("warning IS NOT NULL").first()
+    assert odd.type == "Basic" and json.loads(odd.document) == {"@type": "fhir:Basic", "id": "b", "opinions": []}
+    first = {(r.type, r.value, r.opinion) for r in C.from_records(C.to_records(docs.where("warning IS NULL")), "record").collect() if r.source == "extension"}
+    assert len(first) == 7
 
 
 def test_evidence_lowers_uncertainty(spark):

@@ -154,8 +154,9 @@ def test_trust(spark):
     t = spark.createDataFrame([tuple(x) for x in ("ab", "bc", "ac", "ca")], "source string, target string").withColumn("opinion", O.opinion(0.5, 0.0, 0.5))
     got = {r.target: r for r in network.propagate_trust(t, spark.createDataFrame([("a",)], "node string")).collect()}
     assert set(got) == {"b", "c"} and got["c"].paths == 2 and got["b"].opinion.b == 0.5
-    with pytest.raises(ValueError, match="more than"):
-        network.propagate_trust(t, spark.createDataFrame([("a",)], "node string"), most=1)
+    ring = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n9", "n0")], "source string, target string").withColumn("opinion", O.opinion(0.9, 0.0, 0.1))
+    far = {r.target: r for r in network.propagate_trust(ring, spark.createDataFrame([("n0",)], "node string")).collect()}
+    assert len(far) == 9 and far["n9"].paths == 1 and far["n9"].opinion.b == pytest.approx(0.9**9)
     says = spark.createDataFrame([("b", "x"), ("z", "x"), ("a", "y")], "agent string, content string").withColumn("opinion", O.opinion(0.8, 0.1, 0.1))
     out = {r.content: r.opinion for r in network.attested(says, network.propagate_trust(t, spark.createDataFrame([("a",)], "node string")), "a").collect()}
     assert out["y"].b == pytest.approx(0.8) and out["x"].b == pytest.approx(0.4)

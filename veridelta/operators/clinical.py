@@ -16,21 +16,22 @@ from veridelta.operators.fusion import averaging_fuse, cumulative_fuse
 DEFAULT_UNCERTAINTY = 0.15
 
 
-def scalar_to_opinion(p: Column, status_multiplier: Column | float = 1.0, basis_count: Column | None = None, method: Column | None = None, default_uncertainty: float = DEFAULT_UNCERTAINTY, a: float = 0.5) -> Column:
-    """A probability as an opinion whose uncertainty falls with evidence: no basis 1.5 times, one or two 0.9, more 0.7; a stated method 0.8."""
+def scalar_to_opinion(p: Column, status_multiplier: Column | float = 1.0, basis_count: Column | None = None, method: Column | None = None, default_uncertainty: float = DEFAULT_UNCERTAINTY, a: Column | float | None = None) -> Column:
+    """A probability as an opinion whose uncertainty falls with evidence: no basis 1.5 times, one or two 0.9, more 0.7; a stated method 0.8. The base rate is p unless another is given."""
     u = F.lit(default_uncertainty) * O.num(status_multiplier)
     if basis_count is not None:
         u = u * F.when(basis_count.isNull(), 1.0).when(basis_count == 0, 1.5).when(basis_count <= 2, 0.9).otherwise(0.7)
     if method is not None:
         u = u * F.when(method.isNotNull(), 0.8).otherwise(1.0)
-    return O.from_confidence(p, F.least(F.greatest(u, F.lit(0.0)), F.lit(0.95)), a)
+    return O.from_confidence(p, F.least(F.greatest(u, F.lit(0.0)), F.lit(0.99)), p if a is None else a)
 
 
 def coded(status: Column, table: dict[str, tuple[float, float]], otherwise: tuple[float, float] = (0.5, 0.3), factor: Column | float = 1.0) -> Column:
     """A code's opinion by table of (probability, uncertainty), uncertainty times a factor."""
     m = F.create_map(*[F.lit(x) for k, (p, u) in table.items() for x in (k, f"{p},{u}")])[status]
     parts = F.split(F.coalesce(m, F.lit(f"{otherwise[0]},{otherwise[1]}")), ",")
-    return O.from_confidence(parts[0].cast("double"), F.least(F.lit(0.95), parts[1].cast("double") * O.num(factor)))
+    p = parts[0].cast("double")
+    return O.from_confidence(p, F.least(F.lit(0.99), parts[1].cast("double") * O.num(factor)), p)
 
 
 def counted(n: Column, none: float = 1.3, few: float = 0.9, many: float = 0.7) -> Column:
@@ -96,9 +97,9 @@ def consent_opinion(status: Column, denied: Column, verified: Column, unverified
     of = lambda i: F.coalesce(F.create_map(*[F.lit(x) for k, v in codes.items() for x in (k, v[i])])[status], F.lit((0.5, 0.35)[i]))
     p = of(0) * F.when(denied, 0.7).otherwise(1.0)
     u = of(1) * F.when(verified > 0, F.greatest(F.lit(0.3), F.pow(F.lit(0.75), verified))).when(unverified > 0, 1.05).otherwise(1.0)
-    return O.from_confidence(p, F.least(F.lit(0.95), u))
+    return O.from_confidence(p, F.least(F.lit(0.99), u), p)
 
 
 def consent_status(o: Column) -> Column:
     """The status that an opinion amounts to."""
-    return F.when(o["u"] >= 0.5, "draft").when(o["d"] > o["b"], "rejected").when(o["b"] > o["d"], "active").otherwise("proposed")
+    return F.when(o["u"] >= 0.5, "draft").when((o["d"] > o["b"]) & (o["d"] > o["u"]), "rejected").when(o["b"] > o["d"], "active").otherwise("draft")

@@ -1,6 +1,7 @@
 """Inference over belief networks and trust networks, level by level.
 
-nodes(node, opinion); edges(source, target, given, otherwise): the child's opinion if the parent holds or not. trust(source, target, opinion). Each level is written to the shared folder.
+nodes(node, opinion); edges(source, target, given, otherwise): the child's opinion if the parent holds or not. tables(target, parents, states, given): a full conditional table, a row for
+each configuration of the parents. trust(source, target, opinion). Each level is written to the shared folder once.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veridelta.functions import opinion as O
 from veridelta.operators.fusion import averaging_fuse, cumulative_fuse
-from veridelta.operators.governance import _cut, shared_dir
+from veridelta.operators.durable import cut
 
 
 class CycleError(ValueError):
@@ -19,17 +20,16 @@ class CycleError(ValueError):
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): the longest way from a root. A cycle is an error."""
-    at = shared_dir(nodes)
     e = edges.select("source", "target").distinct()
-    front = _cut(nodes.select("node").join(e.select(F.col("target").alias("node")), "node", "left_anti").distinct(), at)
+    front = cut(nodes.select("node").join(e.select(F.col("target").alias("node")), "node", "left_anti").distinct())
     out, level, most = front.withColumn("level", F.lit(0)), 0, nodes.select("node").distinct().count()
     while not front.isEmpty():
         level += 1
         if level > most:
             raise CycleError("the edges close a cycle")
-        front = _cut(front.join(e, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct(), at)
+        front = cut(front.join(e, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct())
         out = out.unionByName(front.withColumn("level", F.lit(level)))
-    got = _cut(out.groupBy("node").agg(F.max("level").alias("level")), at)
+    got = cut(out.groupBy("node").agg(F.max("level").alias("level")))
     if not nodes.select("node").join(got, "node", "left_anti").isEmpty():  # what no root leads to lies on a cycle or behind one
         raise CycleError("the edges close a cycle")
     return got
@@ -39,41 +39,79 @@ def is_tree(edges: DataFrame) -> bool:
     return edges.groupBy("target").count().where("count > 1").isEmpty()
 
 
-def infer(nodes: DataFrame, edges: DataFrame, counterfactual: str = "vacuous", method: str = "auto") -> DataFrame:
-    """(node, opinion): roots keep theirs; a node with one parent is deduced; with several, each deduction is made apart and all are fused (method approximate; exact refuses such nodes)."""
-    if method == "exact" and not is_tree(edges):
+class NodeNotFoundError(KeyError):
+    """An edge, or a query, names a node that is not there."""
+
+
+#: Parents of a full conditional table at most, as 2 to their number rows are needed.
+MOST_PARENTS = 20
+
+
+def infer(nodes: DataFrame, edges: DataFrame, counterfactual: str = "vacuous", method: str = "auto", tables: DataFrame | None = None) -> DataFrame:
+    """(node, opinion): roots keep theirs; a node with one parent is deduced; with several, each deduction is made apart and all are fused in the order of the parents (method approximate; exact
+    refuses such nodes). A target of tables is found by enumeration of its configurations, each weighted by its parents' projected probabilities."""
+    return trace(nodes, edges, counterfactual, method, tables).select("node", "opinion")
+
+
+def trace(nodes: DataFrame, edges: DataFrame, counterfactual: str = "vacuous", method: str = "auto", tables: DataFrame | None = None) -> DataFrame:
+    """(node, step, operation, inputs, opinion): what infer does; step counts the levels, operation is passthrough, deduce, fuse or enumerate, inputs are the parents.
+
+    One pass: opinions travel along the edges of the nodes that were last known, and a node is known when all its parents are."""
+    if method == "exact" and (tables is not None or not is_tree(edges)):
         raise ValueError("exact inference needs nodes of one parent at most")
-    at = shared_dir(nodes)
-    order = levels(nodes, edges)
-    deepest = order.agg(F.max("level")).first()[0] or 0
+    none = F.lit(None).cast(O.SCHEMA)
     otherwise = F.coalesce("otherwise", O.COUNTERFACTUALS[counterfactual](F.col("given"))) if "otherwise" in edges.columns else O.COUNTERFACTUALS[counterfactual](F.col("given"))
     e = edges.select("source", "target", "given", otherwise.alias("otherwise"))
-    done = _cut(order.where("level = 0").join(nodes.select("node", "opinion"), "node").select("node", "opinion"), at)
-    for k in range(1, deepest + 1):
-        here = e.join(order.where(F.col("level") == k).select(F.col("node").alias("target")), "target")
-        parts = here.join(done.select(F.col("node").alias("source"), F.col("opinion").alias("_p")), "source")
-        deduced = parts.select(F.col("target").alias("node"), "source", O.deduce(F.col("_p"), F.col("given"), F.col("otherwise")).alias("opinion"))
-        done = done.unionByName(_cut(cumulative_fuse(deduced, ["node"], "opinion", "source"), at))
+    if tables is not None:
+        e = e.unionByName(tables.select(F.explode("parents").alias("source"), "target", none.alias("given"), none.alias("otherwise")).distinct())
+    degree = e.groupBy("target").agg(F.count(F.lit(1)).alias("degree"))
+    e = cut(e.join(degree, "target"))
+    first = nodes.join(degree.select(F.col("target").alias("node")), "node", "left_anti").select("node", F.lit(0).alias("step"), F.lit("passthrough").alias("operation"), F.array().cast("array<string>").alias("inputs"), "opinion")
+    known = cut(first)
+    done, waiting, step, n = known, None, 0, nodes.select("node").distinct().count()
+    plan = None
+    if tables is not None:
+        bad = tables.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("parents")).alias("k"), F.min(F.size("parents")).alias("least")).where(f"k <> least OR k > {MOST_PARENTS} OR n <> power(2, k)")
+        if not bad.isEmpty():
+            raise ValueError(f"a conditional table is not complete, or has more than {MOST_PARENTS} parents")
+        plan = tables.groupBy("target").agg(F.collect_list(F.struct("parents", "states", "given")).alias("_rows"))
+    while not known.isEmpty():
+        step += 1
+        sent = known.select(F.col("node").alias("source"), F.col("opinion").alias("_p")).join(e, "source")
+        sent = sent.select("target", "degree", "source", F.when(F.col("given").isNotNull(), O.deduce(F.col("_p"), F.col("given"), F.col("otherwise"))).otherwise(F.col("_p")).alias("o"), F.col("given").isNull().alias("raw"))
+        sent = cut(sent if waiting is None else sent.unionByName(waiting))
+        ready = sent.groupBy("target").agg(F.max("degree").alias("degree"), F.sort_array(F.collect_list(F.struct("source", "o", "raw"))).alias("m")).where(F.size("m") == F.col("degree"))
+        pairs = F.filter("m", lambda x: ~x["raw"])
+        fused = O.cumulative_array(F.transform(pairs, lambda x: x["o"]))
+        found, operation = fused, F.when(F.size("m") == 1, "deduce").otherwise("fuse")
+        if plan is not None:
+            ready = ready.join(plan, "target", "left")
+            by = F.map_from_entries(F.transform(F.filter("m", lambda x: x["raw"]), lambda x: F.struct(x["source"], O.projected(x["o"]))))
+            weight = lambda r: F.aggregate(F.zip_with(r["parents"], r["states"], lambda p, s: F.when(s, by[p]).otherwise(1 - by[p])), F.lit(1.0), lambda x, y: x * y)
+            sums = lambda f: F.aggregate(F.transform("_rows", lambda r: weight(r) * f(r["given"])), F.lit(0.0), lambda x, y: x + y)
+            whole = O.opinion(sums(lambda g: g["b"]), sums(lambda g: g["d"]), sums(lambda g: g["u"]), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sums(O.projected))))
+            found = F.when(F.col("_rows").isNotNull(), whole).otherwise(fused)
+            operation = F.when(F.col("_rows").isNotNull(), "enumerate").otherwise(operation)
+        known = cut(ready.select(F.col("target").alias("node"), F.lit(step).alias("step"), operation.alias("operation"), F.transform("m", lambda x: x["source"].cast("string")).alias("inputs"), found.cast(O.SCHEMA).alias("opinion")))
+        waiting = sent.join(known.select(F.col("node").alias("target")), "target", "left_anti")
+        done = done.unionByName(known)
+    if done.select("node").distinct().count() < n:
+        missing = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).join(nodes.select("node"), "node", "left_anti").first()
+        if missing is not None:
+            raise NodeNotFoundError(missing[0])
+        raise CycleError("the edges close a cycle")
     return done
 
 
-def propagate_trust(trust: DataFrame, agents: DataFrame, method: str = "cumulative", most: int = 6) -> DataFrame:
-    """(agent, target, opinion, paths): what each of agents(node) may trust over all simple paths of at most so many edges, fused in order of the paths. Paths can be exponentially many, so the
-    depth is a parameter and never a silent cut: an unfinished search is an error."""
-    at = shared_dir(trust)
+def propagate_trust(trust: DataFrame, agents: DataFrame, method: str = "cumulative") -> DataFrame:
+    """(agent, target, opinion, paths): what each of agents(node) may trust over all simple paths, however long, fused in order of the paths. Nothing is cut; as there can be exponentially many
+    simple paths in a dense network, that is what bounds its size."""
     e = trust.select(F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("opinion").alias("_o"))
-    path = _cut(agents.select(F.col("node").alias("agent")).join(e, F.col("agent") == F.col("_s")).where("_s <> _t").select("agent", F.col("_t").alias("target"), F.col("_o").alias("opinion"), F.array("_s", "_t").alias("path")), at)
+    path = cut(agents.select(F.col("node").alias("agent")).join(e, F.col("agent") == F.col("_s")).where("_s <> _t").select("agent", F.col("_t").alias("target"), F.col("_o").alias("opinion"), F.array("_s", "_t").alias("path")))
     found = path
-    for depth in range(2, most + 2):
+    while not path.isEmpty():
         step = path.join(e, F.col("target") == F.col("_s")).where(~F.array_contains("path", F.col("_t")))
-        new = step.select("agent", F.col("_t").alias("target"), O.trust_discount(F.col("opinion"), F.col("_o")).alias("opinion"), F.array_append("path", F.col("_t")).alias("path"))
-        if depth == most + 1:
-            if not new.isEmpty():
-                raise ValueError(f"there are simple paths of more than {most} edges")
-            break
-        path = _cut(new, at)
-        if path.isEmpty():
-            break
+        path = cut(step.select("agent", F.col("_t").alias("target"), O.trust_discount(F.col("opinion"), F.col("_o")).alias("opinion"), F.array_append("path", F.col("_t")).alias("path")))
         found = found.unionByName(path)
     keyed = found.withColumn("_k", F.struct(F.size("path"), "path"))
     counts = found.groupBy("agent", "target").agg(F.count(F.lit(1)).alias("paths"))
@@ -81,6 +119,14 @@ def propagate_trust(trust: DataFrame, agents: DataFrame, method: str = "cumulati
     return fused.join(counts, ["agent", "target"])
 
 
+def infer_with_trust(nodes: DataFrame, edges: DataFrame, trust: DataFrame, attestations: DataFrame, agent: str, trust_fusion: str = "cumulative", content_fusion: str = "cumulative", counterfactual: str = "vacuous") -> DataFrame:
+    """(node, opinion) of all content as an agent sees it: attestations are discounted by the trust that reaches their agents and fused, take the place of the content's own opinions, and inference goes on from there."""
+    me = trust.sparkSession.createDataFrame([(agent,)], "node string")
+    seen = attested(attestations, propagate_trust(trust, me, trust_fusion), agent, content_fusion)
+    content = nodes.join(seen.select(F.col("content").alias("node"), F.col("opinion").alias("_seen")), "node", "left")
+    return infer(content.select("node", F.coalesce("_seen", "opinion").alias("opinion")), edges, counterfactual)
+
+
 def attested(attestations: DataFrame, trusts: DataFrame, agent: str, method: str = "cumulative") -> DataFrame:
     """(content, opinion): attestations(agent, content, opinion) discounted by the agent's derived trust (its own count in full, unreachable agents' are vacuous) and fused by agent."""
     t = trusts.where(F.col("agent") == agent).select(F.col("target").alias("_a"), F.col("opinion").alias("_t"))
@@ -114,7 +160,10 @@ def to_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level, position): parents before children, ties by name."""
     lv = levels(nodes, edges)
-    return lv.withColumn("position", F.row_number().over(Window.orderBy("level", "node")) - 1)
+    sizes = lv.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.alias("x").join(sizes.alias("y"), F.col("y.level") < F.col("x.level"), "left").groupBy("x.level").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("level").orderBy("node")) - 1  # one task for each level
+    return lv.withColumn("within", within).join(before, "level").select("node", "level", (F.col("before") + F.col("within")).alias("position"))
 
 
 def enumerate_parents(parents: DataFrame, table: DataFrame) -> DataFrame:

@@ -513,15 +513,15 @@ def mqtt_routing(t):
     return t("events").select("event_id", topic.alias("topic"), T.quality_of_service(conf("event_id"), F.col("user_id") % 10 == 0).alias("qos"))
 
 
-@query(f"""WITH s AS (SELECT o_orderkey, o_orderstatus, {CONF.format('o_orderkey')} AS c FROM orders), x AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0.9 WHEN 'O' THEN 0.6 ELSE 0.3 END AS p, least(0.95, 0.15 * CASE o_orderstatus WHEN 'F' THEN 0.8 WHEN 'O' THEN 1.0 ELSE 1.5 END * CASE o_orderkey % 4 WHEN 0 THEN 1.5 WHEN 1 THEN 0.9 WHEN 2 THEN 0.9 ELSE 0.7 END) AS u FROM s)
-    SELECT o_orderkey, round(p * (1 - u), 6) AS b, round((1 - p) * (1 - u), 6) AS d, round(u, 6) AS u, CASE WHEN p * (1 - u) + 0.5 * u >= 0.6 THEN 'keep' ELSE 'suppress' END AS alert FROM x""")
+@query(f"""WITH s AS (SELECT o_orderkey, o_orderstatus, {CONF.format('o_orderkey')} AS c FROM orders), x AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0.9 WHEN 'O' THEN 0.6 ELSE 0.3 END AS p, least(0.99, 0.15 * CASE o_orderstatus WHEN 'F' THEN 0.8 WHEN 'O' THEN 1.0 ELSE 1.5 END * CASE o_orderkey % 4 WHEN 0 THEN 1.5 WHEN 1 THEN 0.9 WHEN 2 THEN 0.9 ELSE 0.7 END) AS u FROM s)
+    SELECT o_orderkey, round(p * (1 - u), 6) AS b, round((1 - p) * (1 - u), 6) AS d, round(u, 6) AS u, round(p, 6) AS a, CASE WHEN p >= 0.6 - 1e-9 THEN 'keep' ELSE 'suppress' END AS alert FROM x""")
 def clinical_status(t):
     from veridelta.operators import clinical
 
     p = F.when(F.col("o_orderstatus") == "F", 0.9).when(F.col("o_orderstatus") == "O", 0.6).otherwise(0.3)
     m = F.when(F.col("o_orderstatus") == "F", 0.8).when(F.col("o_orderstatus") == "O", 1.0).otherwise(1.5)
     o = clinical.scalar_to_opinion(p, status_multiplier=m, basis_count=F.col("o_orderkey") % 4)
-    return t("orders").select("o_orderkey", *[r6(o[k], k) for k in "bdu"], clinical.alert(o, 0.6).alias("alert"))
+    return t("orders").select("o_orderkey", *[r6(o[k], k) for k in "bdua"], clinical.alert(o, 0.6 - 1e-9).alias("alert"))
 
 
 @query(f"""WITH r AS (SELECT r_regionkey AS k, 0.3 + 0.69 * (r_regionkey % 100) / 100.0 AS c FROM region), x AS (SELECT k, c * 0.8 AS b, (1 - c) * 0.8 AS d, 0.2 AS u, 0.5 AS a FROM r),
@@ -540,23 +540,24 @@ def network_inference(t):
     return out.where(F.col("node").startswith("s")).select(F.substring("node", 2, 20).cast("long").alias("node"), *[r6(o[k], k) for k in "bdu"])
 
 
-@query("""WITH e AS (SELECT n_nationkey AS s, (n_nationkey + k) % 25 AS t, 0.5 + 0.02 * (n_nationkey % 20) - 0.1 * k AS b FROM nation, (SELECT unnest([1, 3]) AS k)), a AS (SELECT * FROM e WHERE s = 0), p AS (SELECT a.t AS m, e.t AS target, a.b * e.b AS b FROM a JOIN e ON a.t = e.s WHERE e.t <> 0),
-    f AS (SELECT t AS target, b, 1 AS len, t AS m FROM a UNION ALL SELECT target, b, 2, m FROM p)
-    SELECT target, count(*) AS paths, round((1 / (1 + sum(1 / (1 - b) - 1))) * sum(b / (1 - b)), 6) AS b FROM f GROUP BY 1""")
+#: Suppliers trust the next one and the third of their group of six, in a ring, so there are cycles and simple paths of up to five edges.
+RING = """e AS (SELECT s_suppkey AS s, t, 0.5::DOUBLE + 0.02 * (s_suppkey % 20) - 0.1 * k AS b, 0.02::DOUBLE * (s_suppkey % 3) AS d, 0.2::DOUBLE + 0.1 * (s_suppkey % 7) AS a FROM (SELECT s_suppkey, k, s_suppkey // 6 * 6 + (s_suppkey % 6 + k) % 6 AS t
+    FROM supplier, (SELECT unnest([1, 3]) AS k)) WHERE t IN (SELECT s_suppkey FROM supplier))"""
+
+
+def ring(t: Callable[[str], DataFrame]) -> DataFrame:
+    k, s = F.col("s_suppkey"), t("supplier").select("s_suppkey")
+    rows = s.withColumn("k", F.explode(F.array(F.lit(1), F.lit(3)))).withColumn("t", F.floor(k / 6).cast("long") * 6 + (k % 6 + F.col("k")) % 6).join(s.toDF("t"), "t", "left_semi")
+    return rows.select(k.alias("source"), F.col("t").alias("target"), O.opinion(F.lit(0.5) + F.lit(0.02) * (k % 20) - F.lit(0.1) * F.col("k"), F.lit(0.02) * (k % 3), F.lit(0.5) - F.lit(0.02) * (k % 20) + F.lit(0.1) * F.col("k") - F.lit(0.02) * (k % 3), F.lit(0.2) + F.lit(0.1) * (k % 7)).alias("opinion"))
+
+
+@query(f"""WITH RECURSIVE {RING}, p(agent, target, b, d, a, path) AS (SELECT s, t, b, d, a, [s, t] FROM e UNION ALL SELECT agent, t, p.b * e.b, p.b * e.d, e.a, list_append(path, t) FROM p JOIN e ON e.s = p.target AND NOT list_contains(path, t)),
+    f AS (SELECT agent, target, count(*) AS paths, 1 / (1 + sum(1 / (1 - b - d)) - count(*)) AS u, sum(b / (1 - b - d)) AS sb, sum(d / (1 - b - d)) AS sd FROM p GROUP BY 1, 2)
+    SELECT agent, target, paths, round(u * sb, 6) AS b, round(u * sd, 6) AS d, round(u, 6) AS u FROM f""")
 def trust_propagation(t):
-    """Trust over all paths of at most two steps on a ring with chords."""
-    n = t("nation")
-    rows = n.withColumn("k", F.explode(F.array(F.lit(1), F.lit(3))))
-    b = F.lit(0.5) + F.lit(0.02) * (F.col("n_nationkey") % 20) - F.lit(0.1) * F.col("k")
-    trust = rows.select(F.col("n_nationkey").alias("source"), ((F.col("n_nationkey") + F.col("k")) % 25).alias("target"), O.opinion(b, 0.0, 1 - b).alias("opinion"))
-    first = trust.where("source = 0")
-    second = trust.join(first.select(F.col("target").alias("source")), "source", "left_semi").where("target <> 0")
-    # Two layers, the second under names of its own, so that no path is longer than two steps.
-    cut = first.select("source", (F.col("target") + 100).alias("target"), "opinion").unionByName(second.select((F.col("source") + 100).alias("source"), (F.col("target") + 200).alias("target"), "opinion"))
-    out = network.propagate_trust(cut, n.where("n_nationkey = 0").select(F.col("n_nationkey").alias("node")), most=4)
-    back = out.select("agent", (F.col("target") % 100).alias("target"), "opinion", "paths")
-    total = back.groupBy("target").agg(F.sum("paths").alias("paths"))
-    return fusion.cumulative_fuse(back, ["target"]).join(total, "target").select("target", "paths", r6(F.col("opinion")["b"], "b"))
+    """What every supplier may trust over all simple paths of the network."""
+    o = F.col("opinion")
+    return network.propagate_trust(ring(t), t("supplier").select(F.col("s_suppkey").alias("node"))).select("agent", "target", "paths", *[r6(o[k], k) for k in "bdu"])
 
 
 @query(f"""WITH x AS (SELECT p_partkey, p_name, {CONF.format('p_partkey')} AS c FROM part)
@@ -586,7 +587,7 @@ def document_assertions(t):
 
 
 @query("""WITH x AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0.85 WHEN 'O' THEN 0.5 ELSE 0.1 END AS p, CASE o_orderstatus WHEN 'F' THEN 0.15 WHEN 'O' THEN 0.4 ELSE 0.15 END AS u FROM orders)
-    SELECT o_orderkey AS ord, 'Claim' AS type, round(p * (1 - u), 6) AS b, round((1 - p) * (1 - u), 6) AS d, round(u, 6) AS u FROM x""")
+    SELECT o_orderkey AS ord, 'Claim' AS type, round(p * (1 - u), 6) AS b, round((1 - p) * (1 - u), 6) AS d, round(u, 6) AS u, round(p, 6) AS a FROM x""")
 def clinical_records(t):
     """Orders as claim records in JSON, read back as opinions."""
     from veridelta.sources import clinical_records as records
@@ -594,7 +595,7 @@ def clinical_records(t):
     status = F.when(F.col("o_orderstatus") == "F", "active").when(F.col("o_orderstatus") == "O", "draft").otherwise("cancelled")
     docs = t("orders").select("o_orderkey", F.to_json(F.struct(F.lit("Claim").alias("resourceType"), F.col("o_orderkey").cast("string").alias("id"), status.alias("status"))).alias("json"))
     o = F.col("opinion")
-    return records.from_records(docs, "json", "o_orderkey", ["Claim"]).select("ord", "type", *[r6(o[k], k) for k in "bdu"])
+    return records.from_records(docs, "json", "o_orderkey", ["Claim"]).select("ord", "type", *[r6(o[k], k) for k in "bdua"])
 
 
 @query(f"""WITH s AS (SELECT p_partkey, p_partkey % 5 AS s FROM part) SELECT 'attributed' AS what, count(*) AS n FROM s UNION ALL SELECT 'agents', count(DISTINCT s) FROM s UNION ALL SELECT 'entities', count(*) FROM s""")
@@ -618,3 +619,6 @@ def evidence_at_time(t):
     g = rows.groupBy("n_name").agg(F.count_if(F.col("value") == "F").alias("closed"), F.count(F.lit(1)).alias("facts"))
     o = O.from_evidence(F.col("closed"), F.col("facts") - F.col("closed"))
     return g.select("n_name", "closed", "facts", r6(o["b"], "b"), r6(o["u"], "u"))
+
+
+from veridelta.plans import clinical_queries  # noqa: E402, F401  registers its queries here
