@@ -145,3 +145,40 @@ def mqtt5_properties(compressed: bool, valid_until: Column, now: Column, **user:
 
 def integrity_context(url: Column, content: Column, algorithm: str = "sha256") -> Column:
     return F.struct(url.alias("@id"), integrity(content, algorithm).alias("@integrity"))
+
+
+#: Bytes of a message at most.
+MAX_PAYLOAD = 256_000
+
+
+def to_payload(text: Column, compress: bool = True, most: int = MAX_PAYLOAD) -> Column:
+    """A JSON document as a message: CBOR, or compact JSON. A larger one than allowed is an error."""
+    raw = to_cbor(text) if compress else F.to_json(F.parse_json(text)).cast("binary")
+    return F.when(F.octet_length(raw) <= most, raw).when(raw.isNotNull(), F.raise_error(F.concat(F.lit("payload too large: "), F.octet_length(raw).cast("string"))).cast("binary"))
+
+
+def from_payload(raw: Column, compressed: bool = True, context: str | None = None) -> Column:
+    """The JSON document of a message; a context (JSON) is put before what it says."""
+    text = from_cbor(raw) if compressed else raw.cast("string")
+    if context is None:
+        return text
+    return F.regexp_replace(text, r"(?s)^\s*\{(\s*\})?", F.concat(F.lit('{"@context": '), F.lit(context.replace("\\", "\\\\").replace("$", "\\$")), F.when(text.rlike(r"^\s*\{\s*\}"), F.lit("}")).otherwise(F.lit(", "))))
+
+
+def quality_of_service_detailed(document: Column) -> Column:
+    """A struct (qos, reasoning, confidence_used, human_verified) of a JSON document: by its own confidence or verification, or else that of its first property in order that has one."""
+    v = F.try_parse_json(document)
+    num = lambda x, p: F.try_variant_get(x, p, "double")
+    yes = lambda x, p: F.coalesce(F.try_variant_get(x, p, "boolean"), F.lit(False))
+    names = F.filter(F.json_object_keys(document), lambda k: ~k.startswith("@"))
+    m = F.try_variant_get(v, "$", "map<string,variant>")
+    props = F.transform(names, lambda k: F.struct(k.alias("k"), num(m[k], '$["@confidence"]').alias("c"), yes(m[k], '$["@humanVerified"]').alias("h")))
+    hit = F.try_element_at(F.filter(props, lambda p: p["h"] | p["c"].isNotNull()), F.lit(1))
+    own, verified = num(v, '$["@confidence"]'), yes(v, '$["@humanVerified"]')
+    by_prop = ~verified & own.isNull() & hit.isNotNull()
+    c = F.when(by_prop, hit["c"]).otherwise(own)
+    h = F.when(by_prop, hit["h"]).otherwise(verified)
+    where = F.when(by_prop, F.concat(F.lit("property '"), hit["k"], F.lit("'"))).otherwise("document-level")
+    qos = F.when(h, 2).when(c.isNull(), 1).when(c >= 0.9, 2).when(c >= 0.5, 1).otherwise(0)
+    why = F.when(h, F.concat(F.lit("human verified ("), where, F.lit(")"))).when(c.isNull(), F.lit("no confidence")).otherwise(F.concat(F.lit("confidence "), F.when(c >= 0.9, "of 0.9 or more").when(c >= 0.5, "from 0.5 below 0.9").otherwise("below 0.5"), F.lit(" ("), where, F.lit(")")))
+    return F.struct(qos.alias("qos"), why.alias("reasoning"), c.alias("confidence_used"), h.alias("human_verified"))

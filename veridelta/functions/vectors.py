@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 Metric = Callable[[Column, Column], Column]
 
@@ -190,3 +191,40 @@ def is_vector(v: Column, dimensions: int | None = None) -> Column:
     """Not empty, of finite numbers, and of the given size."""
     ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce(ok & (F.size(v) == dimensions) if dimensions is not None else ok, F.lit(False))
+
+
+def term_definition(name: str, iri: str, dimensions: int | None = None, similarity: str | None = None) -> dict:
+    """A context term that says a property holds vectors, of how many dimensions, and by which metric they are compared."""
+    if dimensions is not None and (isinstance(dimensions, bool) or not isinstance(dimensions, int) or dimensions < 1):
+        raise ValueError("dimensions have to be a positive integer")
+    return {name: {"@id": iri, "@container": "@vector"} | ({"@dimensions": dimensions} if dimensions is not None else {}) | ({"@similarity": similarity} if similarity is not None else {})}
+
+
+def vector_errors(v: Column, dimensions: int | None = None) -> Column:
+    """What is wrong with a vector, as an array of messages; none for a valid one."""
+    checks = [(v.isNull(), "no vector"), (F.size(v) == 0, "empty"), (F.exists(v, lambda x: x.isNull()), "not a number"), (F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), "not finite")]
+    if dimensions is not None:
+        checks.append((F.size(v) != dimensions, f"not of {dimensions} dimensions"))
+    return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), why) for bad, why in checks]), lambda x: x.isNotNull())
+
+
+def extract_vectors(document: Column, props: list[str]) -> Column:
+    """A map from property to vector, of those properties of a JSON node that are lists of numbers."""
+    v = F.try_parse_json(document)
+    got = F.map_from_entries(F.array(*[F.struct(F.lit(p), F.try_variant_get(v, f'$["{p}"]', "array<double>")) for p in props]))
+    return F.map_filter(got, lambda k, x: (F.size(x) > 0) & F.forall(x, lambda y: y.isNotNull()))
+
+
+@pandas_udf(StringType())
+def _without(text: pd.Series, props: pd.Series) -> pd.Series:
+    def strip(x: object, gone: set[str]) -> object:
+        if isinstance(x, dict):
+            return {k: strip(y, gone) for k, y in x.items() if k not in gone}
+        return [strip(y, gone) for y in x] if isinstance(x, list) else x
+
+    return pd.Series([None if t is None else json.dumps(strip(json.loads(t), set(p))) for t, p in zip(text, props)])
+
+
+def strip_vectors(document: Column, props: list[str]) -> Column:
+    """The JSON document without its vector properties, at any depth."""
+    return _without(document, F.array(*[F.lit(p) for p in props]).cast("array<string>"))

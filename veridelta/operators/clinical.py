@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veridelta.functions import opinion as O
 from veridelta.operators.fusion import averaging_fuse, cumulative_fuse
+from veridelta.operators.fusion import conflicts as conflicts_of
 
 DEFAULT_UNCERTAINTY = 0.15
 
@@ -48,11 +49,10 @@ def alert(o: Column, threshold: float = 0.5, ceiling: float | None = None) -> Co
 def escalation(df: DataFrame, by: list[str], key: str, opinion: str = "opinion", threshold: float = 0.7, conflict: float = 0.3) -> DataFrame:
     """df with action: escalate where a pair of the group conflicts, reject or accept where d or b is high, else human_review."""
     o = F.col(opinion)
-    mine = F.array_agg(F.struct(F.col(key).alias("k"), o.alias("o")))
-    groups = df.where(o.isNotNull()).groupBy(*by).agg(mine.alias("_g"))
-    clash = F.exists("_g", lambda x: (x["k"] != F.col(key)) & (O.pairwise_conflict(x["o"], o) >= conflict))
-    action = F.when(o.isNull(), "human_review").when(F.coalesce(clash, F.lit(False)), "escalate").when(o["d"] >= threshold, "reject").when(o["b"] >= threshold, "accept").otherwise("human_review")
-    return df.join(groups, by, "left").withColumn("action", action).drop("_g")
+    pairs = conflicts_of(df.where(o.isNotNull()), by, key, opinion).where(F.col("score") >= conflict)
+    clash = pairs.select(*by, F.explode(F.array("i", "j")).alias(key)).distinct().withColumn("_c", F.lit(True))
+    action = F.when(o.isNull(), "human_review").when(F.coalesce("_c", F.lit(False)), "escalate").when(o["d"] >= threshold, "reject").when(o["b"] >= threshold, "accept").otherwise("human_review")
+    return df.join(clash, [*by, key], "left").withColumn("action", action).select(*df.columns, "action")
 
 
 def reconcile(lists: DataFrame, field: str = "opinion", order: str = "ord") -> DataFrame:
@@ -103,3 +103,122 @@ def consent_opinion(status: Column, denied: Column, verified: Column, unverified
 def consent_status(o: Column) -> Column:
     """The status that an opinion amounts to."""
     return F.when(o["u"] >= 0.5, "draft").when((o["d"] > o["b"]) & (o["d"] > o["u"]), "rejected").when(o["b"] > o["d"], "active").otherwise("draft")
+
+
+# Consent records (JSON): validity, and what happens to them.
+
+
+def _variant(record: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(F.try_parse_json(record), "$." + path, kind)
+
+
+def _verified(record: Column) -> tuple[Column, Column]:
+    """How many verifications hold, and whether the record lists any at all."""
+    every = _variant(record, "verification", "array<variant>")
+    n = F.size(F.filter(every, lambda x: F.coalesce(F.try_variant_get(x, "$.verified", "boolean"), F.lit(False))))
+    return F.coalesce(F.when(every.isNotNull(), n), F.lit(0)), every.isNotNull()
+
+
+CONSENT_CODES = {"active": 0.9, "inactive": 0.3, "draft": 0.5, "proposed": 0.5, "rejected": 0.05, "entered-in-error": 0.5}
+
+
+def record_opinion(record: Column) -> Column:
+    """The opinion of a consent record, by its status, verifications and denial."""
+    n, listed = _verified(record)
+    denied = F.coalesce(_variant(record, "provision.type") == "deny", F.lit(False))
+    return consent_opinion(F.coalesce(_variant(record, "status"), F.lit("draft")), denied, n, F.when(listed & (n == 0), 1).otherwise(0))
+
+
+def record_validity(record: Column) -> Column:
+    """Whether a consent was freely given, specific, informed, unambiguous, demonstrable and distinguishable, as far as the record tells: the meet of six opinions."""
+    some = lambda path: F.coalesce(F.size(_variant(record, path, "array<variant>")), F.lit(0))
+    n, _ = _verified(record)
+    status = F.coalesce(_variant(record, "status"), F.lit("draft"))
+    free = F.coalesce(F.create_map(*[F.lit(x) for kv in CONSENT_CODES.items() for x in kv])[status], F.lit(0.5))
+    coded = F.exists(_variant(record, "category", "array<variant>"), lambda c: F.exists(F.try_variant_get(c, "$.coding", "array<variant>"), lambda x: (F.coalesce(F.try_variant_get(x, "$.system", "string"), F.lit("")) != "") & (F.coalesce(F.try_variant_get(x, "$.code", "string"), F.lit("")) != "")))
+    informed = F.lit(0.65) + F.when(some("provision.data") > 0, 0.1).otherwise(0.0) + F.when(some("category") > 1, 0.05).otherwise(0.0)
+    p = [free, F.when(some("provision.purpose") > 0, 0.75).otherwise(0.6), informed, F.when(_variant(record, "provision.type").isin("permit", "deny"), 0.8).otherwise(0.6), F.when(n >= 2, 0.9).when(n == 1, 0.8).otherwise(0.5), F.when(F.coalesce(coded, F.lit(False)), 0.75).otherwise(0.55)]
+    u = [0.25] * 4 + [F.when(n >= 2, 0.1).when(n == 1, 0.15).otherwise(0.35), 0.25]
+    return O.consent_validity(*[O.from_confidence(x, y, x) for x, y in zip(p, u)])
+
+
+def _day(c: Column, what: str) -> Column:
+    """Days count, not hours; a time that is missing is an error."""
+    d = F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")).cast("date")
+    return F.when(d.isNull(), F.raise_error(F.lit(f"no date: {what}")).cast("date")).otherwise(d)
+
+
+def record_withdrawal(active: Column, withdrawn: Column, at: Column) -> Column:
+    """The active consent's opinion until the day of the withdrawn record, that record's from then on; both need a dateTime."""
+    checked = F.when(_variant(active, "dateTime").isNull(), F.raise_error(F.lit("no date: active")).cast(O.SCHEMA)).otherwise(record_opinion(active))
+    return O.withdrawal(checked, record_opinion(withdrawn), _day(at, "at"), _day(_variant(withdrawn, "dateTime"), "withdrawn"))
+
+
+def record_expiry(record: Column, at: Column, residual: float = 0.0) -> Column:
+    """A consent's opinion after the end of its provision's period is disbelief but for the residual part; without an end it stays."""
+    end = F.try_to_timestamp(F.substring(_variant(record, "provision.period.end"), 1, 10), F.lit("yyyy-MM-dd")).cast("date")
+    o = record_opinion(record)
+    return F.when(end.isNull(), o).otherwise(O.expiry(o, _day(at, "at"), end, residual))
+
+
+def record_regulatory_change(old: Column, new: Column, at: Column) -> Column:
+    """The old consent's opinion until the day of the new record, that record's from then on."""
+    checked = F.when(_variant(old, "dateTime").isNull(), F.raise_error(F.lit("no date: old")).cast(O.SCHEMA)).otherwise(record_opinion(old))
+    return O.regulatory_change(checked, _day(at, "at"), _day(_variant(new, "dateTime"), "new"), record_opinion(new))
+
+
+def consent_record(o: Column, patient: Column | None = None, scope: str = "patient-privacy", policy: str | None = None, record_id: Column | None = None, date_time: Column | None = None) -> Column:
+    """A consent record (JSON) of the status that an opinion amounts to, with the opinion in its extension."""
+    from veridelta.sources.clinical_records import to_extension
+
+    coded_ = lambda code, system=None: F.struct(F.array(F.struct(*([F.lit(system).alias("system")] if system else []), F.lit(code).alias("code"))).alias("coding"))
+    parts = [F.lit("Consent").alias("resourceType"), consent_status(o).alias("status"), coded_(scope, "http://terminology.hl7.org/CodeSystem/consentscope").alias("scope"), F.array(coded_("59284-0", "http://loinc.org")).alias("category")]
+    if record_id is not None:
+        parts.append(record_id.alias("id"))
+    if date_time is not None:
+        parts.append(date_time.alias("dateTime"))
+    if patient is not None:
+        parts.append(F.struct(patient.alias("reference")).alias("patient"))
+    if policy is not None:
+        parts.append(coded_(policy).alias("policyRule"))
+    body = F.to_json(F.struct(*parts))
+    return F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"extension":['), to_extension(o), F.lit("]}"))
+
+
+# Reports: one row for what an operator did.
+
+
+def bundle_report(bundles: DataFrame, text: str = "json", order: str | None = None) -> DataFrame:
+    """(ord, bundle_id, bundle_type, total_entries, annotated, skipped, warnings) of each bundle; entries of a type that is not known are skipped."""
+    from veridelta.sources.clinical_records import SPEC
+
+    v = bundles.select((F.col(order) if order else F.lit(0)).alias("ord"), F.try_parse_json(F.col(text)).alias("v"))
+    kinds = F.transform(F.coalesce(F.try_variant_get("v", "$.entry", "array<variant>"), F.array().cast("array<variant>")), lambda e: F.try_variant_get(e, "$.resource.resourceType", "string"))
+    rows = v.select("ord", F.try_variant_get("v", "$.id", "string").alias("bundle_id"), F.try_variant_get("v", "$.type", "string").alias("bundle_type"), kinds.alias("kinds"))
+    known = F.filter("kinds", lambda k: F.coalesce(k.isin(*SPEC), F.lit(False)))
+    odd = F.filter("kinds", lambda k: ~F.coalesce(k.isin(*SPEC), F.lit(False)))
+    return rows.select("ord", "bundle_id", "bundle_type", F.size("kinds").alias("total_entries"), F.size(known).alias("annotated"), F.size(odd).alias("skipped"), F.transform(odd, lambda k: F.concat(F.lit("unsupported type "), F.coalesce(k, F.lit("none")))).alias("warnings"))
+
+
+def alert_report(df: DataFrame, opinion: str = "opinion", threshold: float = 0.5, ceiling: float | None = None) -> DataFrame:
+    """One row: total_input, kept_count, suppressed_count, and the mean projected probability of what was kept and of what was not."""
+    o = F.col(opinion)
+    rows = df.select(alert(o, threshold, ceiling).alias("what"), O.projected(o).alias("p"))
+    keep = F.col("what") == "keep"
+    return rows.agg(F.count(F.lit(1)).alias("total_input"), F.count_if(keep).alias("kept_count"), F.count_if(~keep).alias("suppressed_count"), F.avg(F.when(keep, F.col("p"))).alias("kept_projected"), F.avg(F.when(~keep, F.col("p"))).alias("suppressed_projected"))
+
+
+def trust_chain_report(opinions: Column, trusts: Column) -> Column:
+    """A struct (chain_length, per_hop_opinions, per_hop_projected): the first opinion as each party along the chain sees it."""
+    hops = F.transform(F.sequence(F.lit(0), F.size(trusts)), lambda i: F.aggregate(F.slice(trusts, F.lit(1), i), opinions[0].cast(O.SCHEMA), lambda x, t: O.trust_discount(t, x).cast(O.SCHEMA)))
+    return F.struct(F.size(opinions).alias("chain_length"), hops.alias("per_hop_opinions"), F.transform(hops, O.projected).alias("per_hop_projected"))
+
+
+def reconciliation_report(lists: DataFrame, source: str, field: str = "opinion", order: str = "ord", threshold: float = 0.3) -> DataFrame:
+    """One row: input_list_count, total_input_entries, matched_groups, unique_entries, conflicts (groups in which a pair conflicts) and output_count of reconcile."""
+    key = F.when(F.col("system").isNotNull() & F.col("code").isNotNull(), F.concat_ws("|", "system", "code")).when(F.col("text").isNotNull(), F.lower(F.trim("text"))).otherwise(F.concat(F.lit("row:"), F.col(order).cast("string")))
+    rows = lists.withColumn("_key", key)
+    pairs = conflicts_of(rows, ["_key"], order, field).groupBy("_key").agg(F.max("score").alias("_m"))
+    groups = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).join(pairs, "_key", "left")
+    totals = rows.agg(F.count_distinct(source).alias("input_list_count"), F.count(F.lit(1)).alias("total_input_entries"))
+    return totals.join(groups.agg(F.count_if(F.col("_n") > 1).alias("matched_groups"), F.count_if(F.col("_n") == 1).alias("unique_entries"), F.count_if(F.col("_m") >= threshold).alias("conflicts"), F.count(F.lit(1)).alias("output_count")), F.lit(True))

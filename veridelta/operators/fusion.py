@@ -7,7 +7,8 @@ opinions (u = 0), depend on order. Robust fusion removes agents one at a time an
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,7 @@ def averaging_fuse(df: DataFrame, by: list[str], opinion: str = "opinion") -> Da
 
 
 def fuse_scalars(df: DataFrame, by: list[str], score: str, fusion: str = "cumulative", order: str | None = None, base_rate: float = 0.5, uncertainty: float = 0.0) -> DataFrame:
-    """Scores lifted to opinions and fused. Cumulative fusion of certain scores keeps (p, 0, 1 - p), which is noisy-OR."""
+    """Scores lifted to opinions and fused. Cumulative fusion of scores without an uncertainty reads what a score is short of 1 as uncertainty: (p, 0, 1 - p)."""
     c = F.col(score).cast("double")
     lifted = O.opinion(c, 0.0, 1 - c, base_rate) if fusion == "cumulative" and uncertainty == 0 else O.from_confidence(c, uncertainty, base_rate)
     rows = df.withColumn("opinion", lifted)
@@ -80,10 +81,11 @@ def trust_chain(df: DataFrame, by: list[str], trust: str, final: str, order: str
 
 def conflicts(df: DataFrame, by: list[str], key: str, opinion: str = "opinion", how: str | Callable = "conflict") -> DataFrame:
     """(by..., i, j, score) for every pair of a group, i before j by key: conflict, or a distance by name."""
-    left, right = df.select(*by, F.col(key).alias("i"), F.col(opinion).alias("_x")), df.select(*by, F.col(key).alias("j"), F.col(opinion).alias("_y"))
+    left = df.select(*by, F.col(key).alias("i"), F.col(opinion).alias("_x"))
+    right = df.select(*[F.col(c).alias(f"_r{n}") for n, c in enumerate(by)], F.col(key).alias("j"), F.col(opinion).alias("_y"))
     score = O.pairwise_conflict(F.col("_x"), F.col("_y")) if how == "conflict" else O.distance(F.col("_x"), F.col("_y"), how)
-    joined = left.join(right, by) if by else left.crossJoin(right)
-    return joined.where(F.col("i") < F.col("j")).select(*by, "i", "j", score.alias("score"))
+    joined = left.join(right, reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_r{n}") for n, c in enumerate(by)], F.col("i") < F.col("j")))
+    return joined.select(*by, "i", "j", score.alias("score"))
 
 
 def cohesion(df: DataFrame, by: list[str], key: str, opinion: str = "opinion", how: str | Callable = "euclidean") -> DataFrame:
@@ -101,15 +103,28 @@ def discord(df: DataFrame, by: list[str], opinion: str = "opinion") -> DataFrame
     return df.join(s, by).withColumn("discord", F.when(F.col("_n") > 1, total / (F.col("_n") - 1)).otherwise(0.0)).drop("_sb", "_sd", "_n")
 
 
+STRATEGIES = ("most_conflicting", "least_trusted", "combined")
+
+
 @dataclass(frozen=True)
 class ByzantineConfig:
+    """threshold: the discord from which an agent goes; max_removals: by default half of the agents; trust: the column of trust weights that the strategies least_trusted and combined need;
+    min_agents: as many stay; distance: by which cohesion is measured."""
+
     threshold: float = 0.15
     max_removals: int | None = None
     strategy: str = "most_conflicting"
     trust: str | None = None
     min_agents: int = 2
     distance: str = "euclidean"
-    extra: dict = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if self.strategy not in STRATEGIES:
+            raise ValueError(f"no strategy {self.strategy}")
+        if self.strategy != "most_conflicting" and self.trust is None:
+            raise ValueError(f"the strategy {self.strategy} needs trust weights")
+        if self.distance not in O.DISTANCES:
+            raise ValueError(f"no distance {self.distance}")
 
 
 def _fold(x: np.ndarray) -> tuple[float, float, float, float]:
@@ -124,48 +139,72 @@ def _fold(x: np.ndarray) -> tuple[float, float, float, float]:
     return float(b), float(d), float(u), float(a)
 
 
-def remove_discordant(x: np.ndarray, trust: np.ndarray | None, config: ByzantineConfig) -> list[tuple[int, float]]:
-    """(position, discord) of the agents that go, in that order."""
+def remove_discordant(x: np.ndarray, trust: np.ndarray | None, config: ByzantineConfig) -> list[tuple[int, float, str]]:
+    """(position, score, reason) of the agents that go, in that order."""
     left, gone = list(range(len(x))), []
     most = len(x) // 2 if config.max_removals is None else config.max_removals
-    while len(left) > max(2, config.min_agents) and len(gone) < most:
+    while len(left) > config.min_agents and len(left) > 1 and len(gone) < most:
         y = x[left]
-        score = (y[:, 0] * (y[:, 1].sum() - y[:, 1]) + y[:, 1] * (y[:, 0].sum() - y[:, 0])) / (len(left) - 1)
-        if config.strategy == "least_trusted" and trust is not None:
-            k = int(np.lexsort((-score, trust[left]))[0])
-        elif config.strategy == "combined" and trust is not None:
-            k = int(np.argmax(score * (1 - trust[left])))
-        else:
+        discord = (y[:, 0] * (y[:, 1].sum() - y[:, 1]) + y[:, 1] * (y[:, 0].sum() - y[:, 0])) / (len(left) - 1)
+        score = discord
+        if config.strategy == "least_trusted":
+            k = int(np.lexsort((-discord, trust[left]))[0])
+        elif config.strategy == "combined":
+            score = discord * (1 - trust[left])
             k = int(np.argmax(score))
-        if score[k] < config.threshold:
+        else:
+            k = int(np.argmax(discord))
+        if discord[k] < config.threshold:
             break
-        gone.append((left.pop(k), float(score[k])))
+        gone.append((left.pop(k), float(score[k]), config.strategy))
     return gone
 
 
+def _apart(y: np.ndarray, how: str) -> float:
+    """The mean distance of all pairs, taken in blocks of rows."""
+    total, n = 0.0, len(y)
+    for i in range(0, n - 1, 256):
+        p, q = y[i : i + 256, None, :], y[None, i + 1 :, :]
+        if how == "manhattan":
+            d = np.abs(p - q).sum(2) / 2
+        elif how == "hellinger":
+            d = np.sqrt(((np.sqrt(p) - np.sqrt(q)) ** 2).sum(2) / 2)
+        elif how == "jsd":
+            m = (p + q) / 2
+            with np.errstate(divide="ignore", invalid="ignore"):
+                half = lambda z: np.where(z > 0, z * np.log2(z / m), 0.0).sum(2)
+                d = np.sqrt(np.maximum(0, (half(p + 0 * q) + half(q + 0 * p)) / 2))
+        else:
+            d = np.sqrt(((p - q) ** 2).sum(2) / 2)
+        total += float(np.triu(d).sum())
+    return total / (n * (n - 1) / 2) if n > 1 else 0.0
+
+
 def byzantine_fuse(df: DataFrame, by: list[str], key: str, opinion: str = "opinion", config: ByzantineConfig = ByzantineConfig()) -> DataFrame:
-    """(by..., opinion, removed, discords, cohesion): agents in conflict with the rest go one by one, the others are fused in the order of key."""
+    """(by..., opinion, removed, discords, reasons, surviving, cohesion): agents in conflict with the rest go one by one, the others are fused in the order of key. A strategy that needs trust
+    refuses agents without. The matrix of conflicts is conflicts(df, by, key)."""
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in by)
     key_kind = df.schema[key].dataType.simpleString()
     cols = [*by, key, *[F.col(opinion)[k].alias(f"_{k}") for k in "bdua"]]
-    cols.append(F.col(config.trust).alias("_t") if config.trust else F.lit(None).cast("double").alias("_t"))
+    weight = F.col(config.trust) if config.trust else F.lit(None)
+    if config.strategy != "most_conflicting":
+        weight = F.when(weight.isNull(), F.raise_error(F.lit("an agent has no trust weight")).cast("double")).otherwise(weight)
+    cols.append(weight.cast("double").alias("_t"))
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(key, kind="stable").reset_index(drop=True)
         x = t[["_b", "_d", "_u", "_a"]].to_numpy()
-        trust = t["_t"].to_numpy(float) if t["_t"].notna().all() else None
-        gone = remove_discordant(x, trust, config)
-        out = {i for i, _ in gone}
+        gone = remove_discordant(x, t["_t"].to_numpy(float), config)
+        out = {i for i, _, _ in gone}
         keep = [i for i in range(len(x)) if i not in out]
-        y = x[keep][:, :3]
-        dist = np.sqrt(((y[:, None] - y[None]) ** 2).sum(2) / 2)
-        mean = dist[np.triu_indices(len(y), 1)].mean() if len(y) > 1 else 0.0
         b, d, u, a = _fold(x[keep])
-        row = {c: t[c].iloc[0] for c in by} | {"b": b, "d": d, "u": u, "a": a, "removed": [t[key].iloc[i] for i, _ in gone], "discords": [s for _, s in gone], "cohesion": 1 - mean}
+        row = {c: t[c].iloc[0] for c in by} | {"b": b, "d": d, "u": u, "a": a, "removed": [t[key].iloc[i] for i, _, _ in gone], "discords": [s for _, s, _ in gone], "reasons": [r for _, _, r in gone]}
+        row |= {"surviving": [t[key].iloc[i] for i in keep], "cohesion": 1 - _apart(x[keep][:, :3], config.distance)}
         return pd.DataFrame([row])
 
-    got = df.where(F.col(opinion).isNotNull()).select(*cols).groupBy(*by).applyInPandas(run, f"{kinds}, b double, d double, u double, a double, removed array<{key_kind}>, discords array<double>, cohesion double")
-    return got.select(*by, O.opinion(F.col("b"), F.col("d"), F.col("u"), F.col("a")).alias("opinion"), "removed", "discords", "cohesion")
+    out = f"{kinds}, b double, d double, u double, a double, removed array<{key_kind}>, discords array<double>, reasons array<string>, surviving array<{key_kind}>, cohesion double"
+    got = df.where(F.col(opinion).isNotNull()).select(*cols).groupBy(*by).applyInPandas(run, out)
+    return got.select(*by, O.opinion(F.col("b"), F.col("d"), F.col("u"), F.col("a")).alias("opinion"), "removed", "discords", "reasons", "surviving", "cohesion")
 
 
 def robust_fuse(df: DataFrame, by: list[str], key: str, opinion: str = "opinion", max_removals: int | None = None, threshold: float = 0.15) -> DataFrame:
@@ -189,3 +228,12 @@ def temporal_fuse_weighted(df: DataFrame, by: list[str], timestamp: str, source:
 def temporal_byzantine_fuse(df: DataFrame, by: list[str], key: str, timestamp: str, reference: Column, half_life: Column | float, opinion: str = "opinion", config: ByzantineConfig = ByzantineConfig()) -> DataFrame:
     age = (F.unix_micros(reference.cast("timestamp")) - F.unix_micros(F.col(timestamp).cast("timestamp"))) / 1e6
     return byzantine_fuse(df.withColumn(opinion, O.decay(F.col(opinion), age, half_life)), by, key, opinion, config)
+
+
+def fusion_report(df: DataFrame, by: list[str], key: str, method: str = "cumulative", opinion: str = "opinion") -> DataFrame:
+    """(by..., opinion, input_count, opinions_fused, method, conflict_scores): fusion with what went into it; conflict scores are those of all pairs, in order of their keys."""
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("input_count"), F.count(opinion).alias("opinions_fused"))
+    known = df.where(F.col(opinion).isNotNull())
+    pairs = conflicts(known, by, key, opinion).groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "j", "score"))), lambda x: x["score"]).alias("conflict_scores"))
+    fused = cumulative_fuse(known, by, opinion, key) if method == "cumulative" else averaging_fuse(known, by, opinion)
+    return counts.join(fused, by, "left").join(pairs, by, "left").select(*by, opinion, "input_count", "opinions_fused", F.lit(method).alias("method"), F.coalesce("conflict_scores", F.array().cast("array<double>")).alias("conflict_scores"))

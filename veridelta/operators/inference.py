@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridelta.functions import opinion as O
+
 CLAMP = 1e-4
 
 
@@ -86,3 +88,22 @@ def propagate_path(start: DataFrame, edges: DataFrame, chain: list[str], method:
     product = F.aggregate("_c", F.lit(1.0), lambda x, y: x * y)
     score = {"multiply": product, "min": F.array_min("_c"), "bayesian": 1 / (1 + F.exp(-F.aggregate(F.transform("_c", logit), F.lit(0.0), lambda x, y: x + y))), "dampened": F.when(product == 0, 0.0).otherwise(F.pow(product, 1 / F.sqrt(F.size("_c"))))}[method]
     return at.select("start", "node", score.alias("score"))
+
+
+def propagate_opinions(df: DataFrame, by: list[str], confidence: str, trust_uncertainty: float = 0.0, base_rate: float = 0.0) -> DataFrame:
+    """(by..., opinion): certainty seen through a chain of sources, each trusted by its confidence; without uncertainty of trust the projected probability is the product of confidences."""
+    b = F.product(F.col(confidence).cast("double") * (1 - trust_uncertainty))
+    return df.groupBy(*by).agg(b.alias("_b")).select(*by, O.opinion(F.col("_b"), 0.0, 1 - F.col("_b"), base_rate).alias("opinion"))
+
+
+def resolve_with_opinions(df: DataFrame, by: list[str], value: str, confidence: str, order: str, strategy: str = "highest", recency: str | None = None) -> DataFrame:
+    """resolve_conflict with the winner's confidence as a certain opinion beside it (one half where it has none)."""
+    return resolve_conflict(df, by, value, confidence, order, strategy, recency).withColumn("opinion", O.from_confidence(F.coalesce("confidence", F.lit(0.5))))
+
+
+def conflict_report(df: DataFrame, by: list[str], value: str, confidence: str, order: str, strategy: str = "highest", recency: str | None = None) -> DataFrame:
+    """(by..., value, confidence, candidates, scores, reason): the winner with the best confidence of every value, and why it won."""
+    best = df.groupBy(*by, F.col(value).alias("_v")).agg(F.max(confidence).alias("_m")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("_v").alias("value"), F.col("_m").alias("confidence")))).alias("scores"))
+    won = resolve_conflict(df, by, value, confidence, order, strategy, recency)
+    why = F.when(F.col("candidates") == 1, F.lit("the only candidate")).otherwise(F.lit({"highest": "highest confidence", "weighted_vote": "greatest combined confidence", "recency": "most recent"}[strategy]))
+    return won.join(best, by).withColumn("reason", why)

@@ -48,3 +48,24 @@ def deduce(parents: DataFrame, conditionals: DataFrame, by: list[str]) -> DataFr
     p = parents.select(*by, F.col("state").alias("_s"), (F.col("b") + F.col("u") * F.col("a")).alias("_p"), F.col("a").alias("_w"))
     s = p.join(c, "_s")
     return s.groupBy(*by, F.col("_y").alias("state")).agg(F.sum(F.col("_p") * F.col("_b")).alias("b"), F.sum(F.col("_p") * F.col("_u")).alias("u"), F.sum(F.col("_w") * (F.col("_b") + F.col("_a") * F.col("_u"))).alias("a"))
+
+
+def to_document(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., json): each opinion as a document, its states by name."""
+    m = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("state", F.col(c)))))
+    x = rows.groupBy(*by).agg(m("b").alias("beliefs"), F.max("u").alias("uncertainty"), m("a").alias("baseRates"))
+    return x.select(*by, F.to_json(F.struct(F.lit("MultinomialOpinion").alias("@type"), "beliefs", "uncertainty", "baseRates")).alias("json"))
+
+
+def from_document(docs: DataFrame, by: list[str], text: str = "json") -> DataFrame:
+    """(by..., state, b, u, a); base rates under baseRates or base_rates, else even."""
+    x = F.from_json(text, "beliefs map<string,double>, uncertainty double, baseRates map<string,double>, base_rates map<string,double>")
+    rows = docs.select(*by, x.alias("x")).select(*by, F.explode("x.beliefs").alias("state", "b"), F.col("x.uncertainty").alias("u"), F.coalesce("x.baseRates", "x.base_rates").alias("r"), F.size("x.beliefs").alias("k"))
+    return rows.select(*by, "state", "b", "u", F.coalesce(F.col("r")[F.col("state")], 1 / F.col("k")).alias("a"))
+
+
+def is_valid(rows: DataFrame, by: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """(by..., valid): two states or more, every part in [0, 1], beliefs and uncertainty summing to 1, and base rates too."""
+    parts = F.bool_and(F.col("b").between(0.0, 1.0) & F.col("u").between(0.0, 1.0) & F.col("a").between(0.0, 1.0))
+    sums = (F.abs(F.sum("b") + F.max("u") - 1) <= tolerance) & (F.abs(F.sum("a") - 1) <= tolerance) & (F.min("u") == F.max("u"))
+    return rows.groupBy(*by).agg(F.coalesce(parts & sums & (F.count(F.lit(1)) >= 2), F.lit(False)).alias("valid"))

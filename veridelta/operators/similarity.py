@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,25 +29,35 @@ def analyze_vectors(df: DataFrame, vector: str) -> DataFrame:
     )
 
 
-def recommend_metric(df: DataFrame, vector: str) -> list[tuple[str, float, str]]:
-    """(metric, score, reason), best first, by rules over the one row of analyze_vectors."""
-    p = analyze_vectors(df, vector).first()
-    score: dict[str, tuple[float, str]] = {"cosine": (0.5, "a safe default for embeddings")}
-    if p.is_binary:
-        score["jaccard"], score["hamming"] = (0.95, "binary vectors"), (0.85, "binary vectors")
-    if p.sparsity is not None and p.sparsity > 0.5:
-        score["cosine"] = (max(score["cosine"][0], 0.8), "sparse vectors")
-        score.setdefault("jaccard", (0.7, "sparse vectors"))
-    if p.is_unit_normalized:
-        score["dot_product"] = (0.9, "unit length: equals the cosine and is cheaper")
-        score["cosine"] = (max(score["cosine"][0], 0.85), "unit length")
-    if p.magnitude_cv > 0.5:
-        score["cosine"] = (max(score["cosine"][0], 0.85), "lengths vary")
-    if p.dimensionality and p.dimensionality > 100:
-        score["manhattan"] = (0.6, "many dimensions")
-    else:
-        score["euclidean"] = (0.7, "few dimensions")
-    return sorted(((n, s, why) for n, (s, why) in score.items()), key=lambda x: (-x[1], x[0]))
+#: Points of each metric by a property of the data: (property, metric, points, reason).
+SPARSE, SPREAD, MANY = 0.5, 0.5, 100
+RULES: list[tuple[str, str, float, str]] = [
+    ("binary", "hamming", 10, "binary vectors: counts differing bits"), ("binary", "jaccard", 10, "binary vectors: overlap of sets"), ("binary", "cosine", 3, "defined on binary vectors"),
+    ("sparse", "cosine", 6, "sparse vectors: shared zeros don't count"), ("sparse", "jaccard", 5, "sparse vectors: overlap of what is there"),
+    ("unit", "cosine", 8, "unit length: the natural choice"), ("unit", "dot_product", 6, "unit length: equals the cosine and is cheaper"), ("unit", "euclidean", 4, "unit length: falls as the cosine grows"),
+    ("spread", "cosine", 7, "lengths vary: only the direction counts"), ("many", "cosine", 4, "many dimensions: distances concentrate less"), ("many", "manhattan", 2, "many dimensions: tells more apart than the square"),
+    ("dense", "cosine", 1, "widely applicable"), ("dense", "euclidean", 1, "the standard distance"),
+]
+#: Distances that grow with the vectors, which lose points where lengths vary.
+SCALED = ("euclidean", "manhattan", "chebyshev")
+Advisor = Callable[[object, list[str]], list[tuple[str, float, str]]]
+
+
+def heuristic(p: object, metrics: list[str]) -> list[tuple[str, float, str]]:
+    """(metric, points, reason), most points first and ties by name, from a row of analyze_vectors; metrics without points are left out, but for the best."""
+    holds = {"binary": p.is_binary, "sparse": p.sparsity is not None and p.sparsity > SPARSE and not p.is_binary, "unit": p.is_unit_normalized, "spread": p.magnitude_cv > SPREAD, "many": (p.dimensionality or 0) > MANY, "dense": not p.is_binary}
+    points: dict[str, tuple[float, list[str]]] = {m: (0.0, []) for m in metrics}
+    rules = RULES + [("spread", m, -3, "lengths vary: the scale dominates") for m in SCALED]
+    for prop, m, n, why in rules:
+        if holds[prop] and m in points:
+            points[m] = (points[m][0] + n, [*points[m][1], why])
+    ranked = sorted(points.items(), key=lambda x: (-x[1][0], x[0]))
+    return [(m, n, "; ".join(why) or "no strong signal") for i, (m, (n, why)) in enumerate(ranked) if n > 0 or i == 0]
+
+
+def recommend_metric(df: DataFrame, vector: str, metrics: list[str] | None = None, advisor: Advisor = heuristic) -> list[tuple[str, float, str]]:
+    """(metric, points, reason), best first: an advisor's answer to the one row of analyze_vectors, for the registered metrics or those named."""
+    return advisor(analyze_vectors(df, vector).first(), metrics or V.names())
 
 
 def _average_rank(value: Column, by: list[str]) -> Column:

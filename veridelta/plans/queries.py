@@ -455,7 +455,7 @@ def lineage_closure(t):
     return governance.closure(edges, start).select("node", "depth")
 
 
-@query(f"""WITH RECURSIVE c(start, node) AS (SELECT doc_id, doc_id FROM documents WHERE doc_id BETWEEN 16 AND 31 UNION ALL SELECT start, doc_id FROM c JOIN documents ON doc_id // 2 = node AND doc_id > 1),
+@query(f"""WITH RECURSIVE c(start, node) AS (SELECT doc_id, doc_id FROM documents UNION ALL SELECT start, doc_id FROM c JOIN documents ON doc_id // 2 = node AND doc_id > 1),
     o AS (SELECT start, 1 - 0.0001 * (node % 10) AS b, 0.00005 * (node % 10) AS d FROM c WHERE node % 13 <> 0)
     SELECT start, round(product(b), 6) AS b, round(1 - product(1 - d), 6) AS d FROM o GROUP BY 1""")
 def erasure_scope(t):
@@ -463,7 +463,7 @@ def erasure_scope(t):
     edges = d.where("doc_id > 1").select(F.expr("doc_id div 2").alias("parent"), F.col("doc_id").alias("child"))
     b, v = 1 - F.lit(0.0001) * (F.col("doc_id") % 10), F.lit(0.00005) * (F.col("doc_id") % 10)
     opinions = d.select(F.col("doc_id").alias("node"), O.opinion(b, v, 1 - b - v).alias("opinion"))
-    start = d.where("doc_id BETWEEN 16 AND 31").select(F.col("doc_id").alias("node"))
+    start = d.select(F.col("doc_id").alias("node"))
     o = F.col("opinion")
     return governance.erasure_assessment(edges, start, opinions, d.where("doc_id % 13 = 0").select(F.col("doc_id").alias("node"))).select("start", r6(o["b"], "b"), r6(o["d"], "d"))
 
@@ -621,4 +621,4 @@ def evidence_at_time(t):
     return g.select("n_name", "closed", "facts", r6(o["b"], "b"), r6(o["u"], "u"))
 
 
-from veridelta.plans import clinical_queries  # noqa: E402, F401  registers its queries here
+from veridelta.plans import clinical_queries, more_queries  # noqa: E402, F401  these register their queries

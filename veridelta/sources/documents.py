@@ -9,12 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-META = {"confidence": "double", "source": "string", "extractedAt": "string", "method": "string", "humanVerified": "boolean", "validFrom": "string", "validUntil": "string", "asOf": "string", "invalidatedAt": "string"}
-NAMES = {"extractedAt": "extracted_at", "humanVerified": "human_verified", "validFrom": "valid_from", "validUntil": "valid_until", "asOf": "as_of", "invalidatedAt": "invalidated_at"}
+#: Keyword (without @) of every piece of metadata that a value can carry, and its type.
+META = {
+    "confidence": "double", "source": "string", "extractedAt": "string", "method": "string", "humanVerified": "boolean", "mediaType": "string", "contentUrl": "string", "contentHash": "string", "translatedFrom": "string", "translationModel": "string",
+    "measurementUncertainty": "double", "unit": "string", "derivedFrom": "string", "aggregationMethod": "string", "aggregationWindow": "string", "aggregationCount": "long", "calibratedAt": "string", "calibrationMethod": "string", "calibrationAuthority": "string",
+    "delegatedBy": "string", "invalidatedAt": "string", "invalidationReason": "string", "validFrom": "string", "validUntil": "string", "asOf": "string",
+}
+#: The 22 of them that are provenance of a value, in the order of the record.
+PROVENANCE = tuple(META)[:22]
+NAMES = {k: "".join("_" + c.lower() if c.isupper() else c for c in k) for k in META}
 
 
 def annotate(value: Column, confidence: Column | None = None, **meta: Column) -> Column:
-    """A struct of a value and the metadata that is given; a confidence out of [0, 1] is an error."""
+    """A struct of a value and the metadata that is given, by column name (extracted_at); a confidence out of [0, 1] is an error, and so is a name that is no metadata."""
+    if odd := set(meta) - set(NAMES.values()):
+        raise ValueError(f"no metadata: {sorted(odd)}")
     parts = [value.alias("value")]
     if confidence is not None:
         ok = confidence.isNull() | (confidence.between(0.0, 1.0) & ~F.isnan(confidence))
@@ -22,6 +31,26 @@ def annotate(value: Column, confidence: Column | None = None, **meta: Column) ->
     return F.struct(*parts, *[c.alias(k) for k, c in meta.items()])
 
 
+def to_document(annotated: Column, names: list[str]) -> Column:
+    """JSON of an annotated struct with the given fields beside its value; what is null is left out."""
+    back = {v: k for k, v in NAMES.items()}
+    return F.to_json(F.struct(annotated["value"].alias("@value"), *[annotated[n].alias("@" + back[n]) for n in names]))
+
+
+def _meta(v: Column, key: str, kind: str) -> Column:
+    """Metadata under its keyword, its plain name, or an IRI that ends in it."""
+    at = lambda p: F.try_variant_get(v, f'$["{p}"]', kind)
+    text = lambda p: F.to_json(F.try_variant_get(v, f'$["{p}"]', "array<string>"))
+    found = F.coalesce(at("@" + key), at(key), at("urn:veridelta:" + key))
+    return F.coalesce(found, text("@" + key), text(key)) if kind == "string" else found
+
+
+def provenance(document: Column) -> Column:
+    """The record of 22 fields of an annotated value's JSON; null where they are absent, lists as JSON text."""
+    v = F.try_parse_json(document)
+    return F.struct(*[_meta(v, k, META[k]).alias(NAMES[k]) for k in PROVENANCE])
+
+
 def _kind(v: Column) -> Column:
     s = F.lower(F.expr(f"schema_of_variant({v})")) if isinstance(v, str) else F.lower(F.call_function("schema_of_variant", v))
     return F.when(s == "void", "null").when(s == "string", "string").when(s == "boolean", "boolean").when(s.startswith("object"), "object").when(s.startswith("array"), "array").otherwise("number")
@@ -40,7 +69,7 @@ def assertions(docs: DataFrame, text: str = "json", graph_id: str | None = None,
     return rows.select(
         "graph_id", "src_ord", "node_ord", "node_id", "types", "prop", "value_idx", _kind(F.col("bare")).alias("value_kind"),
         F.coalesce(F.try_variant_get("bare", "$", "string"), F.to_json("bare")).alias("value"), F.try_variant_get("bare", "$", "double").alias("value_num"),
-        *[F.try_variant_get("x", f'$["@{k}"]', t).alias(NAMES.get(k, k)) for k, t in META.items()],
+        *[_meta(F.col("x"), k, t).alias(NAMES[k]) for k, t in META.items()],
     )
 
 

@@ -128,3 +128,31 @@ def verbosity(rows: DataFrame, statements: DataFrame, text: str = "json") -> Dat
     size = F.octet_length("subject") + F.octet_length("predicate") + F.octet_length("object") + 8
     b = statements.agg(F.sum(size).alias("statement_bytes"), F.count(F.lit(1)).alias("statements"))
     return a.crossJoin(b).withColumn("bytes_saved_pct", F.round(100 * (1 - F.col("document_bytes") / F.col("statement_bytes")), 2))
+
+
+def conversion_report(rows: DataFrame, statements: DataFrame) -> DataFrame:
+    """One row: success, nodes_converted, triples_input (values), triples_output (statements) and compression_ratio, out by in."""
+    a = rows.agg(F.count_distinct("node_id").alias("nodes_converted"), F.count(F.lit(1)).alias("triples_input"))
+    b = statements.agg(F.count(F.lit(1)).alias("triples_output"))
+    return a.join(b, F.lit(True)).select(F.lit(True).alias("success"), "nodes_converted", "triples_input", "triples_output", (F.col("triples_output") / F.nullif(F.col("triples_input"), F.lit(0))).alias("compression_ratio"))
+
+
+def record_provenance(documents: DataFrame, document: str = "document") -> DataFrame:
+    """(subject, predicate, object) of provenance documents (see clinical_records.to_documents): targets are entities that the activity made, agents by the type their reference names, and
+    entities by their role."""
+    prov, rdf = "http://www.w3.org/ns/prov#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+    kinds = "id string, recorded string, targets array<struct<reference:string>>, agents array<struct<type:string,who:string,onBehalfOf:string>>, entities array<struct<role:string,what:string>>"
+    d = documents.select(F.from_json(document, kinds).alias("d")).select("d.*").select("*", F.concat(F.lit("urn:activity:"), "id").alias("act"))
+    st = lambda s, p, o: F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"))
+    act = F.col("act")
+    one = d.select(F.explode(F.array(st(act, rdf, F.lit(prov + "Activity")), F.when(F.col("recorded").isNotNull(), st(act, prov + "endedAtTime", F.col("recorded"))))).alias("x"))
+    t = d.select("act", F.explode("targets.reference").alias("t")).select(F.explode(F.array(st(F.col("t"), rdf, F.lit(prov + "Entity")), st(F.col("t"), prov + "wasGeneratedBy", act))).alias("x"))
+    a = d.select("act", F.explode("agents").alias("a")).where("a.who IS NOT NULL")
+    kind = F.split_part(F.col("a.who"), F.lit("/"), F.lit(1))
+    cls = F.when(kind.isin("Practitioner", "PractitionerRole", "Patient", "RelatedPerson"), prov + "Person").when(kind == "Organization", prov + "Organization").when(kind == "Device", prov + "SoftwareAgent").otherwise(prov + "Agent")
+    a = a.select(F.explode(F.array(st(F.col("a.who"), rdf, cls), st(act, prov + "wasAssociatedWith", F.col("a.who")), F.when(F.col("a.onBehalfOf").isNotNull(), st(F.col("a.who"), prov + "actedOnBehalfOf", F.col("a.onBehalfOf"))))).alias("x"))
+    e = d.select("act", F.explode("entities").alias("e")).where("e.what IS NOT NULL")
+    role = F.create_map(*[F.lit(x) for k, v in {"source": "hadPrimarySource", "derivation": "wasDerivedFrom", "revision": "wasRevisionOf", "quotation": "wasQuotedFrom", "removal": "wasInvalidatedBy"}.items() for x in (k, prov + v)])
+    made = F.struct(act.alias("subject"), F.coalesce(role[F.col("e.role")], F.lit(prov + "used")).alias("predicate"), F.col("e.what").alias("object"))
+    e = e.select(F.explode(F.array(st(F.col("e.what"), rdf, F.lit(prov + "Entity")), made)).alias("x"))
+    return one.unionByName(t).unionByName(a).unionByName(e).where("x IS NOT NULL").select("x.*").distinct()

@@ -189,3 +189,52 @@ def from_croissant(card: dict) -> dict:
 #: Term of an assertion's protection -> privacy vocabulary.
 CATEGORY_TERMS = {"regular": "PersonalData", "sensitive": "SensitivePersonalData", "special_category": "SpecialCategoryPersonalData", "pseudonymized": "PseudonymisedData", "anonymized": "AnonymisedData", "synthetic": "SyntheticData", "non_personal": "NonPersonalData"}
 BASIS_TERMS = {"consent": "Consent", "contract": "Contract", "legal_obligation": "LegalObligation", "vital_interest": "VitalInterest", "public_task": "PublicTask", "legitimate_interest": "LegitimateInterest"}
+
+
+@dataclass(frozen=True)
+class TermChange:
+    """How one term of a context changed: added, removed, or one of what a definition says (type, container, or the term it stands for)."""
+
+    term: str
+    kind: str
+    old: object = None
+    new: object = None
+
+    @property
+    def breaking(self) -> bool:
+        return self.kind != "added"
+
+
+def context_changes(old: dict, new: dict) -> list[TermChange]:
+    """Every change, by term. Of two definitions, what differs is told by its keyword: @type-changed, @container-changed, or changed."""
+    a, b = ({k: v for k, v in c.items() if k != "@contextVersion"} for c in (old, new))
+    out = [TermChange(t, "added", None, b[t]) for t in b.keys() - a.keys()] + [TermChange(t, "removed", a[t]) for t in a.keys() - b.keys()]
+    for t in a.keys() & b.keys():
+        if a[t] != b[t]:
+            x, y = (v if isinstance(v, dict) else {"@id": v} for v in (a[t], b[t]))
+            keys = [k for k in ("@type", "@container") if x.get(k) != y.get(k)]
+            out.append(TermChange(t, f"{keys[0]}-changed" if keys else "changed", a[t], b[t]))
+    return sorted(out, key=lambda c: (c.term, c.kind))
+
+
+#: What a dataset card has to say: (property, required, kind).
+CARD = {"name": (True, str), "description": (False, str), "url": (False, str), "license": (False, str), "creator": (False, object), "version": (False, object), "datePublished": (False, str)}
+
+
+def validate_card(card: dict) -> list[tuple[str, str]]:
+    """(path, constraint) of what is wrong with a dataset card; none for a valid one."""
+    out = [] if card.get("@type") in ("Dataset", "sc:Dataset", SCHEMA + "Dataset") else [("@type", "type")]
+    for k, (required, kind) in CARD.items():
+        if k not in card or card[k] in (None, ""):
+            out += [(k, "required")] * required
+        elif not isinstance(card[k], kind):
+            out.append((k, "datatype"))
+    return out
+
+
+def shape_verbosity(shape: dict) -> dict:
+    """Bytes of a shape and of the same in shape statements, and what is saved in percent."""
+    import json
+
+    a, b = (len(json.dumps(x, separators=(",", ":")).encode()) for x in (shape, shape_to_shacl(shape)))
+    return {"shape_bytes": a, "statement_bytes": b, "bytes_saved_pct": round(100 * (1 - a / b), 2)}
