@@ -376,7 +376,9 @@ def test_suffix_array_by_sorting():
             assert lcp[b] == k
 
 
-def test_repeated_passages(spark):
+@pytest.mark.parametrize("shard_words", [suffix.SHARD_WORDS, 300])  # the second makes every shared passage a hot one
+def test_repeated_passages(spark, monkeypatch, shard_words):
+    monkeypatch.setattr(suffix, "SHARD_WORDS", shard_words)
     r = random.Random(2)
     words = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
     hot, other = words(70), words(120)

@@ -3,14 +3,17 @@
 A passage is a run of at least 50 words (between white space) that occurs more than once in the corpus. Every start of 50
 words is sent to the shard of its anchor, the run of 32 words of lowest hash among those within: equal 50 words have equal
 anchors, so no repeat is split between shards. Starts in a row of one anchor travel as one segment with its words. Anchors that
-occur once are dropped. Equal segments are one, with a count. A shard's segments make one string, whose suffix array is
+occur once are dropped. Equal segments are one, with a count (they agree in two 64-bit hashes, the anchor's and their own). A shard's segments make one string, whose suffix array is
 induced in linear time: suffixes are classified, the leftmost-smaller substrings sorted by recursion, and the rest
 induced. Permuted common prefixes then tell which starts have 50 words in common with a neighbour. Of equal starts the first by
 (doc_id, word) stays; the others can be removed.
 
+A hot anchor, such as a licence line in a third of all documents, is counted in parts before the shuffle. If its different segments have more words than a shard, they are
+split into their starts, which are grouped by two hashes of their 50 words, again in parts before the shuffle; so no task holds all of a hot passage.
+
 Edge cases: null and empty texts and those under 50 words have no passage; documents without a repeated passage are not in the
 result; of copies under one id (repeated rows) all are the first occurrence, none is removed; a null id sorts first; long texts
-are read in whole; an empty table gives an empty result.
+are read in whole; columns other than doc_id and text are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _powers, bound_batches, keyed, mix, steps, table, text_buffers, word_hashes
@@ -166,6 +169,25 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["h", "seg", "words"])
 
 
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two hashes of every 50 words of each segment."""
+    for batch in batches:
+        rows, at, one, two = [], [], [], []
+        for i, blob in enumerate(batch.column(2).to_pylist()):
+            words = np.frombuffer(blob, np.uint64)
+            n = len(words) - WORDS + 1
+            for seed, out in ((np.uint64(0), one), (np.uint64(0x2545F4914F6CDD1D), two)):
+                w = mix(words ^ seed)
+                power, inverse = _powers(len(w) + 1)
+                total = np.concatenate([[np.uint64(0)], np.cumsum(w * power[: len(w)])])
+                out.append(mix((total[WORDS:] - total[:n]) * inverse[:n]))
+            rows += [i] * n
+            at.append(np.arange(n, dtype=np.int32))
+        where = pa.array(rows, pa.int64())
+        cat = lambda x, kind: pa.array(np.concatenate(x).view(kind) if x else np.zeros(0, kind))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), cat(at, np.int32), cat(one, np.int64), cat(two, np.int64)], ["h", "seg", "at", "k1", "k2"])
+
+
 def sort_shard(strings: list[np.ndarray], counts: np.ndarray, first: list[tuple], size: int = WORDS) -> list[tuple[int, int, int, object, int]]:
     """(string, from, to, first id, first word less the start) for rows of starts that repeat and whose first occurrence moves along. first: (id, word) of each string's own first occurrence."""
     n = sum(map(len, strings))
@@ -227,19 +249,27 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").where("text IS NOT NULL")
     found = rows.mapInArrow(_occurrences, "h long, seg long, doc_id long, digest long, first int, starts int")
-    of = Window.partitionBy("h")
-    found = found.select("*", F.count(F.lit(1)).over(of).alias("c"), (F.min("seg").over(of) != F.max("seg").over(of)).alias("several"))
-    found = table(found.where("c > 1").drop("c"), "suffix-occurrences")
+    found = table(found, "suffix-occurrences")
+    anchors = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), (F.min("seg") != F.max("seg")).alias("several")).where("c > 1").drop("c")
+    found = table(found.join(anchors, "h"), "suffix-repeated")
     kinds = found.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "first", "digest")).alias("f"), F.max("starts").alias("starts"), F.max("several").alias("several"))
     kinds = table(kinds, "suffix-segments")
     plain = kinds.where("NOT several").select("h", "seg", F.lit(0).alias("low"), F.col("starts").alias("high"), F.col("f.doc_id").alias("f_doc"), F.col("f.first").alias("move"))
     sorted_ = kinds.where("several")
-    total = sorted_.agg(F.coalesce(F.sum(F.col("starts") + WORDS), F.lit(0))).first()[0]
+    size = F.coalesce(F.sum(F.col("starts") + WORDS), F.lit(0))
+    total = sorted_.agg(size).first()[0]
     shards = max(1, -(-total // SHARD_WORDS))
-    want = sorted_.select(F.col("f.digest").alias("digest"), F.struct("h", "seg", F.col("f.first").alias("first"), "starts").alias("x")).groupBy("digest").agg(F.collect_list("x").alias("want"))
-    texts = rows.select("digest", "text").join(keyed(table(sorted_.select(F.col("f.digest").alias("digest")).distinct(), "suffix-texts")), "digest", "left_semi")
-    words = texts.join(want.hint("shuffle_hash"), "digest").select("text", "want").mapInArrow(_cut_out, "h long, seg long, words binary")
-    cells = words.join(sorted_.select("h", "seg", "c", "f"), ["h", "seg"]).select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "seg", "words", "c", F.col("f.doc_id").alias("doc"), F.col("f.first").alias("first"))
+    hot = keyed(table(sorted_.groupBy("h").agg(size.alias("words")).where(F.col("words") > SHARD_WORDS).select("h"), "suffix-hot"))
+    # Each segment is cut out of one row that holds it.
+    owner = F.coalesce(F.col("f.doc_id"), F.lit(-(2**63))).alias("owner")
+    want = sorted_.select(F.col("f.digest").alias("digest"), owner, F.struct("h", "seg", F.col("f.first").alias("first"), "starts").alias("x")).groupBy("digest", "owner").agg(F.collect_list("x").alias("want"))
+    texts = rows.select("digest", F.coalesce("doc_id", F.lit(-(2**63))).alias("owner"), "text").join(keyed(table(sorted_.select(F.col("f.digest").alias("digest"), owner).distinct(), "suffix-texts")), ["digest", "owner"], "left_semi")
+    words = table(texts.join(want.hint("shuffle_hash"), ["digest", "owner"]).select("text", "want").mapInArrow(_cut_out, "h long, seg long, words binary"), "suffix-words")
+    cells = words.join(hot, "h", "left_anti").join(sorted_.select("h", "seg", "c", "f"), ["h", "seg"]).select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "seg", "words", "c", F.col("f.doc_id").alias("doc"), F.col("f.first").alias("first"))
+    starts = words.join(hot, "h", "left_semi").dropDuplicates(["h", "seg"]).mapInArrow(_starts, "h long, seg long, at int, k1 long, k2 long")
+    starts = starts.join(sorted_.select("h", "seg", "c", "f"), ["h", "seg"]).select("h", "seg", "at", "k1", "k2", "c", F.struct("f.doc_id", (F.col("f.first") + F.col("at")).alias("first")).alias("f"))
+    again = starts.groupBy("k1", "k2").agg(F.sum("c").alias("n"), F.min("f").alias("lead")).where("n > 1").drop("n")
+    split = starts.join(again, ["k1", "k2"]).select("h", "seg", F.col("at").alias("low"), (F.col("at") + 1).alias("high"), F.col("lead.doc_id").alias("f_doc"), (F.col("lead.first") - F.col("at")).alias("move"))
 
     def sort(t: pa.Table) -> pa.Table:
         h, seg, blobs = t["h"].to_pylist(), t["seg"].to_pylist(), t["words"].to_pylist()
@@ -254,7 +284,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             "high": pa.array([x[2] for x in out], pa.int32()), "f_doc": pa.array([x[3] for x in out], pa.int64()), "move": pa.array([x[4] for x in out], pa.int32()),
         })
 
-    ranges = cells.groupBy("shard").applyInArrow(sort, "h long, seg long, low int, high int, f_doc long, move int").unionByName(plain)
+    ranges = cells.groupBy("shard").applyInArrow(sort, "h long, seg long, low int, high int, f_doc long, move int").unionByName(plain).unionByName(split)
     spans = found.join(ranges, ["h", "seg"]).select(
         "doc_id", "digest", F.struct((F.col("first") + F.col("low")).alias("first"), (F.col("first") + F.col("high") + WORDS - 1).alias("end")).alias("span"),
         (F.col("f_doc").eqNullSafe(F.col("doc_id")) & (F.col("move") == F.col("first"))).alias("stays"),
