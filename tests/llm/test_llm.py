@@ -265,8 +265,49 @@ def test_segments():
 
 
 def test_log_odds_prefer_the_frequent_word():
-    odds, z = toxicity.log_odds(np.array([40.0, 3.0, 100.0]), np.array([0.0, 0.0, 1000.0]))
-    assert z[0] > z[1] > 0 and odds[2] < odds[0]
+    odds, z = toxicity.log_odds(np.array([40.0, 3.0, 100.0, 0.0, 0.0]), np.array([0.0, 0.0, 1000.0, 0.0, 60.0]))
+    assert z[0] > z[1] > 0 and odds[2] < odds[0] and odds[3] == 0 and odds[4] < 0 and z[4] < -1
+
+
+def test_weights_by_hand():
+    t, c = np.array([6.0, 2.0]), np.array([1.0, 11.0])
+    m = toxicity.fit(np.array([7, 5], np.uint64), t, c)
+    prior = [toxicity.PRIOR * 7, toxicity.PRIOR * 13]
+    want = []
+    for i in (1, 0):
+        a, b = t[i] + prior[i], c[i] + prior[i]
+        odds = np.log(a / (8 + sum(prior))) - np.log(b / (12 + sum(prior)))
+        want.append(odds * min(1, odds**2 / (1 / a + 1 / b) / toxicity.FULL_Z**2))
+    assert m.words.tolist() == [5, 7] and m.weights == pytest.approx(want) and want[0] < 0 < want[1]
+    share = (c + toxicity.PRIOR * (t + c)) / (12 + toxicity.PRIOR * 20)
+    assert share @ (m.weights[::-1] - m.drift) <= toxicity.MARGIN + 1e-12 and share @ np.exp(m.scale * (m.weights[::-1] - m.drift)) == pytest.approx(1)
+    assert toxicity.highest(m.score(np.array([7, 5, 7, 99], np.uint64))) == pytest.approx(max(m.weights[1] - m.drift, 2 * m.weights[1] + m.weights[0] - 3 * m.drift))
+
+
+def test_passages_by_brute_force(spark):
+    """Documents, p-values and passages of a model against all segments of each text, one by one."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    want = {}
+    for r in docs.collect():
+        raw = r.text.lower().encode()
+        h, _ = toxicity.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), toxicity.WORD)
+        tests = [m for m in (model, model.by.get(r.lang)) if m is not None]
+        found = []
+        for m in tests:
+            at = {int(w): float(x) for w, x in zip(m.words, m.weights)}
+            seen = Counter()
+            x = np.array([at.get(int(w), 0.0) / (seen.update((int(w),)) or seen[int(w)]) - m.drift for w in h])
+            total = np.concatenate([[0], np.cumsum(x)])
+            best = max((total[j] - total[: j + 1].min() for j in range(len(total))), default=0)
+            found.append(min(1, len(tests) * (1 - np.exp(-m.k * len(h) * np.exp(-m.scale * best)))))
+        if min(found) <= toxicity.ALPHA:
+            want[r.doc_id] = min(found)
+    got = {r.doc_id: r for r in toxicity.passages(docs, model).collect()}
+    assert set(got) == set(want) and want
+    for i, r in got.items():
+        assert r.p_value == pytest.approx(want[i], rel=1e-6, abs=1e-12) and min(p.p_value for p in r.passages) == pytest.approx(r.p_value) and all(p.first < p.end for p in r.passages)
 
 
 def test_scale():
@@ -274,18 +315,6 @@ def test_scale():
     assert toxicity.scale_of(v, w) == pytest.approx(np.log(3), abs=1e-6)
 
 
-def test_toxicity_held_out(spark):
-    d = "/root/testdata/sf0.1"
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    model = toxicity.train(docs, labels.where(half))
-    found = {r.doc_id for r in toxicity.passages(docs, model).collect()}
-    # A few dozen toxic documents of each other language are too few to learn from; check_s, with 1,000 to learn from, gives 0.99 in all four.
-    test = [(r.doc_id, r.toxic) for r in labels.where(~half).join(docs.where("lang = 'en'").select("doc_id"), "doc_id").collect()]
-    toxic, clean = [i for i, t in test if t], [i for i, t in test if not t]
-    assert sum(i in found for i in toxic) / len(toxic) > 0.85 and sum(i in found for i in clean) / len(clean) < 0.005
-
-
 def test_toxicity_held_out_in_each_language(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -295,13 +324,13 @@ def test_toxicity_held_out_in_each_language(spark):
     for r in labels.where(~half).join(docs.select("doc_id", "lang"), "doc_id").collect():
         hits[r.lang, r.toxic].append(r.doc_id in found)
     share = {k: sum(v) / len(v) for k, v in hits.items()}
-    assert share["en", 1] > 0.9 and share["de", 1] > 0.7 and share["fr", 1] > 0.7 and share["es", 1] > 0.1  # 11 toxic documents of es to learn from
+    assert share["en", 1] > 0.9 and share["de", 1] > 0.8 and share["fr", 1] > 0.8 and share["es", 1] > 0.5  # two dozen toxic documents of es to learn from
     assert all(share[x, 0] < 0.01 for x in ("en", "de", "fr", "es"))
 
 
 def test_small_languages_have_equal_shares():
-    assert toxicity.shares({"a": 10, "b": 1000, "c": 500}, 210) == {"a": 1.0, "b": 0.1, "c": 0.2}
-    assert toxicity.shares({"a": 3, "b": 5}, 100) == {"a": 1.0, "b": 1.0}
+    assert toxicity.quotas({"a": 10, "b": 1000, "c": 500}, 210) == {"a": 10, "b": 100, "c": 100}
+    assert toxicity.quotas({"a": 3, "b": 5}, 100) == {"a": 3, "b": 5} and sum(toxicity.quotas({"a": 70, "b": 80, "c": 90}, 100).values()) <= 100
 
 
 def test_toxicity_edges(spark, odd, none):
