@@ -298,7 +298,7 @@ def test_passages_by_brute_force(spark):
         for m in tests:
             at = {int(w): float(x) for w, x in zip(m.words, m.weights)}
             seen = Counter()
-            x = np.array([at.get(int(w), 0.0) / (seen.update((int(w),)) or seen[int(w)]) - m.drift for w in h])
+            x = np.array([at.get(int(w), 0.0) / (seen.update((int(w),)) or seen[int(w)]) ** 0.5 - m.drift for w in h])
             total = np.concatenate([[0], np.cumsum(x)])
             best = max((total[j] - total[: j + 1].min() for j in range(len(total))), default=0)
             found.append(min(1, len(tests) * (1 - np.exp(-m.k * len(h) * np.exp(-m.scale * best)))))

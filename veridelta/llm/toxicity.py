@@ -2,7 +2,7 @@
 
 Words score by their log-odds between toxic and other labelled documents, in numbers of documents that hold
 them, under an informative Dirichlet prior (the words' frequencies in the sample): positive and negative, in full where a word is significant and in proportion to the square of its standard score where it is
-less so, and of a word's occurrences in a text the k-th adds a k-th (weights are learnt from texts that hold a word, not from repetitions), less a drift that keeps the expected score of clean text negative. Each language has weights of its own, to which the other languages' documents
+less so, and of a word's occurrences in a text the k-th adds its weight over the root of k (weights are learnt from texts that hold a word, not from repetitions), less a drift that keeps the expected score of clean text negative. Each language has weights of its own, to which the other languages' documents
 add a little. A document is tested by its language's weights and by those of all languages together, and its p-value is twice the lower one. A linear-time scan finds every maximal scoring segment of a text. A segment
 of score S in a text of n words has the extreme-value p-value 1 - exp(-K n e^(-L S)): L is the root of
 sum p_s e^(L s) = 1 under the scores of clean documents, and K is estimated from clean documents by maximum likelihood, each scored by weights that were fitted without it. A document's p-value is that of its best segment.
@@ -45,12 +45,12 @@ class Model:
         return -np.expm1(-self.k * words * np.exp(np.minimum(700, -self.scale * np.asarray(score, float))))
 
     def score(self, hashes: np.ndarray, turn: np.ndarray | None = None) -> np.ndarray:
-        """Each word's score; turn: which occurrence of the word in its text it is, of which the k-th adds a k-th of the weight."""
+        """Each word's score; turn: which occurrence of the word in its text it is, of which the k-th adds the weight over the root of k."""
         i = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
         if not len(self.words):
             return np.zeros(len(hashes))
         weight = np.where(self.words[i] == hashes, self.weights[i], 0.0)
-        return (weight if turn is None else weight / turn) - self.drift
+        return (weight if turn is None else weight / np.sqrt(turn)) - self.drift
 
 
 def turns(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
