@@ -358,6 +358,30 @@ def test_tree_equals_the_whole():
         assert c.encode(t) == c.whole(t) and c.decode(c.encode(t)) == t
 
 
+def merged(text):
+    """Encoding by definition: the published pattern's pieces, each merged pair by pair in order of rank."""
+    import regex
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
+    out = []
+    for piece in regex.findall(bpe.PATTERN, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while True:
+            pairs = [(ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks]
+            if not pairs:
+                break
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        out += [ranks[p] for p in parts]
+    return out
+
+
+def test_tree_equals_merging_by_rank(docs):
+    r, c = random.Random(5), bpe.Codec(VOCABULARY, 16)
+    texts = ["".join(r.choices(ALPHABET, k=60)) for _ in range(15)] + [x.text[:400] for x in docs.limit(4).collect()] + ["nospaceatall" * 30]
+    assert [c.encode(t) for t in texts] == [merged(t) for t in texts]
+
+
 def test_tree_on_documents(docs):
     c = bpe.Codec(VOCABULARY, 64)
     for r in docs.limit(60).collect():
@@ -749,18 +773,38 @@ def test_mixing_edges(odd, none):
 
 
 def test_stages(spark, docs):
-    at, cols = docs, docs.columns
+    """Each stage on what its predecessor left, against brute force."""
+    d = "/root/testdata/sf0.01"
+    at, cols, kept = spark.read.parquet(f"{d}/documents.parquet"), None, []
+    cols = at.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        new = stage(spark, at, SF)
-        rows = new.count()
-        if k < 3:
-            kept = {(r.doc_id, r.text) for r in new.collect()}
-            assert kept <= {(r.doc_id, r.text) for r in at.collect()} and len(kept) == rows and rows > 0
+        new = stage(spark, at, d).cache()
+        kept.append((at.collect(), new.collect()))
         if k < len(corpus_pipeline.STAGES) - 1:
             assert new.columns == cols
             at = new
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join", "mixing sources to target weights", "byte-level BPE encoding and decoding"]
-    assert all(r.exact for r in new.collect())
+    (a, b), (_, e), (_, j), (_, m), (_, t) = kept
+    assert Counter(b) <= Counter(a) and len(b) >= 0.99 * len(a)  # clean documents stay
+    low = {}
+    for r in b:
+        low[r.text] = min(r.doc_id, low.get(r.text, r.doc_id))
+    assert Counter((r.doc_id, r.text) for r in e) == Counter((i, x) for x, i in low.items())
+    first = {}
+    for (i, cls, _), n in brute_classes([(r.doc_id, r.text) for r in e]).items():
+        first.setdefault(cls, []).append(i)
+    assert Counter(r.doc_id for r in j) == Counter(min(v) for v in first.values()) and len(j) < len(e)
+    # Mixing: copies are the rates of a system that is solved by proportional fitting in test_mixing_against_a_solver_of_its_own; here their sums meet the shares.
+    n = lambda x: len(re.findall(r"[^ \t\n\x0b\f\r]+", x))
+    have, got = Counter(), Counter()
+    for r in j:
+        have[r.source] += n(r.text)
+    for r in m:
+        got[r.source] += n(r.text)
+    want = {s: v**0.7 for s, v in have.items()}
+    assert set(m) <= set(j) and all(got[s] / sum(got.values()) == pytest.approx(w / sum(want.values()), abs=0.02) for s, w in want.items())
+    c = bpe.Codec(VOCABULARY)
+    assert Counter((r.doc_id, c.decode(r.ids)) for r in t) == Counter((r.doc_id, r.text) for r in m) and all(r.exact for r in t)
 
 
 def test_stages_on_odd_tables(spark, odd, none):
