@@ -154,9 +154,11 @@ def fit(h: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> Model:
     share = clean + PRIOR * (toxic + clean)
     share /= share.sum()
     drift = max(0.0, float(share @ weight) - MARGIN)
-    keep = np.flatnonzero(weight)
-    keep = keep[np.argsort(h[keep])]
-    return Model(h[keep], weight[keep], scale_of(weight - drift, share), drift)
+    scale = scale_of(weight - drift, share)
+    if len(h) > 1 and not (h[1:] > h[:-1]).all():
+        order = np.argsort(h)
+        h, weight = h[order], weight[order]
+    return Model(h, weight.astype(np.float32), scale, drift)  # models of one vocabulary share it, in memory and when they are sent
 
 
 def balanced(toxic: np.ndarray, clean: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
