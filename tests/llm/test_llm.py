@@ -187,6 +187,39 @@ def test_jaccard_classes_of_documents(docs):
     assert classes(docs) == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("threshold", (0.25, 0.5, 0.8))
+def test_classes_at_other_thresholds(spark, threshold):
+    rows = [(i, t) for i, (_, t) in enumerate(uneven_rows(7))]
+    pairs = brute_pairs(rows, threshold)
+    links = Counter(x for p in pairs for x in p)
+    got = jaccard.jaccard_classes(table(spark, [(i, t, "en", "a") for i, t in rows]).repartition(5), threshold=threshold).collect()
+    cls = {r.doc_id: r.class_id for r in got}
+    assert {r.doc_id: r.links for r in got} == {i: links[i] for i, t in rows if grams(t)} and all(cls[a] == cls[b] for a, b in pairs)
+
+
+def test_groups_do_not_gather_what_shares_a_frequent_token(spark):
+    """All texts share frequent n-grams and none is near another, so hardly any two may meet in a group; sets of a group differ in size by less than a class."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    weights = [1 / (i + 1) for i in range(40)]
+    rows = [(i, " ".join(r.choices(words, weights, k=r.choice((200, 400, 800))))) for i in range(300)]
+    sets = jaccard.token_sets(table(spark, [(i, t, "en", "a") for i, t in rows]), 3, 0.5).where("toks IS NOT NULL").collect()
+    by = {}
+    for s in sets:
+        by.setdefault(s.grp, []).append(s.n)
+    assert len(sets) > 250 and sum(len(v) * (len(v) - 1) // 2 for v in by.values()) < len(sets)
+    assert all(max(v) <= min(v) * 2**0.25 + 1e-6 for v in by.values())
+
+
+def test_similar_sizes_are_few_classes_apart():
+    n = np.arange(1, 3000)
+    kind = jaccard.size_class(n)
+    for t in (0.2, 0.5, 0.7, 0.8):
+        high = np.minimum(np.floor(n / t + 1e-9).astype(int), n[-1])
+        assert (jaccard.size_class(high) - kind <= jaccard.classes_up(t)).all()
+    assert jaccard.size_class(np.array([2**31 - 1]))[0] <= jaccard.CLASS
+
+
 def test_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     base = [f"v{i}" for i in range(80)]

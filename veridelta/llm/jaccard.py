@@ -6,9 +6,11 @@ of equal sets are one set with a count. The steps, all of them exact:
 1. Every token is counted over the corpus. Tokens travel as sorted, delta-coded blocks, one for each batch of texts and each range of
    token hashes; a token that is frequent in a batch travels once, so a token that every document holds is no hot spot. Only tokens of
    two sets or more come back. A set that has fewer of these than its least overlap (threshold times its size) has no partner and is left out.
-2. The other sets are partitioned into groups of similar ones, by the least hash of their shared tokens; a large group is cut into blocks.
+2. The other sets are partitioned into groups of similar ones, by the least of two hashes of their shared tokens and by a class of their size (one
+   hash would bring together all that hold one frequent token, and such groups grow with the corpus); a large group is cut into blocks.
 3. The matrix has a row for each token and group: of each group the union of its members' prefixes, that is, of their rarest tokens, as many as
-   a similar set can't miss all of (the prefix principle, with one order of tokens for all). Two groups are compared only where they share a token there.
+   a similar set can't miss all of (the prefix principle, with one order of tokens for all); a shorter part of it is enough where the partner is not smaller.
+   Two groups are compared only where a short prefix of the one has a token of a prefix of the other, whose sizes are as large or larger but not too large.
 4. A query's overlap with the union of a group's whole sets bounds what it can have in common with any member. The group is opened only
    to queries whose bound reaches the threshold; in an open group overlaps are counted exactly, by products of token matrices.
 
@@ -37,7 +39,10 @@ N, THRESHOLD = 3, 0.5
 BATCH, RANGE, BLOCK, HELD = 8 << 20, 1 << 20, 1024, 4096
 #: Bits of a hash that are dropped; documents of a batch at most, and what stands for several of them.
 DROP, MOST_DOCS, SEVERAL = 16, 1 << 15, 0xFFFF
+#: Low bits of a group's id, for the class of its sets' sizes.
+CLASS = 0xFF
 _TILE = 2048
+_SECOND = np.uint64(0x5DEECE66D)
 
 
 def gram_sets(raw: np.ndarray, off: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -52,7 +57,7 @@ def gram_sets(raw: np.ndarray, off: np.ndarray, n: int) -> Iterator[tuple[int, n
 
 
 def set_key(g: np.ndarray) -> bytes:
-    return np.array([mix(g).sum(), mix(g ^ np.uint64(0x5DEECE66D)).sum()], np.uint64).tobytes()
+    return np.array([mix(g).sum(), mix(g ^ _SECOND).sum()], np.uint64).tobytes()
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -88,9 +93,25 @@ def least_shared(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(np.asarray(n) * threshold - 1e-9).astype(np.int64)
 
 
+def least_upward(n: np.ndarray, threshold: float) -> np.ndarray:
+    """The same where the partner is as large or larger."""
+    return least_shared(n, 2 * threshold / (1 + threshold))
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Four classes for each doubling of the size; they fit into CLASS."""
+    return np.floor(4 * np.log2(n) + 1e-9).astype(np.int64)
+
+
+def classes_up(threshold: float) -> int:
+    """By how many classes the larger of two similar sets can be higher."""
+    return int(np.ceil(4 * np.log2(1 / threshold) - 1e-9))
+
+
+
 _RAW = "part long, batch long, a binary, b binary, c binary, d binary"
 _BACK = "batch long, a binary, b binary, c binary, d binary"
-_SETS = "rid long, doc_id long, d1 long, d2 long, key binary, n int, grp long, toks binary, prefix binary"
+_SETS = "rid long, doc_id long, d1 long, d2 long, key binary, n int, grp long, toks binary, prefix binary, short binary"
 
 
 def _range_of(token: np.ndarray, ranges: int) -> np.ndarray:
@@ -222,14 +243,16 @@ def _gather(threshold: float):
         tok, own = tok[order], own[order]
         first = np.searchsorted(own, np.arange(len(n) + 1))
         rest = (n - shared)[own]  # tokens of this set alone come first in its order
-        inside = np.arange(len(own)) - first[own] < (n - least + 1)[own] - rest
-        hashed = mix(tok)
-        groups, toks, prefix = [None] * len(n), [None] * len(n), [None] * len(n)
+        place = np.arange(len(own)) - first[own] + rest
+        hashed, again, kind = mix(tok), mix(tok ^ _SECOND), size_class(n)
+        inside, upward = place < (n - least + 1)[own], place < (n - least_upward(n, threshold) + 1)[own]
+        groups, toks, prefix, short = ([None] * len(n) for _ in range(4))
         for k in np.flatnonzero(np.diff(first)).tolist():
             x = slice(first[k], first[k + 1])
             o = np.argsort(tok[x])
-            groups[k] = int(hashed[x].min().view(np.int64))
-            toks[k], prefix[k] = pack(tok[x][o]), np.packbits(inside[x][o]).tobytes()
+            least_two = mix(hashed[x].min(keepdims=True) + mix(again[x].min(keepdims=True))).view(np.int64)
+            groups[k] = int(least_two[0]) & ~CLASS | int(kind[k])
+            toks[k], prefix[k], short[k] = pack(tok[x][o]), np.packbits(inside[x][o]).tobytes(), np.packbits(upward[x][o]).tobytes()
         lead = set()
         pick = []
         for s in info["set"].to_pylist():
@@ -237,14 +260,14 @@ def _gather(threshold: float):
             lead.add(s)
         rid = (key[0].as_py() << 16) + np.arange(len(info))
         at = lambda v, kind: pa.array([None if s < 0 else v[s] for s in pick], kind)
-        return pa.table({"rid": pa.array(rid, pa.int64()), **{c: info[c] for c in ("doc_id", "d1", "d2", "key", "n")}, "grp": at(groups, pa.int64()), "toks": at(toks, pa.binary()), "prefix": at(prefix, pa.binary())})
+        return pa.table({"rid": pa.array(rid, pa.int64()), **{c: info[c] for c in ("doc_id", "d1", "d2", "key", "n")}, "grp": at(groups, pa.int64()), "toks": at(toks, pa.binary()), "prefix": at(prefix, pa.binary()), "short": at(short, pa.binary())})
 
     return run
 
 
 def token_sets(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(rid, doc_id, d1, d2, key, n, grp, toks, prefix), a written table: every document that has words, d1 and d2 the hashes of its text, key
-    that of its set. The last three are there for sets that can have a partner, on one row of each batch: group, shared tokens, and which of these are its prefix."""
+    """(rid, doc_id, d1, d2, key, n, grp, toks, prefix, short), a written table: every document that has words, d1 and d2 the hashes of its text, key
+    that of its set. The last four are there for sets that can have a partner, on one row of each batch: group, shared tokens, and which of these are its prefix, and its short one."""
     bound_batches(docs.sparkSession)
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *text_digest("text"), F.lower("text").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -301,9 +324,10 @@ def spanning(pairs: np.ndarray) -> np.ndarray:
     return keep
 
 
-def opened(query: list[np.ndarray], n_query: np.ndarray, group: list[np.ndarray], n_group: np.ndarray, threshold: float) -> np.ndarray:
-    """Which queries a group is opened to: those whose overlap with the union of its sets can reach the threshold with a member of any size."""
-    union = np.unique(np.concatenate(group))
+def opened(query: list[np.ndarray], n_query: np.ndarray, group: list[np.ndarray], n_group: np.ndarray, threshold: float, union: np.ndarray | None = None) -> np.ndarray:
+    """Which queries a group is opened to: those whose overlap with the union of its sets (if it is known, it is not made again) can reach the threshold with a member of any size."""
+    if union is None:
+        union = np.unique(np.concatenate(group))
     flat = np.concatenate(query)
     at = np.minimum(np.searchsorted(union, flat), len(union) - 1)
     cut = np.concatenate([[0], np.cumsum([len(x) for x in query])])
@@ -312,13 +336,13 @@ def opened(query: list[np.ndarray], n_query: np.ndarray, group: list[np.ndarray]
     return hits[cut[1:]] - hits[cut[:-1]] >= threshold / (1 + threshold) * (n_query + least) - 1e-9
 
 
-def compare(a: np.ndarray, b: np.ndarray | None, sets: list[np.ndarray], n: np.ndarray, threshold: float) -> np.ndarray:
+def compare(a: np.ndarray, b: np.ndarray | None, sets: list[np.ndarray], n: np.ndarray, threshold: float, union: np.ndarray | None = None) -> np.ndarray:
     """The similar pairs of positions between groups a and b, or within a."""
     if b is None:
         i, j = np.triu_indices(len(a), 1)
         p = np.stack([a[i], a[j]], 1)
     else:
-        a = a[opened([sets[i] for i in a], n[a], [sets[i] for i in b], n[b], threshold)]
+        a = a[opened([sets[i] for i in a], n[a], [sets[i] for i in b], n[b], threshold, union)]
         p = np.stack([np.repeat(a, len(b)), np.tile(b, len(a))], 1)
     low, high = np.minimum(n[p[:, 0]], n[p[:, 1]]), np.maximum(n[p[:, 0]], n[p[:, 1]])
     p = p[low >= threshold * high - 1e-9]
@@ -337,26 +361,29 @@ def similar_sets(every: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     keys = table(keys.groupBy("key").agg(F.min("sid").alias("sid"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")), "jaccard-keys")
     heads = every.where("toks IS NOT NULL").select(F.col("rid").alias("sid"), "grp", "n").join(keyed(table(keys.where("sid IS NOT NULL").select("sid", "docs"), "jaccard-heads")), "sid")
     blocks = heads.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1")
-    block = F.when(F.col("blocks").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("sid"), F.col("blocks"))))
+    block = F.when(F.col("blocks").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("sid"), F.col("blocks"))).bitwiseAND(~CLASS).bitwiseOR(F.col("grp").bitwiseAND(CLASS)))
     heads = table(heads.join(blocks, "grp", "left").select("sid", "docs", block.alias("gid")), "jaccard-groups")
-    sets = every.where("toks IS NOT NULL").select(F.col("rid").alias("sid"), "n", "toks", "prefix").join(keyed(heads), "sid")
+    sets = every.where("toks IS NOT NULL").select(F.col("rid").alias("sid"), "n", "toks", "prefix", "short").join(keyed(heads), "sid")
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tok, gid = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for t, m, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            tok, gid, low = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for t, m, u, g in zip(*(b.column(c).to_pylist() for c in range(4))):
                 x = unpack(t)
-                x = x[np.unpackbits(np.frombuffer(m, np.uint8))[: len(x)].astype(bool)]
-                tok.append(x)
-                gid.append(np.full(len(x), g))
-            tok, gid = np.concatenate(tok), np.concatenate(gid)
-            order = np.lexsort((gid, tok))
-            tok, gid = tok[order], gid[order]
+                m, u = (np.unpackbits(np.frombuffer(y, np.uint8))[: len(x)].astype(bool) for y in (m, u))
+                tok.append(x[m])
+                gid.append(np.full(int(m.sum()), g))
+                low.append(u[m])
+            tok, gid, low = np.concatenate(tok), np.concatenate(gid), np.concatenate(low)
+            order = np.lexsort((~low, gid, tok))
+            tok, gid, low = tok[order], gid[order], low[order]
             new = np.append(True, (tok[1:] != tok[:-1]) | (gid[1:] != gid[:-1])) if len(tok) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(tok[new].view(np.int64)), pa.array(gid[new])], ["token", "gid"])
+            yield pa.RecordBatch.from_arrays([pa.array(tok[new].view(np.int64)), pa.array(gid[new]), pa.array(low[new])], ["token", "gid", "low"])
 
-    matrix = sets.select("toks", "prefix", "gid").mapInArrow(union, "token long, gid long").repartition("token").distinct()
-    across = matrix.toDF("token", "g").join(matrix.toDF("token", "h"), "token").where("g < h").select("g", "h").distinct()
+    matrix = sets.select("toks", "prefix", "short", "gid").mapInArrow(union, "token long, gid long, low boolean").repartition("token").groupBy("token", "gid").agg(F.max("low").alias("low"))
+    up = F.col("h").bitwiseAND(CLASS) - F.col("g").bitwiseAND(CLASS)
+    across = matrix.where("low").select("token", F.col("gid").alias("g")).join(matrix.select("token", F.col("gid").alias("h")), "token").where((F.col("g") != F.col("h")) & up.between(0, classes_up(threshold)))
+    across = across.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
     sizes = heads.groupBy("gid").agg(F.count(F.lit(1)).alias("c"))
     pairs = table(across.unionByName(sizes.where("c > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))), "jaccard-pairs")
     # A pair is compared where its larger group is, so that a group which many small ones meet is sent once; if they are too many for a task, it is sent again for each slice of them.
@@ -377,8 +404,11 @@ def similar_sets(every: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
         sets_ = [unpack(x) for x in right["toks"].to_pylist()]
         at = {int(gid[i]): np.arange(i, j) for i, j in zip(*_runs(gid))}
         links, trees = np.zeros(len(sid), np.int64), [np.zeros((0, 2), np.int64)]
+        left, hub, union = left.sort_by("hub"), None, None
         for g, h in zip(left["hub"].to_pylist(), left["other"].to_pylist()):
-            p = compare(at[h], None if g == h else at[g], sets_, n, threshold)
+            if g != h and g != hub:
+                hub, union = g, np.unique(np.concatenate([sets_[i] for i in at[g]]))
+            p = compare(at[h], None if g == h else at[g], sets_, n, threshold, union)
             np.add.at(links, p[:, 0], docs[p[:, 1]])
             np.add.at(links, p[:, 1], docs[p[:, 0]])
             trees.append(p[spanning(p)])
