@@ -271,6 +271,59 @@ def test_one_of_each_group_stays(spark):
     assert got == {find(i) for i in root}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_kept_of_uneven_rows(spark, seed, monkeypatch):
+    """Against brute force, with classes that leaders find in part, and with several blocks, slices and tasks."""
+    if seed % 2:
+        monkeypatch.setattr(jaccard, "BATCH", 2000)
+        monkeypatch.setattr(jaccard, "RANGE", 500)
+        monkeypatch.setattr(jaccard, "BLOCK", 3)
+        monkeypatch.setattr(jaccard, "HELD", 20)
+    rows = [(i, t) for i, (_, t) in enumerate(uneven_rows(seed))]
+    want = {c for _, c, _ in brute_classes(rows)} | {i for i, t in rows if not grams(t)}
+    assert Counter(r.doc_id for r in jaccard.dedup_near(table(spark, [(i, t, "en", "a") for i, t in rows]).repartition(5)).collect()) == Counter(want)
+
+
+def test_a_class_of_near_copies_is_not_compared_with_itself(spark, monkeypatch):
+    """Copies of one text, each with other words changed, are in many groups; to find the class, pairs of groups must not grow as the square of them."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    base = [r.choice(words) for _ in range(250)]
+    rows = [(i, " ".join(r.choice(words[:40]) if r.random() < 0.05 else w for w in base)) for i in range(400)]
+    met, real = [], jaccard.table
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "jaccard-parts":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "table", spy)
+    got = {x.doc_id for x in jaccard.dedup_near(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert got == {c for _, c, _ in brute_classes(rows)} and sum(met) < len(rows)
+
+
+def test_leaders_find_similar_sets_only():
+    r = np.random.default_rng(3)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([r.choice(base, 80, False), r.integers(1000, 9000, k).astype(np.uint64)])) for k in (0, 10, 40, 90, 5, 0)] + [np.arange(2000, 2100, dtype=np.uint64)] * 2
+    n = np.array([len(x) for x in sets])
+    similar = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.5
+    got = jaccard.led(sets, n, 0.5).tolist()
+    assert all(similar(i, j) for i, j in got) and [7, 6] in got and {i for i, j in got if j == 0} == {i for i in range(1, 8) if similar(i, 0)}
+
+
+def test_few_sets_are_looked_up():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 300, r.integers(1, 200))).astype(np.uint64) for _ in range(40)]
+    n = np.array([len(x) for x in sets])
+    a, b = np.arange(10), np.arange(10, 40)
+    index = jaccard.inverted([sets[i] for i in b])
+    for i in a:
+        assert jaccard.overlaps_with(sets[i], *index[1:], len(b)).tolist() == [len(np.intersect1d(sets[i], sets[j])) for j in b]
+    assert sorted(jaccard.compare(a, b, sets, n, 0.3, index).tolist()) == sorted(jaccard.compare(a, b, sets, n, 0.3).tolist()) != []
+
+
 def test_components_of_chains(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.node: r.root for r in jaccard.components(e).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}

@@ -14,6 +14,9 @@ of equal sets are one set with a count. The steps, all of them exact:
 4. A query's overlap with the union of a group's whole sets bounds what it can have in common with any member. The group is opened only
    to queries whose bound reaches the threshold; in an open group overlaps are counted exactly, by products of token matrices.
 
+Where only classes are asked for (dedup_near), sets are first compared with a few leaders of those that have the same least hash. What is connected by that forms
+groups of its own in steps 2 to 4, and is not compared among itself again, so a class of near copies costs no square of its size; no other pair is left out.
+
 Tokens are compared by 48 bits of their hashes. Nothing is capped: a hot passage makes frequent tokens, which come last in every prefix; a
 large group makes more blocks. What grows faster than the input is the number of links themselves, which are counted, not listed.
 
@@ -39,8 +42,12 @@ N, THRESHOLD = 3, 0.5
 BATCH, RANGE, BLOCK, HELD = 8 << 20, 1 << 20, 1024, 4096
 #: Bits of a hash that are dropped; documents of a batch at most, and what stands for several of them.
 DROP, MOST_DOCS, SEVERAL = 16, 1 << 15, 0xFFFF
+#: Sets at most that the others of a bucket are compared with before groups are made.
+LEADERS = 8
 #: Low bits of a group's id, for the class of its sets' sizes.
 CLASS = 0xFF
+#: So many sets are looked up in an inverted group; more are multiplied.
+FEW = 64
 _TILE = 2048
 _SECOND = np.uint64(0x5DEECE66D)
 
@@ -111,7 +118,7 @@ def classes_up(threshold: float) -> int:
 
 _RAW = "part long, batch long, a binary, b binary, c binary, d binary"
 _BACK = "batch long, a binary, b binary, c binary, d binary"
-_SETS = "rid long, doc_id long, d1 long, d2 long, key binary, n int, grp long, toks binary, prefix binary, short binary"
+_SETS = "rid long, doc_id long, d1 long, d2 long, key binary, n int, grp long, m1 long, m2 long, toks binary, prefix binary, short binary"
 
 
 def _range_of(token: np.ndarray, ranges: int) -> np.ndarray:
@@ -246,12 +253,13 @@ def _gather(threshold: float):
         place = np.arange(len(own)) - first[own] + rest
         hashed, again, kind = mix(tok), mix(tok ^ _SECOND), size_class(n)
         inside, upward = place < (n - least + 1)[own], place < (n - least_upward(n, threshold) + 1)[own]
-        groups, toks, prefix, short = ([None] * len(n) for _ in range(4))
+        groups, m1, m2, toks, prefix, short = ([None] * len(n) for _ in range(6))
         for k in np.flatnonzero(np.diff(first)).tolist():
             x = slice(first[k], first[k + 1])
             o = np.argsort(tok[x])
-            least_two = mix(hashed[x].min(keepdims=True) + mix(again[x].min(keepdims=True))).view(np.int64)
-            groups[k] = int(least_two[0]) & ~CLASS | int(kind[k])
+            one, two = hashed[x].min(keepdims=True), again[x].min(keepdims=True)
+            groups[k] = int(mix(one + mix(two)).view(np.int64)[0]) & ~CLASS | int(kind[k])
+            m1[k], m2[k] = int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
             toks[k], prefix[k], short[k] = pack(tok[x][o]), np.packbits(inside[x][o]).tobytes(), np.packbits(upward[x][o]).tobytes()
         lead = set()
         pick = []
@@ -260,14 +268,14 @@ def _gather(threshold: float):
             lead.add(s)
         rid = (key[0].as_py() << 16) + np.arange(len(info))
         at = lambda v, kind: pa.array([None if s < 0 else v[s] for s in pick], kind)
-        return pa.table({"rid": pa.array(rid, pa.int64()), **{c: info[c] for c in ("doc_id", "d1", "d2", "key", "n")}, "grp": at(groups, pa.int64()), "toks": at(toks, pa.binary()), "prefix": at(prefix, pa.binary()), "short": at(short, pa.binary())})
+        return pa.table({"rid": pa.array(rid, pa.int64()), **{c: info[c] for c in ("doc_id", "d1", "d2", "key", "n")}, "grp": at(groups, pa.int64()), "m1": at(m1, pa.int64()), "m2": at(m2, pa.int64()), "toks": at(toks, pa.binary()), "prefix": at(prefix, pa.binary()), "short": at(short, pa.binary())})
 
     return run
 
 
 def token_sets(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(rid, doc_id, d1, d2, key, n, grp, toks, prefix, short), a written table: every document that has words, d1 and d2 the hashes of its text, key
-    that of its set. The last four are there for sets that can have a partner, on one row of each batch: group, shared tokens, and which of these are its prefix, and its short one."""
+    """(rid, doc_id, d1, d2, key, n, grp, m1, m2, toks, prefix, short), a written table: every document that has words, d1 and d2 the hashes of its text, key
+    that of its set. The last six are there for sets that can have a partner, on one row of each batch: group, the two least hashes, shared tokens, and which of these are its prefix, and its short one."""
     bound_batches(docs.sparkSession)
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *text_digest("text"), F.lower("text").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -336,13 +344,36 @@ def opened(query: list[np.ndarray], n_query: np.ndarray, group: list[np.ndarray]
     return hits[cut[1:]] - hits[cut[:-1]] >= threshold / (1 + threshold) * (n_query + least) - 1e-9
 
 
-def compare(a: np.ndarray, b: np.ndarray | None, sets: list[np.ndarray], n: np.ndarray, threshold: float, union: np.ndarray | None = None) -> np.ndarray:
-    """The similar pairs of positions between groups a and b, or within a."""
+def inverted(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a group the union of its sets; their tokens in order, and whose they are."""
+    token = np.concatenate(group)
+    order = np.argsort(token, kind="stable")
+    token = token[order]
+    return token[np.append(True, token[1:] != token[:-1])], token, np.repeat(np.arange(len(group)), [len(x) for x in group])[order]
+
+
+def overlaps_with(query: np.ndarray, token: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+    """The overlap of one set with each of an inverted group."""
+    low, high = np.searchsorted(token, query), np.searchsorted(token, query, "right")
+    many = high - low
+    at = np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)
+    return np.bincount(owner[at], minlength=size)
+
+
+def compare(a: np.ndarray, b: np.ndarray | None, sets: list[np.ndarray], n: np.ndarray, threshold: float, index: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The similar pairs of positions between groups a and b, or within a. index: of b, inverted, if it is known."""
     if b is None:
         i, j = np.triu_indices(len(a), 1)
         p = np.stack([a[i], a[j]], 1)
     else:
-        a = a[opened([sets[i] for i in a], n[a], [sets[i] for i in b], n[b], threshold, union)]
+        a = a[opened([sets[i] for i in a], n[a], [sets[i] for i in b], n[b], threshold, index and index[0])]
+        if index and len(a) <= FEW:
+            out = [np.zeros((0, 2), np.int64)]
+            for i in a:
+                both = overlaps_with(sets[i], *index[1:], len(b))
+                near = b[both / (n[i] + n[b] - both) >= threshold - 1e-12]
+                out.append(np.stack([np.full(len(near), i), near], 1))
+            return np.concatenate(out)
         p = np.stack([np.repeat(a, len(b)), np.tile(b, len(a))], 1)
     low, high = np.minimum(n[p[:, 0]], n[p[:, 1]]), np.maximum(n[p[:, 0]], n[p[:, 1]])
     p = p[low >= threshold * high - 1e-9]
@@ -353,16 +384,66 @@ def compare(a: np.ndarray, b: np.ndarray | None, sets: list[np.ndarray], n: np.n
     return p[both / (n[p[:, 0]] + n[p[:, 1]] - both) >= threshold - 1e-12]
 
 
-def similar_sets(every: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """((key, sid, docs, first), (a, b, links)): every different set, with the number of its documents (different ids) and the lowest id;
-    and of the sets that have partners the number of documents on the other side, in parts, and (links null) pairs that connect what is similar."""
-    spark = every.sparkSession
+def different_sets(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, sid, docs, first), (sid, grp, m1, m2, docs)): every different set, with the number of its documents (different ids) and the lowest id; and those that can have partners."""
     keys = every.groupBy("key", "doc_id").agg(F.min(F.when(F.col("toks").isNotNull(), F.col("rid"))).alias("sid"))
     keys = table(keys.groupBy("key").agg(F.min("sid").alias("sid"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")), "jaccard-keys")
-    heads = every.where("toks IS NOT NULL").select(F.col("rid").alias("sid"), "grp", "n").join(keyed(table(keys.where("sid IS NOT NULL").select("sid", "docs"), "jaccard-heads")), "sid")
+    some = keyed(table(keys.where("sid IS NOT NULL").select("sid", "docs"), "jaccard-heads"))
+    return keys, every.where("toks IS NOT NULL").select(F.col("rid").alias("sid"), "grp", "m1", "m2").join(some, "sid")
+
+
+def led(sets: list[np.ndarray], n: np.ndarray, threshold: float) -> np.ndarray:
+    """Similar pairs of positions, each of a set and a leader: the first set leads, then the first of those that are not similar to it, and so on, LEADERS times."""
+    rest, out = np.arange(len(n)), [np.zeros((0, 2), np.int64)]
+    for _ in range(LEADERS):
+        if len(rest) < 2:
+            break
+        lead, rest = rest[0], rest[1:]
+        own = sets[lead]
+        flat = np.concatenate([sets[i] for i in rest])
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        hits = np.concatenate([[0], np.cumsum(own[at] == flat)])
+        cut = np.concatenate([[0], np.cumsum([len(sets[i]) for i in rest])])
+        both = hits[cut[1:]] - hits[cut[:-1]]
+        near = both / (n[lead] + n[rest] - both) >= threshold - 1e-12
+        out.append(np.stack([rest[near], np.full(int(near.sum()), lead)], 1))
+        rest = rest[~near]
+    return np.concatenate(out)
+
+
+def star_pairs(every: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a written table: some of the similar pairs, found among sets of the same least hash, by the one hash and by the other. They are as many as the sets at most, twice."""
+    of = heads.select("sid", F.explode(F.array(F.xxhash64(F.lit(1), "m1"), F.xxhash64(F.lit(2), "m2"))).alias("hash"))
+    many = of.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    slice_ = F.xxhash64("hash", F.pmod(F.xxhash64("hash", "sid"), F.ceil(F.col("c") / BLOCK)))
+    buckets = table(of.join(many, "hash").select("sid", slice_.alias("bucket")), "jaccard-buckets")
+    parts = max(1, -(-buckets.count() // HELD))
+    cells = every.where("toks IS NOT NULL").select(F.col("rid").alias("sid"), "n", "toks").join(keyed(buckets), "sid")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("bucket")
+        sid, n, bucket = (t[x].to_numpy().astype(np.int64) for x in ("sid", "n", "bucket"))
+        toks, pairs = t["toks"].to_pylist(), [np.zeros((0, 2), np.int64)]
+        for i, j in zip(*_runs(bucket)):
+            if j > i + 1:
+                pairs.append(i + led([unpack(x) for x in toks[i:j]], n[i:j], threshold))
+        pairs = np.concatenate(pairs)
+        return pa.table({"a": pa.array(sid[pairs[:, 0]]), "b": pa.array(sid[pairs[:, 1]])})
+
+    return table(cells.groupBy(F.pmod("bucket", F.lit(parts)).alias("part")).applyInArrow(run, "a long, b long"), "jaccard-stars")
+
+
+def similar_sets(every: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, links), a written table: of the sets that have partners the number of documents on the other side, in parts, and (links null) pairs that connect what is similar.
+    If heads has a column root, sets of the same root (not null) are known to be connected, and are not compared; then links are not all."""
+    kind = F.col("grp").bitwiseAND(CLASS)
+    if "root" in heads.columns:
+        heads = heads.withColumn("grp", F.when(F.col("root").isNull(), F.col("grp")).otherwise(F.xxhash64("root").bitwiseAND(~CLASS).bitwiseOR(kind)))
+    else:
+        heads = heads.withColumn("root", F.lit(None).cast("long"))
     blocks = heads.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1")
-    block = F.when(F.col("blocks").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("sid"), F.col("blocks"))).bitwiseAND(~CLASS).bitwiseOR(F.col("grp").bitwiseAND(CLASS)))
-    heads = table(heads.join(blocks, "grp", "left").select("sid", "docs", block.alias("gid")), "jaccard-groups")
+    block = F.when(F.col("blocks").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("sid"), F.col("blocks"))).bitwiseAND(~CLASS).bitwiseOR(kind))
+    heads = table(heads.join(blocks, "grp", "left").select("sid", "docs", block.alias("gid"), "root"), "jaccard-groups")
     sets = every.where("toks IS NOT NULL").select(F.col("rid").alias("sid"), "n", "toks", "prefix", "short").join(keyed(heads), "sid")
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,19 +465,20 @@ def similar_sets(every: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     up = F.col("h").bitwiseAND(CLASS) - F.col("g").bitwiseAND(CLASS)
     across = matrix.where("low").select("token", F.col("gid").alias("g")).join(matrix.select("token", F.col("gid").alias("h")), "token").where((F.col("g") != F.col("h")) & up.between(0, classes_up(threshold)))
     across = across.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
-    sizes = heads.groupBy("gid").agg(F.count(F.lit(1)).alias("c"))
+    one = (F.count("root") == F.count(F.lit(1))) & (F.min("root") == F.max("root"))  # hashes of two roots may be equal
+    sizes = heads.groupBy("gid").agg(F.when(one, F.min("root")).alias("root"), F.count(F.lit(1)).alias("c"))
     pairs = table(across.unionByName(sizes.where("c > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))), "jaccard-pairs")
     # A pair is compared where its larger group is, so that a group which many small ones meet is sent once; if they are too many for a task, it is sent again for each slice of them.
-    c, d = sizes.toDF("g", "cg"), sizes.toDF("h", "ch")
+    c, d = sizes.toDF("g", "rg", "cg"), sizes.toDF("h", "rh", "ch")
     first = (F.col("cg") > F.col("ch")) | ((F.col("cg") == F.col("ch")) & (F.col("g") <= F.col("h")))
-    pairs = pairs.join(c, "g").join(d, "h").select(F.when(first, F.col("g")).otherwise(F.col("h")).alias("hub"), F.when(first, F.col("h")).otherwise(F.col("g")).alias("other"), F.least("cg", "ch").alias("c"))
+    pairs = pairs.join(c, "g").join(d, "h").where(F.coalesce(F.col("rg") != F.col("rh"), F.lit(True))).select(F.when(first, F.col("g")).otherwise(F.col("h")).alias("hub"), F.when(first, F.col("h")).otherwise(F.col("g")).alias("other"), F.least("cg", "ch").alias("c"))
     pairs = table(pairs, "jaccard-hubs")
     slices = pairs.groupBy("hub").agg(F.ceil(F.sum("c") / HELD).alias("slices"))
     parts = max(1, -(-pairs.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] // HELD))
     pairs = pairs.join(slices, "hub").select(F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("other"), F.col("slices"))), F.lit(parts)).alias("part"), "hub", "other")
     pairs = table(pairs, "jaccard-parts")
     sent = pairs.select("part", F.explode(F.array("hub", "other")).alias("gid")).distinct()
-    cells = sets.select("sid", "n", "docs", "toks", "gid").join(keyed(table(sent, "jaccard-sent")), "gid")
+    cells = sets.select("sid", "n", "docs", "toks", "gid", "root").join(keyed(table(sent, "jaccard-sent")), "gid")
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("gid")
@@ -404,13 +486,18 @@ def similar_sets(every: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
         sets_ = [unpack(x) for x in right["toks"].to_pylist()]
         at = {int(gid[i]): np.arange(i, j) for i, j in zip(*_runs(gid))}
         links, trees = np.zeros(len(sid), np.int64), [np.zeros((0, 2), np.int64)]
-        left, hub, union = left.sort_by("hub"), None, None
+        rooted = right["root"].null_count < len(right)
+        _, first, root = np.unique(right["root"].fill_null(-1).to_numpy(), return_index=True, return_inverse=True)
+        same = np.where(right["root"].is_null().to_numpy(), np.arange(len(sid)), first[root])  # one of each root stands for it
+        left, hub, index = left.sort_by("hub"), None, None
         for g, h in zip(left["hub"].to_pylist(), left["other"].to_pylist()):
             if g != h and g != hub:
-                hub, union = g, np.unique(np.concatenate([sets_[i] for i in at[g]]))
-            p = compare(at[h], None if g == h else at[g], sets_, n, threshold, union)
+                hub, index = g, inverted([sets_[i] for i in at[g]])
+            p = compare(at[h], None if g == h else at[g], sets_, n, threshold, index)
             np.add.at(links, p[:, 0], docs[p[:, 1]])
             np.add.at(links, p[:, 1], docs[p[:, 0]])
+            if rooted and len(p):
+                p = np.unique(same[p], axis=0)
             trees.append(p[spanning(p)])
         tree, some = np.concatenate(trees), np.flatnonzero(links)
         tree = tree[spanning(tree)]
@@ -419,7 +506,7 @@ def similar_sets(every: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
         return pa.table({"a": pa.array(a), "b": pa.array(np.concatenate([sid[some], sid[tree[:, 1]]]), mask=null < len(some)), "links": pa.array(np.concatenate([links[some], np.zeros(len(tree), np.int64)]), mask=null >= len(some))})
 
     found = pairs.groupBy("part").cogroup(cells.groupBy("part")).applyInArrow(verify, "a long, b long, links long")
-    return keys, table(found, "jaccard-found")
+    return table(found, "jaccard-found")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -450,7 +537,8 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
     """(doc_id, class_id, links), a row for each document that has words (for an id and set, if rows repeat): the lowest id of all documents that similar pairs
     connect it to, and to how many other documents it is similar itself, that is, their n-gram sets have at least this Jaccard similarity."""
     every = token_sets(docs, n, threshold)
-    keys, found = similar_sets(every, threshold)
+    keys, heads = different_sets(every)
+    found = similar_sets(every, heads, threshold)
     of = table(components(found.where("b IS NOT NULL").select("a", "b")), "jaccard-components")
     some = keys.where("sid IS NOT NULL").select("sid", "first")
     low = of.join(some, F.col("node") == F.col("sid")).groupBy("root").agg(F.min("first").alias("class_id"))
@@ -463,8 +551,10 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
 def dedup_near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each group of near duplicates: of rows connected by similar pairs, the one of lowest doc_id (null last). Null texts and texts without words stay, each of their rows."""
     every = token_sets(docs, n, threshold)
-    keys, found = similar_sets(every, threshold)
-    of = components(found.where("b IS NOT NULL").select("a", "b"))
+    keys, heads = different_sets(every)
+    known = table(components(star_pairs(every, heads, threshold)), "jaccard-known")
+    found = similar_sets(every, heads.join(known.select(F.col("node").alias("sid"), "root"), "sid", "left"), threshold)
+    of = components(found.where("b IS NOT NULL").select("a", "b").unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     group = table(keys.join(of, F.col("sid") == F.col("node"), "left").select("key", F.coalesce(F.col("root").cast("string"), F.hex("key")).alias("group")), "jaccard-classes")
     rows = every.select("doc_id", "d1", "d2", "key").join(group, "key")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "d1", "d2")).alias("first")
