@@ -7,13 +7,15 @@ The base rate is the probability itself, so the projected probability is the rec
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from veridelta.functions import opinion as O
 
@@ -151,14 +153,13 @@ def _answered(items: pd.Series) -> pd.Series:
 def _factor(v: Column, f: Factor) -> Column:
     kind, path = f[0], f[1]
     if kind == "many":
-        xs = _items(v, path)
-        n = F.size(F.filter(xs, lambda x: _get(x, f[7]).isNotNull() & (_get(x, f[7]) != "")) if f[7] else xs)
-        return F.when(xs.isNull(), f[6]).when(n == 0, f[2]).when(n < f[5], f[3]).otherwise(f[4])
+        kept = lambda xs: F.filter(xs, lambda x: F.coalesce(_get(x, f[7]), F.lit("")) != "") if f[7] else xs
+        n = O.let(_items(v, path), lambda xs: F.when(xs.isNotNull(), F.size(kept(xs))))
+        return O.let(n, lambda n: F.when(n.isNull(), f[6]).when(n == 0, f[2]).when(n < f[5], f[3]).otherwise(f[4]))
     if kind == "by":
         return F.coalesce(_lookup(_get(v, path), f[2], float), F.lit(1.0))
     if kind == "kind":
-        ref = _get(v, path)
-        return F.when(F.contains(ref, F.lit("/")), F.coalesce(_lookup(F.split_part(ref, F.lit("/"), F.lit(1)), f[2], float), F.lit(1.0))).otherwise(1.0)
+        return O.let(_get(v, path), lambda ref: F.when(F.contains(ref, F.lit("/")), F.coalesce(_lookup(F.split_part(ref, F.lit("/"), F.lit(1)), f[2], float), F.lit(1.0))).otherwise(1.0))
     if kind == "has":
         return F.when(_get(v, path, "variant").isNotNull(), f[2]).otherwise(f[3])
     if kind == "all":
@@ -167,11 +168,10 @@ def _factor(v: Column, f: Factor) -> Column:
     if kind == "any":
         return F.when(F.coalesce(F.exists(_items(v, path), lambda x: _get(x, f[2]).isNotNull()), F.lit(False)), f[3]).otherwise(1.0)
     if kind == "anonymous":  # the share of agents that no reference identifies
-        xs = _items(v, path)
-        return F.when(F.size(xs) > 0, 1 + F.lit(0.3) * F.size(F.filter(xs, lambda x: F.coalesce(_get(x, "who.reference"), F.lit("")) == "")) / F.size(xs)).otherwise(1.0)
+        return O.let(_items(v, path), lambda xs: F.when(F.size(xs) > 0, 1 + F.lit(0.3) * F.size(F.filter(xs, lambda x: F.coalesce(_get(x, "who.reference"), F.lit("")) == "")) / F.size(xs)).otherwise(1.0))
     if kind == "answered":
         share = _answered(F.to_json(_get(v, path, "variant")))
-        return F.when(share.isNull(), 1.0).when(share < f[2], f[4]).when(share > f[3], f[6]).otherwise(f[5])
+        return O.let(share, lambda share: F.when(share.isNull(), 1.0).when(share < f[2], f[4]).when(share > f[3], f[6]).otherwise(f[5]))
     return 1 - F.lit(f[2]) * _filled(v, path) / len(path)
 
 
@@ -183,45 +183,59 @@ def _filled(v: Column, paths: tuple[str, ...]) -> Column:
 def _own(v: Column, field: str) -> Column:
     """The opinion in the extension of an element, if it has one of ours."""
     every = _get(v, f"_{field}.extension", "array<struct<url:string,extension:array<struct<url:string,valueDecimal:double>>>>")
-    mine = F.filter(every, lambda e: e["url"] == EXTENSION)
-    m = F.map_from_entries(F.filter(F.try_element_at(mine, F.lit(1))["extension"], lambda p: p["url"].isNotNull()))
-    o = O.opinion(m["belief"], m["disbelief"], m["uncertainty"], F.coalesce(m["baseRate"], F.lit(0.5)))
-    return F.when(O.is_valid(o), o)
 
+    def found(every: Column) -> Column:
+        mine = F.filter(every, lambda e: e["url"] == EXTENSION)
+        parts = F.map_from_entries(F.filter(F.try_element_at(mine, F.lit(1))["extension"], lambda p: p["url"].isNotNull()))
+        o = O.let(parts, lambda m: O.opinion(m["belief"], m["disbelief"], m["uncertainty"], F.coalesce(m["baseRate"], F.lit(0.5))))
+        return O.let(o, lambda o: F.when(O.is_valid(o), o))
 
-def _opinions(v: Column, rule: Rule, before: list[Column]) -> Column:
-    """An array of (field, value, opinion, source)."""
+    return O.let(every, lambda every: F.when(every.isNotNull(), found(every)))
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<struct<field:string,value:string,opinion:{O.SCHEMA},source:string>>")
+
+
+def _opinions(v: Column, rule: Rule, before: Column | None = None) -> Column:
+    """An array of (field, value, opinion, source). before: those of the type's rules before this one."""
     scale = reduce(lambda x, y: x * y, [_factor(v, f) for f in rule.factors], F.lit(1.0))
     p0, u0 = rule.otherwise
 
-    def entry(at: Column, name: Column, own: Column) -> Column:
+    def entry(at: Column, name: Column, own: Column, scale: Column) -> Column:
         shown = _get(at, rule.path) if rule.path else F.concat(_filled(v, rule.factors[0][1]).cast("string"), F.lit(f"/{len(rule.factors[0][1])}"))
-        code = F.coalesce(_get(v, rule.by) if rule.by else shown, F.lit(rule.missing))
-        p = _get(at, rule.path, "double") if p0 == -1.0 else F.coalesce(_lookup(code, rule.codes, lambda y: int(y.split("/")[0]) / 100), F.lit(p0)) if rule.codes else F.lit(p0)
-        u = F.coalesce(_lookup(code, rule.codes, lambda y: int(y.split("/")[1]) / 100), F.lit(u0)) if rule.codes else F.lit(u0)
-        made = O.from_confidence(p, F.greatest(F.lit(rule.floor), F.least(F.lit(0.99), u * scale)), p)
-        shown = shown if rule.missing is None or rule.field == "active" else F.coalesce(shown, F.lit(rule.missing))
-        one = F.struct(name.alias("field"), shown.alias("value"), F.coalesce(own, made).alias("opinion"), F.when(own.isNotNull(), "extension").otherwise("reconstructed").alias("source"))
-        return F.when(p.isNotNull(), one)
+        read = F.struct(shown.alias("shown"), (_get(v, rule.by) if rule.by else F.lit(None).cast("string")).alias("by"), own.alias("own"), scale.alias("scale"))
+
+        def rated(x: Column) -> Column:
+            code = F.coalesce(x["by"] if rule.by else x["shown"], F.lit(rule.missing))
+            p = _get(at, rule.path, "double") if p0 == -1.0 else F.coalesce(_lookup(code, rule.codes, lambda y: int(y.split("/")[0]) / 100), F.lit(p0)) if rule.codes else F.lit(p0)
+            u = F.coalesce(_lookup(code, rule.codes, lambda y: int(y.split("/")[1]) / 100), F.lit(u0)) if rule.codes else F.lit(u0)
+            value = x["shown"] if rule.missing is None or rule.field == "active" else F.coalesce(x["shown"], F.lit(rule.missing))
+            made = F.struct(p.alias("p"), F.greatest(F.lit(rule.floor), F.least(F.lit(0.99), u * x["scale"])).alias("u"))
+            whole = lambda m: F.struct(name.alias("field"), value.alias("value"), F.coalesce(x["own"], O.from_confidence(m["p"], m["u"], m["p"])).alias("opinion"), F.when(x["own"].isNotNull(), "extension").otherwise("reconstructed").alias("source"))
+            return O.let(made, lambda m: F.when(m["p"].isNotNull(), whole(m)))
+
+        return O.let(read, rated)
 
     if rule.each:
         outer, _, inner = rule.each.partition(".")
         xs = _items(v, outer)
         if inner:
             xs = F.flatten(F.transform(xs, lambda x: F.coalesce(_items(x, inner), F.array().cast("array<variant>"))))
-            out = F.transform(F.filter(xs, lambda x: _get(x, rule.path).isNotNull()), lambda x: entry(x, F.lit(rule.field), _own(v, rule.field)))
+            shared = F.struct(scale.alias("scale"), _own(v, rule.field).alias("own"))
+            out = O.let(shared, lambda s: F.transform(F.filter(xs, lambda x: _get(x, rule.path).isNotNull()), lambda x: entry(x, F.lit(rule.field), s["own"], s["scale"])))
         else:
             head, _, rest = rule.field.partition("{}")
-            out = F.transform(xs, lambda x, i: entry(x, F.concat(F.lit(head), i.cast("string"), F.lit(rest)), _own(x, rule.path)))
+            out = O.let(scale, lambda s: F.transform(xs, lambda x, i: entry(x, F.concat(F.lit(head), i.cast("string"), F.lit(rest)), _own(x, rule.path), s)))
     else:
         element = "recorded" if rule.field == "provenance" else rule.field
-        out = F.array(entry(v, F.lit(rule.field), F.lit(None).cast(O.SCHEMA) if rule.field == "data_quality" else _own(v, element)))
-    out = F.coalesce(F.filter(out, lambda x: x.isNotNull()), F.array().cast("array<struct<field:string,value:string,opinion:" + O.SCHEMA + ",source:string>>"))
+        out = F.array(entry(v, F.lit(rule.field), F.lit(None).cast(O.SCHEMA) if rule.field == "data_quality" else _own(v, element), scale))
+    out = F.coalesce(F.filter(out, lambda x: x.isNotNull()), _none())
     if rule.needs:
         out = F.when(F.coalesce(_get(v, rule.needs), F.lit("")) != "", out)
     if rule.instead:
-        out = F.when(sum((F.coalesce(F.size(x), F.lit(0)) for x in before), F.lit(0)) <= 0, out)
-    return out
+        out = F.when(F.size(before) == 0, out)
+    return F.coalesce(out, _none())
 
 
 def _parsed(df: DataFrame, text: str, order: str | None) -> DataFrame:
@@ -231,14 +245,14 @@ def _parsed(df: DataFrame, text: str, order: str | None) -> DataFrame:
 
 def _all_opinions(types: list[str] | None) -> Column:
     """The opinions of a resource v of a type, as an array; null for other types."""
+    also = lambda r: lambda before: F.concat(before, _opinions(F.col("v"), r, before))
     out = F.lit(None)
     for kind, rules in SPEC.items():
         if types is None or kind in types:
-            parts: list[Column] = []
-            for r in rules:
-                parts.append(_opinions(F.col("v"), r, parts))
-            whole = [F.coalesce(x, F.array().cast("array<struct<field:string,value:string,opinion:" + O.SCHEMA + ",source:string>>")) for x in parts]
-            out = F.when(F.col("type") == kind, F.concat(*whole) if len(whole) > 1 else whole[0]).otherwise(out)
+            found = _opinions(F.col("v"), rules[0])
+            for r in rules[1:]:
+                found = O.let(found, also(r))
+            out = F.when(F.col("type") == kind, found).otherwise(out)
     return out
 
 
@@ -246,8 +260,8 @@ def from_records(df: DataFrame, text: str = "json", order: str | None = None, ty
     """(ord, type, id, status, field, value, opinion, source): a row for each opinion of a resource of the 32 types; other resources, and text that is no JSON, give none.
 
     types: compiles the rules of these types alone, which plans faster."""
-    rows = _parsed(df, text, order).where(F.col("type").isin(*(types or SPEC)))
-    return rows.select("ord", "type", "id", "status", F.inline(_all_opinions(types)))
+    # no filter by type: it would be pushed below whatever makes the text and evaluate that again; null gives no rows
+    return _parsed(df, text, order).select("ord", "type", "id", "status", F.inline(_all_opinions(types)))
 
 
 # Documents: what the engine's other operators read; fields of a resource in plain form.
@@ -292,6 +306,7 @@ FORMS: dict[str, tuple] = {
 }
 
 
+@cache
 def _fields(kind: str) -> list[tuple[str, list[str], str]]:
     out = []
     for x in filter(None, FIELDS.get(kind, "").split(", ")):
@@ -345,11 +360,6 @@ def _plain_json(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else json.dumps(_plain(json.loads(t))))
 
 
-@F.pandas_udf(StringType())
-def _full_json(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else json.dumps(_full(json.loads(t))))
-
-
 def to_documents(df: DataFrame, text: str = "json", order: str | None = None, types: list[str] | None = None) -> DataFrame:
     """(ord, type, id, document, nodes_converted, warning): each resource as a document with its fields in plain form and its opinions. An unknown type gives an empty document and a warning;
     text that is no JSON, or has no type, gives no row."""
@@ -365,7 +375,16 @@ def to_documents(df: DataFrame, text: str = "json", order: str | None = None, ty
 
 def to_records(df: DataFrame, document: str = "document") -> DataFrame:
     """df with the resource (JSON) of each document in the column record: fields in the resource's form, opinions as extensions of their elements. A document of no known type is an error."""
-    return df.withColumn("record", _full_json(F.col(document)))
+    kinds = StructType([f for f in df.schema if f.name != "record"] + [StructField("record", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            text = [None if t is None else json.dumps(_full(json.loads(t))) for t in x.column(document).to_pylist()]
+            names = [n for n in x.schema.names if n != "record"]
+            yield pa.RecordBatch.from_arrays([*[x.column(n) for n in names], pa.array(text, pa.string())], [*names, "record"])
+
+    # not a UDF: what makes the document would be evaluated again for each filter that comes after
+    return df.mapInArrow(run, kinds)
 
 
 def bundle_entries(df: DataFrame, text: str = "json", order: str | None = None) -> DataFrame:
