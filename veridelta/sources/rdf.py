@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridelta.functions.opinion import let
+
 W3 = "http://www.w3.org/"
 RDF_TYPE = W3 + "1999/02/22-rdf-syntax-ns#type"
 SOSA = W3 + "ns/sosa/"
@@ -145,14 +147,20 @@ def record_provenance(documents: DataFrame, document: str = "document") -> DataF
     d = documents.select(F.from_json(document, kinds).alias("d")).select("d.*").select("*", F.concat(F.lit("urn:activity:"), "id").alias("act"))
     st = lambda s, p, o: F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"))
     act = F.col("act")
-    one = d.select(F.explode(F.array(st(act, rdf, F.lit(prov + "Activity")), F.when(F.col("recorded").isNotNull(), st(act, prov + "endedAtTime", F.col("recorded"))))).alias("x"))
-    t = d.select("act", F.explode("targets.reference").alias("t")).select(F.explode(F.array(st(F.col("t"), rdf, F.lit(prov + "Entity")), st(F.col("t"), prov + "wasGeneratedBy", act))).alias("x"))
-    a = d.select("act", F.explode("agents").alias("a")).where("a.who IS NOT NULL")
-    kind = F.split_part(F.col("a.who"), F.lit("/"), F.lit(1))
-    cls = F.when(kind.isin("Practitioner", "PractitionerRole", "Patient", "RelatedPerson"), prov + "Person").when(kind == "Organization", prov + "Organization").when(kind == "Device", prov + "SoftwareAgent").otherwise(prov + "Agent")
-    a = a.select(F.explode(F.array(st(F.col("a.who"), rdf, cls), st(act, prov + "wasAssociatedWith", F.col("a.who")), F.when(F.col("a.onBehalfOf").isNotNull(), st(F.col("a.who"), prov + "actedOnBehalfOf", F.col("a.onBehalfOf"))))).alias("x"))
-    e = d.select("act", F.explode("entities").alias("e")).where("e.what IS NOT NULL")
+    own = F.array(st(act, rdf, F.lit(prov + "Activity")), F.when(F.col("recorded").isNotNull(), st(act, prov + "endedAtTime", F.col("recorded"))))
+    target = lambda t: F.array(st(t, rdf, F.lit(prov + "Entity")), st(t, prov + "wasGeneratedBy", act))
+
+    def agent(a: Column) -> Column:
+        def made(kind: Column) -> Column:
+            cls = F.when(kind.isin("Practitioner", "PractitionerRole", "Patient", "RelatedPerson"), prov + "Person").when(kind == "Organization", prov + "Organization").when(kind == "Device", prov + "SoftwareAgent").otherwise(prov + "Agent")
+            return F.array(st(a["who"], rdf, cls), st(act, prov + "wasAssociatedWith", a["who"]), F.when(a["onBehalfOf"].isNotNull(), st(a["who"], prov + "actedOnBehalfOf", a["onBehalfOf"])))
+
+        return let(F.split_part(a["who"], F.lit("/"), F.lit(1)), made)
+
     role = F.create_map(*[F.lit(x) for k, v in {"source": "hadPrimarySource", "derivation": "wasDerivedFrom", "revision": "wasRevisionOf", "quotation": "wasQuotedFrom", "removal": "wasInvalidatedBy"}.items() for x in (k, prov + v)])
-    made = F.struct(act.alias("subject"), F.coalesce(role[F.col("e.role")], F.lit(prov + "used")).alias("predicate"), F.col("e.what").alias("object"))
-    e = e.select(F.explode(F.array(st(F.col("e.what"), rdf, F.lit(prov + "Entity")), made)).alias("x"))
-    return one.unionByName(t).unionByName(a).unionByName(e).where("x IS NOT NULL").select("x.*").distinct()
+    entity = lambda e: F.array(st(e["what"], rdf, F.lit(prov + "Entity")), F.struct(act.alias("subject"), F.coalesce(role[e["role"]], F.lit(prov + "used")).alias("predicate"), e["what"].alias("object")))
+    each = lambda xs, f: F.coalesce(F.flatten(F.transform(xs, f)), F.array().cast("array<struct<subject:string,predicate:string,object:string>>"))
+    agents, entities = F.filter("agents", lambda a: a["who"].isNotNull()), F.filter("entities", lambda e: e["what"].isNotNull())
+    # one pass: a branch for each kind of statement would read, parse and convert every document again
+    rows = d.select(F.explode(F.concat(own, each(F.col("targets.reference"), target), each(agents, agent), each(entities, entity))).alias("x"))
+    return rows.where("x IS NOT NULL").select("x.*").distinct()
