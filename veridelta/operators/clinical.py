@@ -5,6 +5,7 @@ A record type is data, not code: which field carries the status, and a table fro
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -94,10 +95,14 @@ def trust_chain(opinions: Column, trusts: Column) -> Column:
 def consent_opinion(status: Column, denied: Column, verified: Column, unverified: Column) -> Column:
     """A consent's opinion: denial lowers the probability, each verification lowers the uncertainty to a floor, unverified entries raise it."""
     codes = {"active": (0.9, 0.15), "draft": (0.5, 0.4), "inactive": (0.3, 0.25), "proposed": (0.5, 0.35), "rejected": (0.05, 0.1), "entered-in-error": (0.5, 0.45)}
-    of = lambda i: F.coalesce(F.create_map(*[F.lit(x) for k, v in codes.items() for x in (k, v[i])])[status], F.lit((0.5, 0.35)[i]))
-    p = of(0) * F.when(denied, 0.7).otherwise(1.0)
-    u = of(1) * F.when(verified > 0, F.greatest(F.lit(0.3), F.pow(F.lit(0.75), verified))).when(unverified > 0, 1.05).otherwise(1.0)
-    return O.from_confidence(p, F.least(F.lit(0.99), u), p)
+
+    def rated(x: Column) -> Column:
+        of = lambda i: F.coalesce(F.create_map(*[F.lit(c) for k, v in codes.items() for c in (k, v[i])])[x["status"]], F.lit((0.5, 0.35)[i]))
+        p = of(0) * F.when(x["denied"], 0.7).otherwise(1.0)
+        u = of(1) * F.when(x["verified"] > 0, F.greatest(F.lit(0.3), F.pow(F.lit(0.75), x["verified"]))).when(x["unverified"] > 0, 1.05).otherwise(1.0)
+        return O.let(F.struct(p.alias("p"), F.least(F.lit(0.99), u).alias("u")), lambda m: O.from_confidence(m["p"], m["u"], m["p"]))
+
+    return O.let(F.struct(status.alias("status"), denied.alias("denied"), verified.alias("verified"), unverified.alias("unverified")), rated)
 
 
 def consent_status(o: Column) -> Column:
@@ -108,63 +113,82 @@ def consent_status(o: Column) -> Column:
 # Consent records (JSON): validity, and what happens to them.
 
 
-def _variant(record: Column, path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(F.try_parse_json(record), "$." + path, kind)
+def _parsed(record: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the record as a variant, parsed once."""
+    return O.let(F.try_parse_json(record), f)
+
 
+def _get(v: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(v, "$." + path, kind)
 
-def _verified(record: Column) -> tuple[Column, Column]:
-    """How many verifications hold, and whether the record lists any at all."""
-    every = _variant(record, "verification", "array<variant>")
-    n = F.size(F.filter(every, lambda x: F.coalesce(F.try_variant_get(x, "$.verified", "boolean"), F.lit(False))))
-    return F.coalesce(F.when(every.isNotNull(), n), F.lit(0)), every.isNotNull()
+
+def _verified(v: Column) -> Column:
+    """A struct: n, how many verifications hold, and listed, whether the record lists any at all."""
+    count = lambda every: F.size(F.filter(every, lambda x: F.coalesce(F.try_variant_get(x, "$.verified", "boolean"), F.lit(False))))
+    return O.let(_get(v, "verification", "array<variant>"), lambda every: F.struct(F.coalesce(F.when(every.isNotNull(), count(every)), F.lit(0)).alias("n"), every.isNotNull().alias("listed")))
 
 
 CONSENT_CODES = {"active": 0.9, "inactive": 0.3, "draft": 0.5, "proposed": 0.5, "rejected": 0.05, "entered-in-error": 0.5}
 
 
+def _opinion(v: Column) -> Column:
+    denied = F.coalesce(_get(v, "provision.type") == "deny", F.lit(False))
+    return O.let(_verified(v), lambda x: consent_opinion(F.coalesce(_get(v, "status"), F.lit("draft")), denied, x["n"], F.when(x["listed"] & (x["n"] == 0), 1).otherwise(0)))
+
+
 def record_opinion(record: Column) -> Column:
     """The opinion of a consent record, by its status, verifications and denial."""
-    n, listed = _verified(record)
-    denied = F.coalesce(_variant(record, "provision.type") == "deny", F.lit(False))
-    return consent_opinion(F.coalesce(_variant(record, "status"), F.lit("draft")), denied, n, F.when(listed & (n == 0), 1).otherwise(0))
+    return _parsed(record, _opinion)
 
 
 def record_validity(record: Column) -> Column:
     """Whether a consent was freely given, specific, informed, unambiguous, demonstrable and distinguishable, as far as the record tells: the meet of six opinions."""
-    some = lambda path: F.coalesce(F.size(_variant(record, path, "array<variant>")), F.lit(0))
-    n, _ = _verified(record)
-    status = F.coalesce(_variant(record, "status"), F.lit("draft"))
-    free = F.coalesce(F.create_map(*[F.lit(x) for kv in CONSENT_CODES.items() for x in kv])[status], F.lit(0.5))
-    coded = F.exists(_variant(record, "category", "array<variant>"), lambda c: F.exists(F.try_variant_get(c, "$.coding", "array<variant>"), lambda x: (F.coalesce(F.try_variant_get(x, "$.system", "string"), F.lit("")) != "") & (F.coalesce(F.try_variant_get(x, "$.code", "string"), F.lit("")) != "")))
-    informed = F.lit(0.65) + F.when(some("provision.data") > 0, 0.1).otherwise(0.0) + F.when(some("category") > 1, 0.05).otherwise(0.0)
-    p = [free, F.when(some("provision.purpose") > 0, 0.75).otherwise(0.6), informed, F.when(_variant(record, "provision.type").isin("permit", "deny"), 0.8).otherwise(0.6), F.when(n >= 2, 0.9).when(n == 1, 0.8).otherwise(0.5), F.when(F.coalesce(coded, F.lit(False)), 0.75).otherwise(0.55)]
-    u = [0.25] * 4 + [F.when(n >= 2, 0.1).when(n == 1, 0.15).otherwise(0.35), 0.25]
-    return O.consent_validity(*[O.from_confidence(x, y, x) for x, y in zip(p, u)])
+
+    def rated(v: Column, n: Column) -> Column:
+        some = lambda path: F.coalesce(F.size(_get(v, path, "array<variant>")), F.lit(0))
+        status = F.coalesce(_get(v, "status"), F.lit("draft"))
+        free = F.coalesce(F.create_map(*[F.lit(x) for kv in CONSENT_CODES.items() for x in kv])[status], F.lit(0.5))
+        coded = F.exists(_get(v, "category", "array<variant>"), lambda c: F.exists(F.try_variant_get(c, "$.coding", "array<variant>"), lambda x: (F.coalesce(F.try_variant_get(x, "$.system", "string"), F.lit("")) != "") & (F.coalesce(F.try_variant_get(x, "$.code", "string"), F.lit("")) != "")))
+        informed = F.lit(0.65) + F.when(some("provision.data") > 0, 0.1).otherwise(0.0) + F.when(some("category") > 1, 0.05).otherwise(0.0)
+        p = [free, F.when(some("provision.purpose") > 0, 0.75).otherwise(0.6), informed, F.when(_get(v, "provision.type").isin("permit", "deny"), 0.8).otherwise(0.6), F.when(n >= 2, 0.9).when(n == 1, 0.8).otherwise(0.5), F.when(F.coalesce(coded, F.lit(False)), 0.75).otherwise(0.55)]
+        u = [F.lit(0.25)] * 4 + [F.when(n >= 2, 0.1).when(n == 1, 0.15).otherwise(0.35), F.lit(0.25)]
+        every = F.struct(*[x.alias(f"p{i}") for i, x in enumerate(p)], *[x.alias(f"u{i}") for i, x in enumerate(u)])
+        made = lambda m: F.struct(*[O.from_confidence(m[f"p{i}"], m[f"u{i}"], m[f"p{i}"]).alias(f"o{i}") for i in range(6)])
+        return O.let(O.let(every, made), lambda m: O.consent_validity(*[m[f"o{i}"] for i in range(6)]))
+
+    return _parsed(record, lambda v: O.let(_verified(v)["n"], lambda n: rated(v, n)))
 
 
 def _day(c: Column, what: str) -> Column:
     """Days count, not hours; a time that is missing is an error."""
     d = F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")).cast("date")
-    return F.when(d.isNull(), F.raise_error(F.lit(f"no date: {what}")).cast("date")).otherwise(d)
+    return O.let(d, lambda d: F.when(d.isNull(), F.raise_error(F.lit(f"no date: {what}")).cast("date")).otherwise(d))
+
+
+def _dated(v: Column, what: str) -> Column:
+    """The record's opinion; an error without a dateTime."""
+    return F.when(_get(v, "dateTime").isNull(), F.raise_error(F.lit(f"no date: {what}")).cast(O.SCHEMA)).otherwise(_opinion(v))
 
 
 def record_withdrawal(active: Column, withdrawn: Column, at: Column) -> Column:
     """The active consent's opinion until the day of the withdrawn record, that record's from then on; both need a dateTime."""
-    checked = F.when(_variant(active, "dateTime").isNull(), F.raise_error(F.lit("no date: active")).cast(O.SCHEMA)).otherwise(record_opinion(active))
-    return O.withdrawal(checked, record_opinion(withdrawn), _day(at, "at"), _day(_variant(withdrawn, "dateTime"), "withdrawn"))
+    return _parsed(active, lambda v: _parsed(withdrawn, lambda w: O.withdrawal(_dated(v, "active"), _opinion(w), _day(at, "at"), _day(_get(w, "dateTime"), "withdrawn"))))
 
 
 def record_expiry(record: Column, at: Column, residual: float = 0.0) -> Column:
     """A consent's opinion after the end of its provision's period is disbelief but for the residual part; without an end it stays."""
-    end = F.try_to_timestamp(F.substring(_variant(record, "provision.period.end"), 1, 10), F.lit("yyyy-MM-dd")).cast("date")
-    o = record_opinion(record)
-    return F.when(end.isNull(), o).otherwise(O.expiry(o, _day(at, "at"), end, residual))
+
+    def aged(v: Column) -> Column:
+        end = F.try_to_timestamp(F.substring(_get(v, "provision.period.end"), 1, 10), F.lit("yyyy-MM-dd")).cast("date")
+        x = F.struct(end.alias("end"), _opinion(v).alias("o"))
+        return O.let(x, lambda x: F.when(x["end"].isNull(), x["o"]).otherwise(O.expiry(x["o"], _day(at, "at"), x["end"], residual)))
+
+    return _parsed(record, aged)
 
 
 def record_regulatory_change(old: Column, new: Column, at: Column) -> Column:
     """The old consent's opinion until the day of the new record, that record's from then on."""
-    checked = F.when(_variant(old, "dateTime").isNull(), F.raise_error(F.lit("no date: old")).cast(O.SCHEMA)).otherwise(record_opinion(old))
-    return O.regulatory_change(checked, _day(at, "at"), _day(_variant(new, "dateTime"), "new"), record_opinion(new))
+    return _parsed(old, lambda v: _parsed(new, lambda w: O.regulatory_change(_dated(v, "old"), _day(at, "at"), _day(_get(w, "dateTime"), "new"), _opinion(w))))
 
 
 def consent_record(o: Column, patient: Column | None = None, scope: str = "patient-privacy", policy: str | None = None, record_id: Column | None = None, date_time: Column | None = None) -> Column:
