@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridelta.functions import opinion as O
-from veridelta.operators.fusion import averaging_fuse, cumulative_fuse
-from veridelta.operators.fusion import conflicts as conflicts_of
+from veridelta.operators.fusion import averaging_fuse, cumulative_fuse, extremes
 
 DEFAULT_UNCERTAINTY = 0.15
 
@@ -50,8 +49,9 @@ def alert(o: Column, threshold: float = 0.5, ceiling: float | None = None) -> Co
 def escalation(df: DataFrame, by: list[str], key: str, opinion: str = "opinion", threshold: float = 0.7, conflict: float = 0.3) -> DataFrame:
     """df with action: escalate where a pair of the group conflicts, reject or accept where d or b is high, else human_review."""
     o = F.col(opinion)
-    pairs = conflicts_of(df.where(o.isNotNull()), by, key, opinion).where(F.col("score") >= conflict)
-    clash = pairs.select(*by, F.explode(F.array("i", "j")).alias(key)).distinct().withColumn("_c", F.lit(True))
+    known = df.where(o.isNotNull())
+    clashes = F.exists("outer", lambda x: (x["k"] != F.col(key)) & (o["b"] * x["d"] + o["d"] * x["b"] >= conflict))
+    clash = known.join(extremes(known, by, key, opinion).where(F.col("worst") >= conflict), by).where(clashes).select(*by, key).distinct().withColumn("_c", F.lit(True))
     action = F.when(o.isNull(), "human_review").when(F.coalesce("_c", F.lit(False)), "escalate").when(o["d"] >= threshold, "reject").when(o["b"] >= threshold, "accept").otherwise("human_review")
     return df.join(clash, [*by, key], "left").withColumn("action", action).select(*df.columns, "action")
 
@@ -242,7 +242,7 @@ def reconciliation_report(lists: DataFrame, source: str, field: str = "opinion",
     """One row: input_list_count, total_input_entries, matched_groups, unique_entries, conflicts (groups in which a pair conflicts) and output_count of reconcile."""
     key = F.when(F.col("system").isNotNull() & F.col("code").isNotNull(), F.concat_ws("|", "system", "code")).when(F.col("text").isNotNull(), F.lower(F.trim("text"))).otherwise(F.concat(F.lit("row:"), F.col(order).cast("string")))
     rows = lists.withColumn("_key", key)
-    pairs = conflicts_of(rows, ["_key"], order, field).groupBy("_key").agg(F.max("score").alias("_m"))
+    pairs = extremes(rows, ["_key"], order, field).select("_key", F.col("worst").alias("_m"))
     groups = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).join(pairs, "_key", "left")
     totals = rows.agg(F.count_distinct(source).alias("input_list_count"), F.count(F.lit(1)).alias("total_input_entries"))
     return totals.join(groups.agg(F.count_if(F.col("_n") > 1).alias("matched_groups"), F.count_if(F.col("_n") == 1).alias("unique_entries"), F.count_if(F.col("_m") >= threshold).alias("conflicts"), F.count(F.lit(1)).alias("output_count")), F.lit(True))
