@@ -42,9 +42,14 @@ def to_ntriples(rows: DataFrame, ns: str, meta: dict[str, str]) -> DataFrame:
     return rows.select(F.explode(F.filter(F.array(*lines), lambda x: x.isNotNull())).alias("line"))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows in spark.sql.shuffle.partitions parts, for rows that are small against what is made of them: a file of a few MB is read by one task, which would hold all of it to tell repetitions."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _statements(rows: DataFrame, parts: list[tuple[Column, str, Column]]) -> DataFrame:
     made = [F.when(s.isNotNull() & o.isNotNull(), F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"))) for s, p, o in parts]
-    return rows.select(F.inline(F.filter(F.array(*made), lambda x: x.isNotNull())))
+    return spread(rows, "node_id", "prop", "value").select(F.inline(F.filter(F.array(*made), lambda x: x.isNotNull())))
 
 
 def blank(kind: str, *parts: Column) -> Column:
@@ -134,7 +139,7 @@ def verbosity(rows: DataFrame, statements: DataFrame, text: str = "json") -> Dat
 
 def conversion_report(rows: DataFrame, statements: DataFrame) -> DataFrame:
     """One row: success, nodes_converted, triples_input (values), triples_output (statements) and compression_ratio, out by in."""
-    a = rows.agg(F.count_distinct("node_id").alias("nodes_converted"), F.count(F.lit(1)).alias("triples_input"))
+    a = spread(rows.select("node_id"), "node_id").agg(F.count_distinct("node_id").alias("nodes_converted"), F.count(F.lit(1)).alias("triples_input"))
     b = statements.agg(F.count(F.lit(1)).alias("triples_output"))
     return a.join(b, F.lit(True)).select(F.lit(True).alias("success"), "nodes_converted", "triples_input", "triples_output", (F.col("triples_output") / F.nullif(F.col("triples_input"), F.lit(0))).alias("compression_ratio"))
 
