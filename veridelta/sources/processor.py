@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from veridelta.functions import transport as T
+from veridelta.sources.rdf import spread
 
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
@@ -122,7 +123,7 @@ class Processor:
 
     def statements(self, df: DataFrame, document: str) -> DataFrame:
         """(subject, predicate, object, kind): a row for each value of the flattened documents; kind is iri or literal."""
-        v = df.select(F.explode(F.from_json(self.flatten(F.col(document)), "array<map<string,variant>>")).alias("n"))
+        v = spread(df.select(document), document).select(F.explode(F.from_json(self.flatten(F.col(document)), "array<map<string,variant>>")).alias("n"))
         rows = v.select(F.try_variant_get(F.col("n")["@id"], "$", "string").alias("subject"), F.explode("n").alias("p", "x")).where("p <> '@id'")
         each = rows.select("subject", "p", F.explode(F.try_variant_get("x", "$", "array<variant>")).alias("o"))
         node = F.try_variant_get("o", '$["@id"]', "string")
